@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import line_dedup, packing, simhash, token_files
+from textmill.llm import line_dedup, packing, quality, simhash, token_files
 from textmill.session import table
 
 
@@ -32,12 +32,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
         "op9_line_dedup": op9_line_dedup,
+        "op10_quality": op10_quality,
     }
 
 

@@ -27,8 +27,8 @@ class Words(NamedTuple):
     docs: np.ndarray
 
 
-def words_of(texts: pa.Array) -> Words:
-    """The words of a large_string array without nulls."""
+def words_of(texts: pa.Array, lower: bool = True) -> Words:
+    """The words of a large_string array without nulls; with ``lower`` A-Z in lower case."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first, last = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[first:last]
@@ -43,7 +43,7 @@ def words_of(texts: pa.Array) -> Words:
     keep = ~space
     keep[ends[ends < len(raw)]] = True
     data = np.full(int(keep.sum()) + 40, 0x20, dtype=np.uint8)
-    data[: len(data) - 40] = np.where(space, 0x20, LOWER[raw])[keep]
+    data[: len(data) - 40] = np.where(space, 0x20, LOWER[raw] if lower else raw)[keep]
     lengths = ends - starts
     new = np.cumsum(keep)
     new_starts = new[starts] - 1
