@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import line_dedup, packing, quality, simhash, token_files
+from textmill.llm import line_dedup, minhash, packing, quality, simhash, token_files
 from textmill.session import table
 
 
@@ -26,6 +26,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and edited fingerprint of every document, with their likeness."""
+    return minhash.fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated three-line passages: line counts and a digest of the text."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), details=True)
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
+        "op6_minhash": op6_minhash,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
     }
