@@ -95,7 +95,7 @@ def dealt_descending(docs: DataFrame, n: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     cuts = rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (10 * n)) if n > 1 else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(rows).withColumn("bucket", (F.lit(len(splits) - 2) - F.col("bucket")).cast("int"))
     top = rows.groupBy("bucket").agg(F.max("doc_id").alias("greatest")).orderBy("bucket").collect()  # at most n rows
     if not top:

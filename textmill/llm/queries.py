@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import line_dedup, minhash, packing, quality, simhash, token_files
+from textmill.llm import decontamination, line_dedup, minhash, packing, quality, simhash, token_files
 from textmill.session import table
 
 
@@ -31,6 +31,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints_and_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its nearest window."""
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated three-line passages: line counts and a digest of the text."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), details=True)
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
         "op6_minhash": op6_minhash,
+        "op7_decontamination": op7_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
     }
