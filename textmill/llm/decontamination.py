@@ -11,9 +11,9 @@ verified by their exact edit distance. The number of tables is set by the recall
 full edit distance (see the tests); any one hit among the windows around a passage suffices.
 
 Windows are item-sized and start at a word. Those that cannot match are left out before the
-walk, without loss: of m words with d edits, a run of ``m // (d + 1)`` words stays as it was,
-at most d places off, so only windows around a run of at most ``RUN`` words that some item has
-at that place are embedded.
+walk, without loss: of m words with d edits, runs of ``n = min(RUN, m // (d + 1))`` words stay as
+they were, at most d places off, and at least ``m - n + 1 - n * d`` of them, so only windows with
+that many runs of items of their size, one of them at about its place, are embedded.
 
 Scale: documents are read once and not shuffled. Items are taken in blocks of ``ITEM_BLOCK``
 words at most, the only thing that is sent to the tasks; a larger benchmark takes more passes.
@@ -26,7 +26,7 @@ null; empty tables give an empty result; other columns are ignored, whatever the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,14 @@ RUN = 3
 WALKS, PER_WALK, BITS = 12, 5, 3
 TABLES = WALKS * PER_WALK
 ITEM_BLOCK = 1_000_000
-PAIRS = 200_000
+PAIRS = 2_000_000
+HELD = 2_000_000
 SLICE = 2 << 20
 FOUND = "doc_id long, item_id long, start_word int, n_words int, distance int"
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=4096)
 def _seed(*parts: int) -> np.uint64:
     h = np.zeros(1, dtype=U64)
     with np.errstate(over="ignore"):
@@ -146,52 +148,92 @@ def window_starts(codes: np.ndarray, docs: np.ndarray, items: Items, share: floa
             start = (place[own] - offsets[entry[own]])[:, None] + np.arange(-d, d + 1)
             doc = np.broadcast_to(doc_of[place[own]][:, None], start.shape)
             ok = (start >= docs[doc]) & (start + m <= docs[doc + 1])
-            found.setdefault(m, []).append(start[ok])
+            start = np.unique(start[ok])
+            held = np.zeros(len(codes) + 1, dtype=np.int32)
+            held[place[own] + 1] = 1
+            held = np.cumsum(held)
+            enough = held[start + m - run + 1] - held[start] >= max(1, m - run + 1 - run * d)
+            found.setdefault(m, []).append(start[enough])
     return {m: np.unique(np.concatenate(parts)) for m, parts in found.items()}
 
 
+class Windows:
+    """Windows gathered over many texts, so that all of one size are embedded at once."""
+
+    def __init__(self, items: Items, share: float):
+        self.items, self.share = items, share
+        self.rows, self.held = 0, 0
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+    def add(self, texts: pa.Array) -> None:
+        """Texts count on from those added before."""
+        words = words_of(texts)
+        codes = word_hashes(words)
+        for m, starts in window_starts(codes, words.docs, self.items, self.share).items():
+            if len(starts):
+                doc = np.searchsorted(words.docs, starts, side="right") - 1
+                self.parts.setdefault(m, []).append((codes[starts[:, None] + np.arange(m)], doc + self.rows, starts - words.docs[doc]))
+                self.held += len(starts) * m
+        self.rows += len(texts)
+
+    def matches(self) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, distance): the nearest window of each text and item."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for m, parts in self.parts.items():
+            windows, docs, starts = (np.concatenate(x) for x in zip(*parts))
+            which, tables = self.items.by_size[m]
+            for some in np.array_split(np.arange(len(docs)), max(1, len(docs) * 4 * m // PAIRS)):
+                self._verify(m, windows[some], docs[some], starts[some], which, tables, best)
+        self.rows, self.held, self.parts = 0, 0, {}
+        return [(doc, item, start, m, near) for (doc, item), (near, start, m) in sorted(best.items())]
+
+    def _verify(self, m: int, windows: np.ndarray, docs: np.ndarray, starts: np.ndarray, which: np.ndarray, tables: list, best: dict) -> None:
+        d = int(self.share * m + 1e-9)
+        pairs = []
+        for key, (table, order) in zip(walk_keys(windows, m), tables):
+            lo = np.searchsorted(table, key, side="left")
+            many = np.searchsorted(table, key, side="right") - lo
+            w = np.repeat(np.arange(len(key)), many)
+            entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+            pairs.append(w * len(which) + order[entry])
+        met = np.unique(np.concatenate(pairs))
+        for some in np.array_split(met, max(1, len(met) * 2 * m // PAIRS)):
+            if not len(some):
+                continue
+            w, i = np.divmod(some, len(which))
+            near = edit_distances(windows[w], np.stack([self.items.words[k] for k in which[i]]))
+            for k in np.flatnonzero(near <= d):
+                key, value = (int(docs[w[k]]), int(which[i[k]])), (int(near[k]), int(starts[w[k]]), m)
+                best[key] = min(best.get(key, value), value)
+
+
 def matches(texts: pa.Array, items: Items, share: float) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first word, words, distance): the nearest window of each text and item."""
-    words = words_of(texts)
-    codes = word_hashes(words)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for m, starts in window_starts(codes, words.docs, items, share).items():
-        which, tables = items.by_size[m]
-        d = int(share * m + 1e-9)
-        for part in np.array_split(starts, max(1, len(starts) * 4 * m // PAIRS)):
-            windows = codes[part[:, None] + np.arange(m)]
-            keys = walk_keys(windows, m)
-            pairs = []
-            for key, (table, order) in zip(keys, tables):
-                lo = np.searchsorted(table, key, side="left")
-                many = np.searchsorted(table, key, side="right") - lo
-                w = np.repeat(np.arange(len(key)), many)
-                entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-                pairs.append(w * len(which) + order[entry])
-            met = np.unique(np.concatenate(pairs))
-            for some in np.array_split(met, max(1, len(met) * 2 * m // PAIRS)):
-                w, i = np.divmod(some, len(which))
-                rows = np.stack([items.words[k] for k in which[i]]) if len(i) else np.empty((0, m), dtype=U64)
-                near = edit_distances(windows[w], rows) if len(w) else np.empty(0, dtype=np.int64)
-                for k in np.flatnonzero(near <= d):
-                    start = int(part[w[k]])
-                    doc = int(np.searchsorted(words.docs, start, side="right")) - 1
-                    key, value = (doc, int(which[i[k]])), (int(near[k]), start - int(words.docs[doc]), m)
-                    best[key] = min(best.get(key, value), value)
-    return [(doc, item, start, m, near) for (doc, item), (near, start, m) in sorted(best.items())]
+    """The matches in a few texts."""
+    windows = Windows(items, share)
+    windows.add(texts)
+    return windows.matches()
 
 
 def _search(docs: DataFrame, items: Items, share: float) -> DataFrame:
     names = [c.split()[0] for c in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, ids = Windows(items, share), []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            rows = windows.matches()
+            if rows:
+                doc, item, start, m, near = (list(x) for x in zip(*rows))
+                columns = [pa.array([ids[i] for i in doc], pa.int64()), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(start, pa.int32()), pa.array(m, pa.int32()), pa.array(near, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            ids.clear()
+
         for batch, texts in in_slices(batches, "text", SLICE):
-            found = matches(texts, items, share)
-            if not found:
-                continue
-            doc, item, start, m, near = (list(x) for x in zip(*found))
-            columns = [batch.column(0).take(pa.array(doc)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(start, pa.int32()), pa.array(m, pa.int32()), pa.array(near, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            windows.add(texts)
+            ids += batch.column(0).to_pylist()
+            if windows.held > HELD:
+                yield from found()
+        yield from found()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
 
