@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontamination, line_dedup, minhash, packing, quality, simhash, token_files
+from textmill.llm import decontamination, licenses, line_dedup, minhash, packing, quality, simhash, token_files
 from textmill.session import table
 
 
@@ -21,6 +21,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of its directory."""
+    return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_licenses": op2_licenses,
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
         "op6_minhash": op6_minhash,
@@ -61,5 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_licenses": licenses.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
     }
