@@ -1,0 +1,69 @@
+import re
+
+import regex
+from pyspark.sql import functions as F
+
+from textmill.llm import pii, queries
+
+SF = "/root/testdata/sf0.01"
+PATTERN = regex.compile(pii.PATTERN.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"), regex.ASCII)
+
+
+def test_query_against_a_plain_search(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op8_pii(spark, SF).collect()}
+    want = {d: PATTERN.findall(t) for d, t in docs.items()}
+    assert set(got) == {d for d, m in want.items() if m} and len(got) > 50
+    one = {}
+    for d, r in got.items():
+        old, new = want[d], PATTERN.findall(r.text)
+        assert r.n_entities == len(old) == len(new)
+        assert PATTERN.split(docs[d]) == PATTERN.split(r.text)
+        for a, b in zip(old, new):
+            assert one.setdefault(a, b) == b and a != b
+    assert len(set(one.values())) == len(one) and not set(one) & set(one.values())
+    for a, b in one.items():
+        if "@" not in a and a.count(".") != 3:
+            assert re.sub(r"\d", "0", re.sub("[a-f]", "0", a)) == re.sub(r"\d", "0", re.sub("[a-f]", "0", b)), (a, b)
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10
+
+
+def test_types_gender_script_and_coreference(spark):
+    text = "Mr. John Smith (j.smith@corp.example.com) and Mrs. Mary Smith met Frau Anna Müller. Mr. Smith: +1 (663) 555-6869, 4111 1111 1111 1111, DE89 3704 0044 0532 0130 00, 10.1.2.3; token = \"11acdfb36bb72224148e6160f674b4be45601bff\". Господин Иван Петров, 123-45-6789. ann@corp.example.com"
+    docs = spark.createDataFrame([(1, text, "k"), (2, text[:40], "k")], "doc_id long, text string, kind string")
+    out = {r.doc_id: r for r in pii.pseudonymize(docs).collect()}
+    new = out[1].text
+    assert out[1].kind == "k"
+    for old in ("John", "Smith", "j.smith", "corp", "Mary", "Müller", "6869", "4111", "3704", "10.1.2.3", "11acdf", "Иван", "Петров", "6789"):
+        assert old not in new, (old, new)
+    m = regex.match(r"Mr\. (\w+) (\w+) \((\S+)@(\S+)\) and Mrs\. (\w+) (\w+) met Frau (\w+) (\w+)\. Mr\. (\w+): (\+1 \(\d{3}\) \d{3}-\d{4}), (\d{4} \d{4} \d{4} \d{4}), (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d), (24\d|25[0-4])\.\d+\.\d+\.\d+; token = \"[0-9a-f]{40}\"\. Господин (\p{Cyrillic}+) (\p{Cyrillic}+), \d{3}-\d{2}-\d{4}\. \w+@(\S+)$", new)
+    assert m, new
+    assert m[2] == m[6] == m[9] != m[8] and m[4] == m[16]
+    assert m[1].endswith(("on", "ert", "us", "ric")) and m[5].endswith(("a", "ine", "elle", "ia"))
+    assert luhn(m[11]) == luhn("4111111111111111")
+    assert out[2].text.startswith(f"Mr. {m[1]} {m[2]} (")
+
+
+def test_collisions_are_drawn_again(spark):
+    parts = spark.createDataFrame([("x", str(i)) for i in range(30)], "kind string, value string")
+
+    def draw(key, kind, value, attempt):  # six values at a time, one of which was given
+        return F.concat(F.lit("" if attempt == 0 else "s"), (F.lit(attempt * 6) + F.pmod(F.xxhash64("value"), F.lit(6))).cast("string"))
+
+    rows = pii.resolve(parts, draw=draw).collect()
+    assert len(rows) == 30 and len({r.surrogate for r in rows}) == 30 and not {r.surrogate for r in rows} & {str(i) for i in range(30)}
+
+
+def test_hard_rows(spark):
+    rows = [(1, None), (2, ""), (3, "x " * 200000 + "a@b.co"), (3, "c@b.co"), (None, "a@b.co"), (5, "no data 2019, 3.14"), (6, "a@b.co")]
+    docs = spark.createDataFrame([(*r, "m") for r in rows], "doc_id long, text string, surrogate string")
+    got = pii.pseudonymize(docs).collect()
+    assert len(got) == 7
+    assert {r.text for r in got if r.doc_id in (1, 2, 5)} == {None, "", "no data 2019, 3.14"}
+    null, six = next(r.text for r in got if r.doc_id is None), next(r.text for r in got if r.doc_id == 6)
+    assert null == six != "a@b.co"
+    assert pii.pseudonymize(docs.limit(0)).count() == 0 and pii.pseudonymize(docs, only_changed=True).count() == 4

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontamination, licenses, line_dedup, minhash, packing, quality, simhash, token_files
+from textmill.llm import decontamination, licenses, line_dedup, minhash, packing, pii, quality, simhash, token_files
 from textmill.session import table
 
 
@@ -41,6 +41,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data, rewritten with surrogates."""
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), only_changed=True)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated three-line passages: line counts and a digest of the text."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), details=True)
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op6_minhash": op6_minhash,
         "op7_decontamination": op7_decontamination,
+        "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
     }
