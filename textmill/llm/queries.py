@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontamination, licenses, line_dedup, minhash, packing, pii, quality, simhash, token_files
+from textmill.llm import decontamination, licenses, line_dedup, lm_scoring, minhash, packing, pii, quality, simhash, token_files
 from textmill.session import table
 
 
@@ -26,6 +26,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by word counts and by the attention model."""
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_licenses": op2_licenses,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
         "op6_minhash": op6_minhash,
