@@ -214,19 +214,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return Model(ratios, weights, bias, max(slope, 1e-3), shift)
 
 
+def _scores(texts: pa.Array, scaled: np.ndarray, squares: np.ndarray, model: Model) -> np.ndarray:
+    found, begins = features(texts)
+    dot = np.diff(np.concatenate([[0], np.cumsum(scaled[found])])[begins])
+    norm = np.sqrt(np.diff(np.concatenate([[0], np.cumsum(squares[found])])[begins]))
+    x = model.bias + dot / np.maximum(norm, 1e-12)
+    return 1 / (1 + np.exp(-(model.slope * x + model.shift)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text)."""
-    scaled = (model.ratios * model.weights).astype(np.float64)
-    squares = (model.ratios**2).astype(np.float64)
-    bias, slope, shift = model.bias, model.slope, model.shift
+    scaled, squares = model.ratios * model.weights, model.ratios**2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in in_slices(batches, "text", SLICE):
-            found, begins = features(texts)
-            dot = np.diff(np.concatenate([[0], np.cumsum(scaled[found])])[begins])
-            norm = np.sqrt(np.diff(np.concatenate([[0], np.cumsum(squares[found])])[begins]))
-            x = bias + dot / np.maximum(norm, 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-(slope * x + shift))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(texts, scaled, squares, model))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -235,3 +237,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """doc_id, held_out, score and predicted for every row of ``docs``."""
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` (doc_id, text, ...) without the rows that score below ``threshold``; all columns are kept."""
+    model = train(docs, labels)
+    scaled, squares = model.ratios * model.weights, model.ratios**2
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in in_slices(iter([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])]), f"c{column}", SLICE):
+                keep = _scores(texts, scaled, squares, model) >= threshold
+                yield rows.filter(pa.array(keep)).rename_columns(batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -152,3 +152,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
     classes = nodes.join(named, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component")).alias("component_id"), "copies")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each class, that of the least ``doc_id``; rows that share an id count
+    as one document. All columns are kept."""
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
+    kept = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("__kept")).distinct()
+    return docs.withColumn("__key", key).join(kept, F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
