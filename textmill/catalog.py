@@ -1,15 +1,158 @@
-"""Every registered query of the library, with its SQL counterpart."""
+"""Every registered query of the library, with its SQL counterpart.
+
+The strategies on paragraphs run on a declared transform of the texts (each line feed becomes a
+blank line), since the fixture has no blank lines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmill.functions.text import TERMS
+from textmill.operators import judging, lexical, metrics, retrieval
+from textmill.plans import oracle, strategies
+from textmill.session import table
+from textmill.sources import corpus
+
+
+def documents(spark: SparkSession, sf_dir: str, paragraphs: bool = False) -> DataFrame:
+    docs = strategies.documents(table(spark, sf_dir, "documents"))
+    return docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))) if paragraphs else docs
+
+
+def _strategy(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.chunk(documents(spark, sf_dir, "paragraph" in name), strategies.STRATEGIES[name]).drop("source_doc_id")
+
+
+def _with_chunks(spark: SparkSession, sf_dir: str, name: str = "sentence_group_chunking") -> tuple[DataFrame, DataFrame]:
+    docs = documents(spark, sf_dir)
+    return docs, strategies.chunk(docs, strategies.STRATEGIES[name])
+
+
+def per_document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk statistics of each document under one strategy."""
+    return metrics.per_document(*_with_chunks(spark, sf_dir))
+
+
+def strategy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk statistics of the whole corpus under one strategy."""
+    return metrics.aggregated(*_with_chunks(spark, sf_dir), "sentence_group_chunking")
+
+
+def chunk_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the text report."""
+    return metrics.report(*_with_chunks(spark, sf_dir))
+
+
+def index_size_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document's text as an escaped JSON string."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", metrics.json_size(F.col("text")).alias("bytes"))
+
+
+def unique_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts with the first document of each."""
+    return corpus.unique_contexts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("context")))
+
+
+def qa_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the assistant's answers."""
+    return corpus.qa_from_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "input", F.col("answers")[0].alias("answer"))
+
+
+def sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten queries."""
+    return corpus.sample_head(qa_projection(spark, sf_dir).withColumn("pos", F.struct("conv_id", "turn")), "pos").drop("pos")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10,000 most frequent terms with their weights."""
+    return lexical.vocabulary(_rows(spark, sf_dir))
+
+
+def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse vectors of all documents."""
+    rows = _rows(spark, sf_dir)
+    return lexical.vectors(rows, lexical.vocabulary(rows))
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.top_k(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
+
+
+def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn's answer graded against the first five assistant turns of its conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    queries = corpus.qa_from_turns(turns).select("conv_id", "turn", "answers")
+    said = turns.where("role = 'assistant' and turn < 10").select("conv_id", F.floor(F.col("turn") / 2).cast("int").alias("rank"), F.col("text").alias("chunk_text"))
+    hits = queries.join(said, "conv_id").select(F.struct("conv_id", "turn").alias("query_id"), "rank", "answers", "chunk_text")
+    return judging.judge(hits).select("query_id.conv_id", "query_id.turn", "rank", "relevance_score", "llm_reason")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, judge_rows)
+    return {n: partial(_strategy, n) for n in strategies.STRATEGIES} | {f.__name__: f for f in others}
+
+
+def _size(x: str) -> str:
+    count = lambda p: f"len(regexp_extract_all({x}, '{p}'))"
+    short, long, astral = r'["\\\x08\x09\x0a\x0c\x0d]', r"[\x00-\x07\x0b\x0e-\x1f\x7f-\x{ffff}]", r"[\x{10000}-\x{10ffff}]"
+    return f"(2 + length({x}) + {count(short)} + 5 * {count(long)} + 11 * {count(astral)})"
+
+
+_RECORD = len('{"text": , "metadata": , "chunk_id": , "doc_id": }\n')
+_EACH = f"""
+WITH ch AS ({oracle.strategy("sentence_group_chunking")}
+), per AS (
+  SELECT d.doc_id, count(c.text) AS chunk_count, round(coalesce(var_pop(length(c.text)), 0), 6) AS chunk_size_variance, coalesce(round(avg(length(c.text)), 6), 0) AS avg_chunk_size,
+         coalesce(min(length(c.text)), 0) AS min_chunk_size, coalesce(max(length(c.text)), 0) AS max_chunk_size,
+         coalesce(sum({_RECORD} + {_size("c.text")} + length(c.metadata) + {_size("c.chunk_id")} + {_size("c.doc_id")}), 0)::BIGINT AS index_size_bytes
+  FROM {oracle.documents(False)} d LEFT JOIN ch c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+)"""
+_TERMS = f"tc AS (SELECT doc_id AS chunk_id, t AS term, count(*) AS tf FROM documents, unnest(regexp_extract_all(lower(text), '{TERMS}')) AS u(t) GROUP BY ALL)"
+_VOCABULARY = """vo AS (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, df, total, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 9) AS idf
+  FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tc GROUP BY term ORDER BY total DESC, term LIMIT 10000))"""
+_QA = """qa AS (SELECT conv_id, turn, text AS input, a AS answer FROM (
+  SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant')"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    terms = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{TERMS}'))"
+    return {n: oracle.strategy(n) for n in oracle.STRATEGIES} | {
+        "per_document_metrics": f"{_EACH} SELECT * FROM per",
+        "strategy_metrics": f"""{_EACH}
+SELECT 'sentence_group_chunking' AS chunker, count(*) AS total_documents, sum(chunk_count)::BIGINT AS total_chunks, round(avg(chunk_count), 6) AS average_chunks_per_document,
+       min(chunk_count) AS min_chunks_per_document, max(chunk_count) AS max_chunks_per_document, quantile_cont(chunk_count, 0.5)::DOUBLE AS median_chunks_per_document, sum(index_size_bytes)::BIGINT AS total_index_size_bytes,
+       round(avg(index_size_bytes), 3) AS average_index_size_bytes_per_document,
+       (SELECT round(var_pop(length(text)), 4) FROM ch) AS global_chunk_size_variance, (SELECT round(avg(length(text)), 6) FROM ch) AS global_avg_chunk_size,
+       (SELECT min(length(text)) FROM ch)::INT AS global_min_chunk_size, (SELECT max(length(text)) FROM ch)::INT AS global_max_chunk_size
+FROM per""",
+        "chunk_count_report": f"""{_EACH}
+SELECT doc_id AS line, doc_id || ': ' || chunk_count || ' chunks' AS value FROM per
+UNION ALL SELECT '~' || i, v FROM (SELECT unnest(range(0, 5)) AS i, unnest(['Total documents: ' || count(*), 'Total chunks: ' || sum(chunk_count)::BIGINT, printf('Average chunks per document: %.2f', avg(chunk_count)), 'Min chunks: ' || min(chunk_count), 'Max chunks: ' || max(chunk_count)]) AS v FROM per)""",
+        "index_size_bytes": f"SELECT doc_id, {_size('text')}::INT AS bytes FROM documents",
+        "unique_contexts": "SELECT text AS context, min(doc_id) AS first_pos FROM documents WHERE text <> '' GROUP BY text",
+        "qa_projection": f"WITH {_QA} SELECT * FROM qa",
+        "sample_head": f"WITH {_QA} SELECT * FROM qa ORDER BY conv_id, turn LIMIT 10",
+        "tfidf_vocabulary": f"WITH {_TERMS}, {_VOCABULARY} SELECT * FROM vo",
+        "tfidf_vectors": f"""WITH {_TERMS}, {_VOCABULARY}, we AS (SELECT chunk_id, term_id, tf * idf AS w FROM tc JOIN vo USING (term))
+SELECT chunk_id, term_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) AS weight FROM we""",
+        "dense_topk": """SELECT query_id, rank, id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 5""",
+        "judge_rows": f"""WITH {_QA}, graded AS (
+  SELECT qa.conv_id, qa.turn, (c.turn // 2)::INT AS rank, len(list_intersect({terms("answer")}, {terms("c.text")})) AS shared, len({terms("answer")}) AS n
+  FROM qa JOIN conversations c ON c.conv_id = qa.conv_id AND c.role = 'assistant' AND c.turn < 10
+), scored AS (SELECT *, CASE WHEN n > 0 AND 2 * shared >= n THEN 2 WHEN n > 0 AND 5 * shared >= n THEN 1 ELSE 0 END AS s FROM graded WHERE rank <= 5)
+SELECT conv_id, turn, rank, s AS relevance_score, CASE WHEN s > 0 THEN shared || ' of ' || n || ' terms' ELSE '' END AS llm_reason FROM scored""",
+    }

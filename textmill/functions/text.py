@@ -43,6 +43,6 @@ def json_size(text: Column) -> Column:
     """Bytes of the text as an ASCII-escaped JSON string: two quotes, one more for a short escape,
     five more for another control or non-ASCII character, eleven for one outside the basic plane."""
     short = F.regexp_count(text, F.lit(r'["\\\x08\x09\x0a\x0c\x0d]'))
-    long = F.regexp_count(text, F.lit(r"[\x00-\x07\x0b\x0e-\x1f\x80-\x{ffff}]"))
+    long = F.regexp_count(text, F.lit(r"[\x00-\x07\x0b\x0e-\x1f\x7f-\x{ffff}]"))
     astral = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10ffff}]"))
     return 2 + F.length(text) + short + 5 * long + 11 * astral
