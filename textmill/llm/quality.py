@@ -7,10 +7,11 @@ ratio between the classes, the vector brought to length one, and a linear hinge-
 fitted by dual coordinate descent; a logistic curve over margins of rows kept back from the
 fit turns margins into probabilities.
 
-Counts come from all labelled training rows, aggregated in the tasks and then by column:
-at most ``BUCKETS`` rows reach the driver. The hinge-loss fit uses a sample of at most
-``SAMPLE`` labelled rows, those with the least hash of their id (half of them for each
-class while they last). Scoring is a map over all rows with two vectors of ``BUCKETS``
+The fit is on bounded samples of the labelled training rows, those with the least hash of
+their id: counts come from at most ``COUNTED`` rows, summed in the tasks and then by column,
+so that at most ``BUCKETS`` rows reach the driver; the hinge loss from at most ``SAMPLE`` of
+them (half of them for each class while they last). The labels of ``COUNTED`` rows are
+broadcast, so no text is shuffled. Scoring is a map over all rows with two vectors of ``BUCKETS``
 numbers.
 
 Edge cases: a null or empty text has no features and gets the score of the bias; labels
@@ -34,6 +35,7 @@ from textmill.llm.subwords import in_slices
 from textmill.llm.vectext import U64, mix, word_hashes, words_of
 
 BUCKETS = 1 << 18
+COUNTED = 40_000
 SAMPLE = 4000
 THRESHOLD = 0.7
 SLICE = 2 << 20
@@ -179,12 +181,13 @@ def fit_logistic(x: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, counted: int = COUNTED) -> Model:
     """A model of ``labels`` (doc_id, <label> 0/1) from ``docs`` (doc_id, text) that are not held out."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     order = F.xxhash64(F.lit("sample"), "doc_id")
+    wanted = materialize(wanted.orderBy(order, "doc_id").limit(counted), "quality-labels")
     by_class = [{r["doc_id"] for r in wanted.where(F.col("label") == c).orderBy(order, "doc_id").select("doc_id").limit(sample // 2).collect()} for c in (0, 1)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id"))).join(wanted, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id"))).join(F.broadcast(wanted), "doc_id")
     got = materialize(rows.mapInArrow(_gather(by_class[0] | by_class[1]), "feature int, ones long, zeros long, label int, features array<int>"), "quality-counts")
     counts = np.zeros((2, BUCKETS))
     n = np.zeros(2)
