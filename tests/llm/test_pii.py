@@ -67,3 +67,15 @@ def test_hard_rows(spark):
     null, six = next(r.text for r in got if r.doc_id is None), next(r.text for r in got if r.doc_id == 6)
     assert null == six != "a@b.co"
     assert pii.pseudonymize(docs.limit(0)).count() == 0 and pii.pseudonymize(docs, only_changed=True).count() == 4
+
+
+def test_formats_without_enough_members(spark):
+    locals_ = ["_", "-", "...", *"abcdefghijklmnopqrstuvwxyz"]
+    phones = [f"+1{i:03d}" for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"to {x}@x.com now") for i, x in enumerate(locals_)] + [(99, "@ " + ", ".join(phones))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymize(docs).collect()}
+    new = [re.fullmatch(r"to ([\w.%+-]+)@(\w+\.example) now", got[i]) for i in range(len(locals_))]
+    assert all(new) and len({m[1] for m in new}) == len(locals_) and not {m[1] for m in new} & set(locals_)
+    assert len({m[2] for m in new}) == 1
+    drawn = got[99].removeprefix("@ ").split(", ")
+    assert len(set(drawn)) == 1000 and not set(drawn) & set(phones) and PATTERN.findall(got[99]) == drawn

@@ -12,7 +12,10 @@ numbers with the same checksum remainder, domains under the reserved name ``exam
 
 Collision checks: a surrogate must differ from every surrogate and every found value of its
 kind. Of several components that draw the same one the least value keeps it, the others draw
-again with the next attempt, until all are distinct.
+again with the next attempt, until all are distinct. A format may have too few members for that
+(one-letter local parts), or nothing to replace (``_@x.com``): from attempt ``LONGER`` on, and at
+once where there is no letter or digit, surrogates are lengthened, by more at each attempt, and
+IP addresses are drawn from all there are.
 
 Scale: entities are made distinct per document and then for the corpus before any join, and
 only documents with entities are shuffled. An entity that occurs everywhere is a hot key in one
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from textmill.llm.storage import materialize
 
 KEY = "textmill"
-ATTEMPTS = 40
+ATTEMPTS = 40  # lengthened surrogates are distinct long before
+LONGER = 8
 
 # Titles that come before a personal name, by gender of the name.
 MALE = ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "Г-н"]
@@ -145,13 +149,22 @@ def _name(kind: Column, value: Column, stream: Column, attempt: int) -> Column:
     return out
 
 
+def _lengthened(key: str, kind: Column, value: Column, like: Column, attempt: int) -> Column:
+    """``like`` with characters added, digits where it has no letters, if its format may be exhausted."""
+    more = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("longer"), kind, value, F.lit(str(attempt))), 512), 1, 2 * max(attempt - LONGER, 0) + 4)
+    more = F.when(kind.isin("card", "ssn", "phone"), F.translate(more, "abcdef", "012345")).when(kind == "iban", F.upper(more)).otherwise(more)
+    return F.concat(like, more) if attempt >= LONGER else F.when(value.rlike(r"[0-9\p{L}]"), like).otherwise(F.concat(like, more))
+
+
 def surrogate(key: str, kind: Column, value: Column, attempt: int) -> Column:
     """What replaces a component at this attempt."""
     stream = _stream(key, kind, value, attempt)
     like = _like(value, stream, (kind == "secret") & value.rlike("^[0-9a-f]+$"))
-    ip = F.concat_ws(".", (F.lit(240) + _number(stream, F.lit(0), 15)).cast("string"), *(_number(stream, F.lit(i), 256).cast("string") for i in (1, 2, 3)))
+    first = F.lit(240) + _number(stream, F.lit(0), 15) if attempt < LONGER else _number(stream, F.lit(0), 256)
+    ip = F.concat_ws(".", first.cast("string"), *(_number(stream, F.lit(i), 256).cast("string") for i in (1, 2, 3)))
     labels = F.regexp_replace(like, r"\.[^.]*$", "")
-    domain = F.concat(F.when(F.length(F.regexp_replace(labels, "[^A-Za-z0-9]", "")) < 4, F.concat(labels, F.substring(stream, 20, 4))).otherwise(labels), F.lit(".example"))
+    labels = F.when(F.length(F.regexp_replace(labels, "[^A-Za-z0-9]", "")) < 4, F.concat(labels, F.substring(stream, 20, 4))).otherwise(labels)
+    domain = F.concat(_lengthened(key, kind, value, labels, attempt), F.lit(".example"))
     country = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-])|\+\d)", 1)
     phone = F.concat(country, F.substring(like, F.length(country) + 1, F.length(like)))
     prefix = F.substring(value, 1, 2)
@@ -161,7 +174,8 @@ def surrogate(key: str, kind: Column, value: Column, attempt: int) -> Column:
     last = F.pmod(F.substring(like, -1, 1).cast("int") + change, F.lit(10)).cast("string")
     card = F.concat(F.substring(like, F.lit(1), F.length(like) - 1), last)
     named = kind.isin("given_m", "given_f", "given_x", "family")
-    return F.when(named, _name(kind, value, stream, attempt)).when(kind == "ip", ip).when(kind == "email_domain", domain).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "card", card).otherwise(like)
+    formed = F.when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "card", card).otherwise(like)
+    return F.when(named, _name(kind, value, stream, attempt)).when(kind == "ip", ip).when(kind == "email_domain", domain).otherwise(_lengthened(key, kind, value, formed, attempt))
 
 
 def resolve(parts: DataFrame, key: str = KEY, draw=surrogate) -> DataFrame:
