@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontamination, line_dedup, packing, quality, simhash
+from textmill.llm import decontamination, line_dedup, minhash, packing, quality
 from textmill.llm.storage import materialize
 from textmill.session import table
 
@@ -26,8 +26,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each class of near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or
+    more, counted exactly. Candidates come from MinHash bands: such pairs differ in some ten of the 64 bits
+    of a SimHash, beyond any radius that covering masks can afford."""
+    return minhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

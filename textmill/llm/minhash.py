@@ -233,3 +233,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
     classes = sizes.join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component_id"), "copies")
     return sets.select("doc_id", "class").join(classes, "class").select("doc_id", "component_id", "copies")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each class, that of the least ``doc_id``; rows that share an id count
+    as one document. All columns are kept."""
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
+    kept = near_duplicates(docs, threshold, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("__kept")).distinct()
+    return docs.withColumn("__key", key).join(kept, F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
