@@ -18,9 +18,7 @@ SCHEMA = "doc_id long, text string, piece string, path string"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_path())
 
 
 @pytest.fixture(scope="module")
@@ -28,16 +26,25 @@ def hard(spark):
     return spark.createDataFrame([(*r, "x", "y") for r in HARD], SCHEMA)
 
 
-CODER = PieceEncoder(public_path())
+CODER, AS_TEXT = PieceEncoder(public_path()), PieceEncoder(public_path(), as_text=True)
+PLAIN, PLAIN_TEXT = Tokenizer.from_file(public_path()), Tokenizer.from_file(public_path())
+PLAIN_TEXT.encode_special_tokens = True
+SYMBOLS = st.lists(st.sampled_from([*" \n\t\r\x1f\x85 ab'sé漢😀1.<|>", "<|endoftext|>", "<|endo", " the"]), max_size=40).map("".join)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\t\r\x1f\x85 ab'sé漢😀1.", max_size=40), max_size=5))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SYMBOLS, max_size=5))
 def test_pieces_give_the_ids_of_whole_texts(texts):
-    ids, n = CODER.encode(pa.array(texts, pa.large_string()))
-    want = [CODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert n.tolist() == [len(w) for w in want]
-    assert ids.tolist() == [i for w in want for i in w]
+    for coder, plain in ((CODER, PLAIN), (AS_TEXT, PLAIN_TEXT)):
+        ids, n = coder.encode(pa.array(texts, pa.large_string()))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_added_tokens():
+    ids, n = CODER.encode(pa.array(["<|endoftext|>", "hello <|endoftext|> x"], pa.large_string()))
+    assert n.tolist() == [1, 4] and ids.tolist() == [50256, 31373, 220, 50256, 2124][: len(ids)]
 
 
 def check_packing(rows, want):

@@ -33,7 +33,7 @@ from textmill.llm.components import connected_components
 from textmill.llm.runs import sorted_runs
 from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices
-from textmill.llm.vectext import U64, mix, windows, word_hashes, words_of
+from textmill.llm.vectext import U64, mix, parts, windows, word_hashes, words_of
 
 SHINGLE = 5
 LANES = 256
@@ -61,17 +61,29 @@ def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def signatures(texts: pa.Array, shingle: int = SHINGLE, lanes: int = LANES) -> np.ndarray:
-    """The least value of each permutation over each text's shingles: (texts, lanes) uint32."""
-    x, begins = shingle_hashes(texts, shingle)
+    """The least value of each permutation over each text's shingles: (texts, lanes) uint32. A very long
+    text is taken in parts."""
     out = np.full((lanes, len(texts)), 0xFFFFFFFF, dtype=np.uint32)
-    some = np.flatnonzero(np.diff(begins))
-    if len(some):
-        at = begins[some]
-        for lane in range(lanes):
-            out[lane, some] = np.minimum.reduceat(x * MULTIPLY[lane] + ADD[lane], at)
+    for _, part in parts(texts, shingle - 1):
+        x, begins = shingle_hashes(part, shingle)
+        some = np.flatnonzero(np.diff(begins))
+        if len(some):
+            at = begins[some]
+            for lane in range(lanes):
+                out[lane, some] = np.minimum(out[lane, some], np.minimum.reduceat(x * MULTIPLY[lane] + ADD[lane], at))
     return out.T
 
 
+def distinct_shingles(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
+    out: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+    for _, part in parts(texts, shingle - 1):
+        x, begins = shingle_hashes(part, shingle)
+        for found, a, b in zip(out, begins, begins[1:]):
+            found.append(np.unique(x[a:b]))
+    return [f[0] if len(f) == 1 else np.unique(np.concatenate(f)) for f in out]
+
+
 def fingerprint_bytes(signature: np.ndarray) -> np.ndarray:
     """Eight mixed bits of each lane; texts without words keep the highest value."""
     mixed = ((signature ^ (signature >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
@@ -118,8 +130,7 @@ def fingerprints_and_edits(docs: DataFrame, shingle: int = SHINGLE, partitions:
         """``texts`` has one more: the text after the last row."""
         n = np.array([len(t) for t in texts[:-1]], dtype=np.int64)
         edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for t, u in zip(texts, texts[1:])]
-        own = fingerprint_bytes(signatures(pa.array(texts, pa.large_string()), shingle))
-        changed = fingerprint_bytes(signatures(pa.array(edited, pa.large_string()), shingle))
+        own, changed = ((fingerprint_bytes(np.concatenate([signatures(x, shingle) for _, x in in_slices([pa.record_batch([pa.array(t, pa.large_string())], ["text"])], "text", SLICE)]))) for t in (texts, edited))
         columns = [
             pa.array(ids, pa.int64()),
             pa.array(n),
@@ -155,8 +166,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in in_slices(batches, "text", SLICE):
-            x, begins = shingle_hashes(texts, shingle)
-            sets = [np.unique(x[a:b]) for a, b in zip(begins, begins[1:])]
+            sets = distinct_shingles(texts, shingle)
             classes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
             lanes = signatures(texts, shingle, BANDS * ROWS).astype(U64)
             keys = np.zeros((len(sets), BANDS), dtype=U64)

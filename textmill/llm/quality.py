@@ -7,10 +7,11 @@ ratio between the classes, the vector brought to length one, and a linear hinge-
 fitted by dual coordinate descent; a logistic curve over margins of rows kept back from the
 fit turns margins into probabilities.
 
-The fit is on bounded samples of the labelled training rows, those with the least hash of
-their id: counts come from at most ``COUNTED`` rows, summed in the tasks and then by column,
-so that at most ``BUCKETS`` rows reach the driver; the hinge loss from at most ``SAMPLE`` of
-them (half of them for each class while they last). The labels of ``COUNTED`` rows are
+The fit is on bounded samples of the labelled training rows, those of each class with the least
+hash of their id: counts come from at most ``COUNTED`` rows, half of them for each class, summed
+in the tasks and then by column, so that at most ``BUCKETS`` rows reach the driver; the hinge
+loss from at most ``SAMPLE`` of them, half for each class. A class with fewer rows gives all it
+has. The labels of ``COUNTED`` rows are
 broadcast, so no text is shuffled. Scoring is a map over all rows with two vectors of ``BUCKETS``
 numbers.
 
@@ -22,6 +23,7 @@ empty tables give empty results.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices
-from textmill.llm.vectext import U64, mix, word_hashes, words_of
+from textmill.llm.vectext import U64, mix, parts, word_hashes, words_of
 
 BUCKETS = 1 << 18
 COUNTED = 40_000
@@ -77,13 +79,22 @@ def _shapes(words, hashes: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of all texts one after another, and where each text's begin (one more)."""
+    """Distinct features of all texts one after another, and where each text's begin (one more). A very long
+    text is taken in parts."""
+    keys = [_feature_keys(part) for _, part in parts(texts, 2)]
+    keys = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
+    begins = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=U64) << U64(18))
+    return (keys & U64(BUCKETS - 1)).astype(np.int32), begins
+
+
+def _feature_keys(texts: pa.Array) -> np.ndarray:
+    """Text number and feature in one number, ascending."""
     words = words_of(texts, lower=False)
     n_texts = len(texts)
     hashes = word_hashes(words)
     shapes = (_shapes(words, hashes) + 1).astype(U64)
     doc = np.repeat(np.arange(n_texts, dtype=U64), np.diff(words.docs))
-    parts = []
+    found = []
     with np.errstate(over="ignore"):
         for kind, (codes, n) in enumerate(((hashes, 1), (hashes, 2), (shapes, 1), (shapes, 2), (shapes, 3))):
             if len(codes) < n:
@@ -93,10 +104,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 h = h * U64(0x9E3779B97F4A7C15) + codes[k : len(codes) - n + 1 + k]
             h = mix(h + U64(kind + 1) * U64(0xD1B54A32D192ED03)) >> U64(46)
             same = doc[: len(h)] == doc[n - 1 :] if n > 1 else slice(None)
-            parts.append(((doc[: len(h)] << U64(18)) | h)[same])
-    keys = np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=U64)
-    begins = np.searchsorted(keys, np.arange(n_texts + 1, dtype=U64) << U64(18))
-    return (keys & U64(BUCKETS - 1)).astype(np.int32), begins
+            found.append(((doc[: len(h)] << U64(18)) | h)[same])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=U64)
 
 
 def held_out(doc_id: Column, of: int = 4, remainder: int = 2) -> Column:
@@ -108,7 +117,7 @@ def _gather(sampled: set[int]):
     """Counts of features by class, summed over the task, and the features of sampled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("feature", pa.int32()), ("ones", pa.int64()), ("zeros", pa.int64()), ("label", pa.int32()), ("features", pa.list_(pa.int32()))])
+        schema = pa.schema([("feature", pa.int32()), ("ones", pa.int64()), ("zeros", pa.int64()), ("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.list_(pa.int32()))])
         counts = np.zeros((2, BUCKETS), dtype=np.int64)
         rows = np.zeros(2, dtype=np.int64)
         for batch, texts in in_slices(batches, "text", SLICE):
@@ -118,12 +127,13 @@ def _gather(sampled: set[int]):
             for c in (0, 1):
                 counts[c] += np.bincount(found[each == c], minlength=BUCKETS)
                 rows[c] += (labels == c).sum()
-            keep = [(int(labels[i]), found[begins[i] : begins[i + 1]]) for i, d in enumerate(batch.column("doc_id").to_pylist()) if d in sampled]
+            keep = [(d, int(labels[i]), found[begins[i] : begins[i + 1]]) for i, d in enumerate(batch.column("doc_id").to_pylist()) if d in sampled]
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([-2] * len(keep), pa.int32()), pa.nulls(len(keep), pa.int64()), pa.nulls(len(keep), pa.int64()), pa.array([k[0] for k in keep], pa.int32()), pa.array([k[1] for k in keep], pa.list_(pa.int32()))], schema=schema)
+                doc, label, lists = zip(*keep)
+                yield pa.RecordBatch.from_arrays([pa.array([-2] * len(keep), pa.int32()), pa.nulls(len(keep), pa.int64()), pa.nulls(len(keep), pa.int64()), pa.array(doc, pa.int64()), pa.array(label, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], schema=schema)
         some = np.flatnonzero(counts.any(axis=0))
         index = np.append(some, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(np.append(counts[1][some], rows[1])), pa.array(np.append(counts[0][some], rows[0])), pa.nulls(len(index), pa.int32()), pa.nulls(len(index), pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(np.append(counts[1][some], rows[1])), pa.array(np.append(counts[0][some], rows[0])), pa.nulls(len(index), pa.int64()), pa.nulls(len(index), pa.int32()), pa.nulls(len(index), pa.list_(pa.int32()))], schema=schema)
 
     return run
 
@@ -185,10 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """A model of ``labels`` (doc_id, <label> 0/1) from ``docs`` (doc_id, text) that are not held out."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    wanted = materialize(wanted.orderBy(order, "doc_id").limit(counted), "quality-labels")
+    of_class = [wanted.where(F.col("label") == c).orderBy(order, "doc_id").limit(counted // 2) for c in (0, 1)]
+    wanted = materialize(of_class[0].unionByName(of_class[1]), "quality-labels")
     by_class = [{r["doc_id"] for r in wanted.where(F.col("label") == c).orderBy(order, "doc_id").select("doc_id").limit(sample // 2).collect()} for c in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id"))).join(F.broadcast(wanted), "doc_id")
-    got = materialize(rows.mapInArrow(_gather(by_class[0] | by_class[1]), "feature int, ones long, zeros long, label int, features array<int>"), "quality-counts")
+    got = materialize(rows.mapInArrow(_gather(by_class[0] | by_class[1]), "feature int, ones long, zeros long, doc_id long, label int, features array<int>"), "quality-counts")
     counts = np.zeros((2, BUCKETS))
     n = np.zeros(2)
     for f, ones, zeros in got.where("feature >= -1").groupBy("feature").agg(F.sum("ones"), F.sum("zeros")).toPandas().itertuples(index=False):
@@ -202,10 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 1.0, float(np.log(p / (1 - p))))
     p, q = counts[1] + 1, counts[0] + 1
     ratios = np.log(p / p.sum()) - np.log(q / q.sum())
-    picked = got.where("feature = -2").select("label", "features").toPandas()
+    picked = got.where("feature = -2").select("doc_id", "label", "features").toPandas()
     lists = [np.asarray(f, dtype=np.int64) for f in picked["features"]]
     y = picked["label"].to_numpy()
-    order = np.lexsort((np.array([hash(f.tobytes()) for f in lists]), [len(f) for f in lists]))  # not the order of arrival
+    # By a hash of the id, and by features where rows share one: not the order of arrival.
+    order = sorted(range(len(y)), key=lambda i: (zlib.crc32(str(picked["doc_id"][i]).encode()), picked["doc_id"][i], lists[i].tobytes()))
     lists, y = [lists[i] for i in order], y[order]
     fold = np.arange(len(y)) % 4 == 0
     if len(np.unique(y[fold])) == 2 and len(np.unique(y[~fold])) == 2:
@@ -219,9 +231,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 def _scores(texts: pa.Array, scaled: np.ndarray, squares: np.ndarray, model: Model) -> np.ndarray:
     found, begins = features(texts)
-    dot = np.diff(np.concatenate([[0], np.cumsum(scaled[found])])[begins])
-    norm = np.sqrt(np.diff(np.concatenate([[0], np.cumsum(squares[found])])[begins]))
-    x = model.bias + dot / np.maximum(norm, 1e-12)
+    dot, square = np.zeros((2, len(texts)))
+    some = np.flatnonzero(np.diff(begins))
+    if len(some):  # each text is summed by itself, so its score does not depend on its neighbours
+        dot[some], square[some] = (np.add.reduceat(v[found], begins[some]) for v in (scaled, squares))
+    x = model.bias + dot / np.maximum(np.sqrt(square), 1e-12)
     return 1 / (1 + np.exp(-(model.slope * x + model.shift)))
 
 

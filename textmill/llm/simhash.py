@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from textmill.llm.components import connected_components
 from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices
-from textmill.llm.vectext import windows, words_of, xxh64
+from textmill.llm.vectext import parts, windows, words_of, xxh64
 
 SHINGLE = 4
 RADIUS = 4
@@ -36,20 +36,26 @@ SEED = 42
 BLOCK = 2000
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text."""
+def bit_counts(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingle hashes of each text have each bit, and how many there are."""
     words = words_of(texts)
     first, last, begins = windows(words.docs, shingle)
     starts = words.starts[first]
     h = xxh64(words.data, starts, words.ends[last] - starts, SEED)
     counts = np.diff(begins)
-    out = np.zeros(len(counts), dtype=np.uint64)
+    ones = np.zeros((len(counts), 64), dtype=np.int64)
     some = np.flatnonzero(counts)
     if len(some):
         bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, begins[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > counts[some, None], axis=1).view(">u8").ravel()
-    return out
+        ones[some] = np.add.reduceat(bits, begins[some], axis=0, dtype=np.int64)
+    return ones, counts
+
+
+def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text; a very long text is counted in parts."""
+    sums = [bit_counts(part, shingle) for _, part in parts(texts, shingle - 1)]
+    ones, counts = sum(o for o, _ in sums), sum(c for _, c in sums)
+    return np.packbits((2 * ones > counts[:, None]) & (counts[:, None] > 0), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

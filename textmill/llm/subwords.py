@@ -4,6 +4,10 @@ A byte-level BPE never merges across the boundary between a non-space character
 single blank or line end, so a text is the concatenation of its pieces cut in front of
 those. Pieces repeat heavily: each distinct piece goes through the library once per worker
 and its ids are looked up afterwards. The ids equal those of encoding the whole text.
+
+The strings of a vocabulary's added tokens (``<|endoftext|>``) become their ids wherever they stand,
+as the library does by default; a text that holds one goes through the library whole. With
+``as_text`` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ ODD_CUT = re.compile(r"(?= \S)")
 SAFE = re.compile(r"[ \n]\S.*\S\Z|[ \n]\S\Z", re.S)
 SEPARATOR = "\x1f"
 JOINED = 2000
+MOST_KEPT = 1 << 25
 TEXT_BYTES = 4 << 20
 
 
@@ -33,14 +38,16 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class PieceEncoder:
-    """Encodes batches of texts; keeps the ids of at most ``max_pieces`` distinct pieces."""
+    """Encodes batches of texts; keeps the ids of at most ``max_pieces`` distinct pieces of ``MOST_KEPT``
+    characters in all."""
 
-    def __init__(self, path: str, max_pieces: int = 700_000):
+    def __init__(self, path: str, max_pieces: int = 700_000, as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = as_text
+        self.added = [] if as_text else sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -50,6 +57,7 @@ class PieceEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.kept = 0
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
         self.starts = np.empty(1 << 14, dtype=np.int64)
@@ -67,6 +75,7 @@ class PieceEncoder:
         self.lengths[n : n + m] = lengths
         self.used += len(ids)
         self.known.update(zip(pieces, range(n, n + m)))
+        self.kept += sum(map(len, pieces))
 
     def _encode(self, pieces: list[str]) -> None:
         """Add pieces that are not known yet."""
@@ -94,16 +103,19 @@ class PieceEncoder:
         if len(texts) == 0:
             return np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        if odd.any():
-            values = texts.to_pylist()
-            lists = pa.array([ODD_CUT.split(t) if o else re.split(r"(?=[ \n])", t) for t, o in zip(values, odd)], pa.large_list(pa.large_string()))
+        whole = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if odd.any() or whole.any():
+            cut = lambda t, o, w: [t] if w else ODD_CUT.split(t) if o else re.split(r"(?=[ \n])", t)
+            lists = pa.array([cut(*x) for x in zip(texts.to_pylist(), odd, whole)], pa.large_list(pa.large_string()))
         else:
             cut = pc.replace_substring(texts, " ", SEPARATOR + " ")
             lists = pc.split_pattern(pc.replace_substring(cut, "\n", SEPARATOR + "\n"), SEPARATOR)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.known) + len(pieces) > self.max_pieces:
+        if len(self.known) + len(pieces) > self.max_pieces or self.kept > MOST_KEPT:
             self.clear()
         new = [p for p in pieces if p not in self.known]
         if new:
@@ -118,14 +130,14 @@ class PieceEncoder:
         return self.ids[at], np.diff(reached)
 
 
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, max_pieces: int = 700_000) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = 700_000, as_text: bool = False) -> PieceEncoder:
     """This worker's encoder for a vocabulary file; kept from task to task."""
-    key = (path, max_pieces)
+    key = (path, max_pieces, as_text)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, max_pieces)
+        _ENCODERS[key] = PieceEncoder(path, max_pieces, as_text)
     return _ENCODERS[key]
 
 

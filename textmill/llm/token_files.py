@@ -8,7 +8,8 @@ index, then only the frames that hold the documents it wants. Any zstandard tool
 decompress the whole file.
 
 Documents lie in ascending ``doc_id`` order (nulls first, equal ids by text), over files
-by range. Every file is written under a name of its own attempt and named by the task's
+by range; ids that repeat very often are spread by the beginning of their texts, and equal rows by
+their place in the input, so no id makes one large file. Every file is written under a name of its own attempt and named by the task's
 result, so a lost or repeated task leaves at most an unused file.
 
 Edge cases: a null text is empty; an empty document has the end id alone; a document longer
@@ -27,6 +28,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ HAS_CHECKSUM = 0x80
 
 FRAME_IDS = 1 << 17
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "<u1"), ("frame", "<u4"), ("offset", "<u8"), ("n_ids", "<u8")])
-FILES = "path string, first_doc long, has_doc boolean, n_docs long, n_ids long, n_frames long, n_bytes long"
+FILES = "part int, path string, first_doc long, has_doc boolean, n_docs long, n_ids long, n_frames long, n_bytes long"
 
 
 class TokenFileWriter:
@@ -150,9 +152,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
             writer.close()
             sink.close()
             first = writer.index[0]
-            yield pa.RecordBatch.from_pylist([{"path": f"{path}/{name}", "first_doc": first[0], "has_doc": first[1], "n_docs": len(writer.index), "n_ids": writer.n_ids, "n_frames": len(writer.frames), "n_bytes": writer.n_bytes}], schema=pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("has_doc", pa.bool_()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_frames", pa.int64()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": f"{path}/{name}", "first_doc": first[0], "has_doc": first[1], "n_docs": len(writer.index), "n_ids": writer.n_ids, "n_frames": len(writer.frames), "n_bytes": writer.n_bytes}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("first_doc", pa.int64()), ("has_doc", pa.bool_()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_frames", pa.int64()), ("n_bytes", pa.int64())]))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.substring("text", 1, 32).alias("begin"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange("doc_id", "begin", "place").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, FILES), "token-files")
 
 
@@ -160,7 +163,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
     Only the list of files, one short row each, is put in order on the driver."""
     spark = files.sparkSession
-    rows = sorted(files.collect(), key=lambda r: (r["has_doc"], r["first_doc"]))
+    rows = sorted(files.select("part", "path", "n_ids").collect())
     starts, reached = [], 0
     for row in rows:
         starts.append((row["path"], reached))

@@ -5,6 +5,7 @@ Words are runs of bytes other than the six ASCII white-space characters, A-Z in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,15 +40,48 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
     apart[bounds] = True
     starts = np.flatnonzero(~space & apart[:-1])
     ends = np.flatnonzero(~space & apart[1:]) + 1
+    del apart
     docs = np.searchsorted(starts, bounds)
     keep = ~space
-    keep[ends[ends < len(raw)]] = True
+    inner = ends[ends < len(raw)]
+    blank = np.zeros(len(ends), dtype=bool)  # whether a blank follows the word
+    blank[: len(inner)] = space[inner]
+    keep[inner] = True
     data = np.full(int(keep.sum()) + 40, 0x20, dtype=np.uint8)
     data[: len(data) - 40] = np.where(space, 0x20, LOWER[raw] if lower else raw)[keep]
     lengths = ends - starts
-    new = np.cumsum(keep)
-    new_starts = new[starts] - 1
-    return Words(data, new_starts, new_starts + lengths, docs)
+    new_ends = np.cumsum(lengths + blank) - blank
+    return Words(data, new_ends - lengths, new_ends, docs)
+
+
+def parts(texts: pa.Array, overlap: int, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """A slice of texts as it is, unless it is one text of more than ``most`` bytes: that comes in parts cut at
+    white space, so that the arrays made of it stay small. Each part but the first begins with the last
+    ``overlap`` words of the one before, so every run of ``overlap + 1`` words lies in exactly one part. With
+    each part comes the number of words of the text before it. A text whose first part has no such run,
+    because its words are so long, stays whole."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + 2] if len(texts) == 1 else np.zeros(2, dtype=np.int64)
+    if offsets[1] - offsets[0] <= most:
+        yield 0, texts
+        return
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[int(offsets[0]) : int(offsets[1])]
+    begin, stop, before = 0, 0, 0
+    while stop < len(raw):
+        stop = min(stop + most, len(raw))
+        while stop < len(raw) and not SPACE[raw[stop]]:
+            blanks = np.flatnonzero(SPACE[raw[stop : stop + 4096]])
+            stop = min(stop + 4096, len(raw)) if not len(blanks) else stop + int(blanks[0])
+        here = raw[begin:stop]
+        space = SPACE[here]
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if len(starts) > overlap:
+            yield before, pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(here)], dtype=np.int64)), pa.py_buffer(here)])
+        elif begin == 0:
+            yield 0, texts
+            return
+        again = min(overlap, len(starts))
+        before += len(starts) - again
+        begin = begin + int(starts[len(starts) - again]) if again else stop
 
 
 def windows(docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,26 +169,42 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-_POWERS: dict[str, np.ndarray] = {}
 BASE = 0x9E3779B97F4A7C15 | 1
+PART = 1 << 18
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        n = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            for name, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                p = np.full(n, x, dtype=U64)
-                p[0] = 1
-                _POWERS[name] = np.cumprod(p, dtype=U64)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(x: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        p = np.full(PART + 1, x, dtype=U64)
+        p[0] = 1
+        return np.cumprod(p, dtype=U64)
+
+
+UP, DOWN = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, then mixed."""
-    up, down = _powers(len(words.data) + 1)
+    """A 64-bit hash of each word: a polynomial in its bytes, then mixed. Worked out over ``PART`` bytes at
+    a time, so that the sums stay small whatever the length of a text."""
+    h, lengths = np.empty(len(words.starts), dtype=U64), words.ends - words.starts
+
+    def sums(a: int, b: int) -> np.ndarray:
+        out = np.zeros(b - a + 1, dtype=U64)
+        np.cumsum((words.data[a:b].astype(U64) + U64(1)) * UP[: b - a], out=out[1:])
+        return out
+
+    i = 0
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(words.data) + 1, dtype=U64)
-        np.cumsum((words.data.astype(U64) + U64(1)) * up[: len(words.data)], out=sums[1:])
-        h = (sums[words.ends] - sums[words.starts]) * down[words.starts]
-        return mix(h + (words.ends - words.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        while i < len(h):
+            a = int(words.starts[i])
+            j = int(np.searchsorted(words.ends, a + PART, side="right"))
+            if j > i:
+                s = sums(a, int(words.ends[j - 1]))
+                h[i:j] = (s[words.ends[i:j] - a] - s[words.starts[i:j] - a]) * DOWN[words.starts[i:j] - a]
+            else:  # one word longer than a part
+                j, total = i + 1, 0
+                for k in range(a, int(words.ends[i]), PART):
+                    total += int(sums(k, min(k + PART, int(words.ends[i])))[-1]) * pow(BASE, k - a, 1 << 64)
+                h[i] = total & (1 << 64) - 1
+            i = j
+        return mix(h + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
