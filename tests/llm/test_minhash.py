@@ -1,10 +1,14 @@
 import hashlib
+import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from textmill.llm import minhash, queries
+from textmill.llm import minhash, queries, simhash, vectext
+from textmill.llm.buckets import members_of
+from textmill.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,12 +72,77 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_hot_bucket_in_blocks(spark):
-    texts = [(i, " ".join(f"q{j}" if j != i else f"z{i}" for j in range(60))) for i in range(40)]
-    sets = minhash.shingle_sets(spark.createDataFrame(texts, "doc_id long, text string")).drop("doc_id")
-    from textmill.llm.components import connected_components
-
-    nodes = connected_components(minhash.near_links(sets, 0.7, block=6))
-    assert nodes.select("root").distinct().count() == 1 and nodes.count() == 40
+    """A chain of near copies and a crowd around one text, in one bucket: leaders alone do not link the chain."""
+    base = [f"q{j}" for j in range(60)]
+    texts = [" ".join(base[:j] + [f"z{j}"] + base[j + 1 :]) for j in range(0, 40, 2)]
+    texts += [" ".join(f"c{(i + j) % 400}" for j in range(80)) for i in range(0, 60, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = minhash.shingle_sets(docs)
+    one_bucket = sets.selectExpr("node", "0 as t", "7L as key")
+    edges = minhash.near_links(members_of(one_bucket), sets, 0.7, block=6)
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    nodes = {tuple(sorted(r.shingles)): r.node for r in sets.collect()}
+    assert len(nodes) == 40
+    want = components({n: set(s) for s, n in nodes.items()}, 0.7)
+    assert got == {n: r for n, r in want.items() if sum(v == r for v in want.values()) > 1} and len(set(got.values())) == 2
+
+
+def components(sets, threshold):
+    root = {n: n for n in sets}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in itertools.combinations(sets, 2):
+        if find(a) != find(b) and 5 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= threshold:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {n: find(n) for n in sets}
+
+
+def test_keep_one(spark):
+    """Against brute force, with ids shared by unlike rows, equal rows, nulls and clashing names; with and without the
+    covering tables of the SimHash."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 400]))]
+        for j in range(5):
+            w = list(words)
+            for _ in range(rng.randrange(0, 1 + len(w) // 40)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(5000)}"
+            rows.append((10 * i + j if j < 4 else 10 * i, " ".join(w)))
+    rows += [(500, None), (501, ""), (None, "only null id here with words"), (None, rows[0][1]), (7, "a b"), (7, "a b"), (8, "A  b"), (7, "something else altogether")]
+    docs = spark.createDataFrame([(*r, "p", 1, "c") for r in rows], "doc_id long, text string, place string, class int, `row.x` string")
+    sets = {i: shingles(t or "") for i, (_, t) in enumerate(rows)}
+    root = components(sets, 0.8)
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    least = {r: min(order(i) for i in sets if root[i] == r) for r in set(root.values())}
+    for keep in (minhash.keep_one, simhash.keep_one):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        found = [(r.doc_id, r.text) for r in got.collect()]
+        assert len(found) == len(least)
+        assert sorted((d is None, d or 0) for d, _ in found) == sorted(least.values())
+        assert keep(docs.limit(0)).count() == 0
+
+
+def test_query_returns_classes(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = components({d: shingles(t) for d, t in docs.items()}, 0.8)
+    assert {r.doc_id: r.component_id for r in queries.op6_minhash(spark, SF).collect()} == want
+
+
+def test_long_text_in_parts():
+    text = pa.array([" ".join(f"w{i % 9973}" for i in range(400_000))], pa.large_string())
+    assert len(list(vectext.parts(text, 4))) > 2
+    x, _ = minhash.shingle_hashes(text)
+    assert (minhash.distinct_shingles(text)[0] == np.unique(x)).all()
+    assert (minhash.signatures(text)[0, 3] == (x * minhash.MULTIPLY[3] + minhash.ADD[3]).min()).all()
+    ones, count = simhash.bit_counts(text, 4)
+    assert (simhash.fingerprints_of(text) == np.packbits(2 * ones > count[:, None], axis=1).view(">u8").ravel()).all()
 
 
 def test_signature_is_the_least_value():

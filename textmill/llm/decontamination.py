@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices
 from textmill.llm.vectext import U64, mix, word_hashes, words_of
 
@@ -262,6 +263,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bloc
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """``docs`` without the documents that hold an item of ``benchmark``; all columns are kept."""
-    bad = find_items(docs, benchmark, share).select(F.struct("doc_id").alias("__held")).distinct()
-    return docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"))).join(bad, F.col("__key") == F.col("__held"), "left_anti").drop("__key")
+    """``docs`` without the documents that hold an item of ``benchmark``; all columns are kept, whatever their names.
+    The ids of those documents are written first, so that the join knows their size: only a small table is
+    broadcast, and then no text is shuffled."""
+    bad = materialize(find_items(docs, benchmark, share).select(F.col("doc_id").alias("held")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(bad, F.col("row.doc_id").cast("long").eqNullSafe(F.col("held")), "left_anti").select("row.*")

@@ -8,9 +8,9 @@ fingerprints is their share of equal lanes, corrected for chance agreement, and
 the Jaccard similarity of the shingle sets with a standard error of at most 0.032.
 
 ``near_duplicates``: texts with equal shingle sets are one class from the start. Signature
-bands of ``ROWS`` lanes are joined in Spark; each bucket gives a spanning forest of the links
-whose Jaccard similarity, counted on the shingle sets, reaches the threshold. A bucket with
-more than ``BLOCK`` classes is compared in pairs of blocks, so none meets in one task.
+bands of ``ROWS`` lanes are joined in Spark; links are those whose Jaccard similarity, counted on
+the shingle sets, reaches the threshold. How the members of a bucket are compared is said in
+``buckets``: never all pairs of a large one in one task.
 
 Edge cases: a null text is empty; texts without words have all lanes at their highest value,
 are alike to each other (1) and to nothing else, and make one class; repeated ids are ordered
@@ -21,7 +21,7 @@ table gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.buckets import bucket_links, members_of
 from textmill.llm.components import connected_components
-from textmill.llm.runs import sorted_runs
 from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices
 from textmill.llm.vectext import U64, mix, parts, windows, word_hashes, words_of
@@ -120,17 +120,44 @@ def dealt_descending(docs: DataFrame, n: int | None = None) -> DataFrame:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+CLASSED = "class long, bands array<long>"
+Tables = Callable[[pa.Array], np.ndarray]
+
+
+def classed(texts: pa.Array, shingle: int, signature: np.ndarray, tables: Tables | None = None) -> list[pa.Array]:
+    """For each text a hash of its set of shingles, and its keys in the tables: the bands of its signature,
+    then those that ``tables`` gives for a slice of texts."""
+    classes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in distinct_shingles(texts, shingle)]
+    lanes = signature[:, : BANDS * ROWS].astype(U64)
+    keys = np.zeros((len(classes), BANDS), dtype=U64)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            keys = mix(keys * U64(0x9E3779B97F4A7C15) + lanes[:, r::ROWS] + U64(r + 1))
+    keys = keys.view(np.int64)
+    if tables is not None:
+        keys = np.concatenate([keys, tables(texts)], axis=1)
+    return [pa.array(classes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))]
 
 
 def fingerprints_and_edits(docs: DataFrame, shingle: int = SHINGLE, partitions: int | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text), in ``RESULT``: its fingerprint, that of the text whose
-    last third is replaced by the beginning of the next document, and their likeness."""
+    """Per row of ``docs`` (doc_id, text), in ``RESULT`` and ``CLASSED``: its fingerprint, that of the text whose
+    last third is replaced by the beginning of the next document, and their likeness; then the row's class
+    and its signature bands."""
+
+    def signed(texts: list[str], own: bool = False) -> tuple[np.ndarray, list[list[pa.Array]]]:
+        found, classes = [], []
+        for _, some in in_slices(iter([pa.record_batch([pa.array(texts, pa.large_string())], ["text"])]), "text", SLICE):
+            found.append(signatures(some, shingle))
+            if own:
+                classes.append(classed(some, shingle, found[-1]))
+        return np.concatenate(found), classes
 
     def rows_of(ids: list, texts: list[str]) -> pa.RecordBatch:
         """``texts`` has one more: the text after the last row."""
         n = np.array([len(t) for t in texts[:-1]], dtype=np.int64)
         edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for t, u in zip(texts, texts[1:])]
-        own, changed = ((fingerprint_bytes(np.concatenate([signatures(x, shingle) for _, x in in_slices([pa.record_batch([pa.array(t, pa.large_string())], ["text"])], "text", SLICE)]))) for t in (texts, edited))
+        signature, classes = signed(texts, own=True)
+        own, changed = fingerprint_bytes(signature), fingerprint_bytes(signed(edited)[0])
         columns = [
             pa.array(ids, pa.int64()),
             pa.array(n),
@@ -139,8 +166,9 @@ def fingerprints_and_edits(docs: DataFrame, shingle: int = SHINGLE, partitions:
             pa.array([x.tobytes().hex() for x in changed]),
             pa.array(likeness(own[:-1], changed)),
             pa.array(likeness(own[:-1], own[1:])),
+            *(pa.concat_arrays(c).slice(0, len(ids)) for c in zip(*classes)),
         ]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in f"{RESULT}, {CLASSED}".split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after, ids, texts = None, [], []
@@ -157,97 +185,112 @@ def fingerprints_and_edits(docs: DataFrame, shingle: int = SHINGLE, partitions:
         if ids:
             yield rows_of(ids, [*texts, after])
 
-    return dealt_descending(docs, partitions).mapInArrow(run, RESULT)
+    return dealt_descending(docs, partitions).mapInArrow(run, f"{RESULT}, {CLASSED}")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, class, bands, shingles): class is a hash of the set of shingles."""
-    schema = "doc_id long, class long, bands array<long>, shingles array<int>"
+def bands_of(docs: DataFrame, shingle: int = SHINGLE, tables: Tables | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, class and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in in_slices(batches, "text", SLICE):
-            sets = distinct_shingles(texts, shingle)
-            classes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-            lanes = signatures(texts, shingle, BANDS * ROWS).astype(U64)
-            keys = np.zeros((len(sets), BANDS), dtype=U64)
-            with np.errstate(over="ignore"):
-                for r in range(ROWS):
-                    keys = mix(keys * U64(0x9E3779B97F4A7C15) + lanes[:, r::ROWS] + U64(r + 1))
-            columns = [batch.column(0), pa.array(classes, pa.int64()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "bands", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def jaccard_forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Positions of a spanning forest of the links between sets of distinct values."""
-    edges, rest = [], np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    while len(rest) > 1:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            x = frontier.pop()
-            can = rest[np.minimum(sizes[rest], sizes[x]) >= threshold * np.maximum(sizes[rest], sizes[x])]
-            can = can[sizes[can] > 0]
-            if not len(can):
-                continue
-            flat = np.isin(np.concatenate([sets[i] for i in can]), sets[x])
-            shared = np.add.reduceat(flat, np.cumsum(sizes[can]) - sizes[can], dtype=np.int64)
-            found = can[shared >= threshold * (sizes[can] + sizes[x] - shared)]
-            edges += [(int(x), int(y)) for y in found]
-            frontier += list(found)
-            rest = rest[~np.isin(rest, found)]
-    return edges
-
-
-def near_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """``classes`` (class, bands, shingles), one row each -> verified edges (a, b) with the components
-    of all links that share a band."""
-    keyed = classes.select("class", F.posexplode("bands").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    paired = (
-        keyed.join(shared, ["t", "key"])
-        .select("t", "key", "class", blocks.alias("blocks"))
-        .select("t", "key", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("t", "key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "class")
-        .join(classes.select("class", "shingles"), "class")
-    )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *classed(texts, shingle, signatures(texts, shingle, BANDS * ROWS), tables)], ["doc_id", "class", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {CLASSED}")
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` (text) -> class and its distinct shingles, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, begins in sorted_runs(batches, 4):
-            names = rows.column("class").to_numpy()
-            lists = rows.column("shingles")
-            edges = []
-            for a, b in zip(begins, begins[1:]):
-                sets = [np.asarray(v.values) for v in (lists[i] for i in range(a, b))]
-                edges += [(names[a + i], names[a + j]) for i, j in jaccard_forest(sets, threshold)]
-            pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    groups = ["t", "key", "c1", "c2"]
-    dealt = paired.select(*groups, "class", "shingles").repartition(*groups).sortWithinPartitions(*groups)
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, component_id (the least doc_id reachable over links
-    of the threshold or more) and the number of rows with the same set of shingles."""
-    sets = materialize(shingle_sets(docs, shingle), "shingle-sets")
-    sizes = sets.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    sizes = materialize(sizes, "shingle-classes")
-    one = sets.groupBy("class").agg(F.min_by(F.struct("bands", "shingles"), F.xxhash64("doc_id")).alias("s")).select("class", "s.bands", "s.shingles")
-    parts = connected_components(near_links(materialize(one, "class-sets"), threshold))
-    linked = parts.join(sizes, parts["node"] == sizes["class"]).select("class", "root", "first")
+        for _, texts in in_slices(batches, "text", SLICE):
+            sets = distinct_shingles(texts, shingle)
+            classes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<int>")
+
+
+def jaccard(rows: pa.Table, threshold: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For rows with ``shingles``: which of some positions reach the threshold with one."""
+    lists = rows.column("shingles").combine_chunks()
+    values, index = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    sizes = np.diff(lists.offsets.to_numpy())
+    begins = np.cumsum(sizes) - sizes
+
+    def near(x: int, some: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(sizes[some], sizes[x]), np.maximum(sizes[some], sizes[x])
+        can = np.flatnonzero((low > 0) & (low >= threshold * high))
+        out = np.zeros(len(some), dtype=bool)
+        if len(can):
+            own = np.zeros(len(values), dtype=bool)
+            own[index[begins[x] : begins[x] + sizes[x]]] = True
+            n = sizes[some[can]]
+            ends = np.cumsum(n)
+            shared = np.add.reduceat(own[index[np.repeat(begins[some[can]] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+            out[can] = shared >= threshold * (n + sizes[x] - shared)
+        return out
+
+    return near
+
+
+def near_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """``members`` as given by ``buckets.members_of``, ``sets`` (node, shingles) -> verified edges (a, b) with the
+    components of all links among members of a bucket."""
+    shared = F.size(F.array_intersect("shingles", "others"))
+    close = (shared > 0) & (shared >= threshold * (F.size("shingles") + F.size("others") - shared))
+
+    def star(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader").where(close).select("node", "leader")
+
+    return bucket_links(members, star, lambda rows: jaccard(rows, threshold), sets, block)
+
+
+def within(docs: DataFrame, column: str, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``docs`` whose ``column`` is in ``ids`` (id, distinct), nulls included. Up to ``most`` ids, counted here, are broadcast
+    so that no text is shuffled; more are joined by shuffle."""
+    found = ids.select(F.col("id").alias("wanted_id"))
+    if ids.count() <= most:
+        found = F.broadcast(found)
+    return docs.join(found, docs[column].eqNullSafe(F.col("wanted_id")), "left_semi")
+
+
+def classes_of(banded: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """``banded`` (doc_id, class, bands) of ``docs`` (doc_id, text) -> class, component_id (the least doc_id reachable over
+    links of the threshold or more) and copies, the number of rows with the same set of shingles. Shingles
+    are made again, and kept, only for one document of each class that shares a bucket with another."""
+    classes = materialize(banded.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "shingle-classes")
+    members = members_of(classes.select(F.col("class").alias("node"), F.posexplode("bands").alias("t", "key")))
+    wanted = materialize(members.select("node").distinct().join(classes, F.col("node") == F.col("class")).select("node", "first"), "wanted-classes")
+    rows = within(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", materialize(wanted.select(F.col("first").alias("id")).distinct(), "wanted-ids"))
+    sets = shingle_sets(rows, shingle).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    parts = connected_components(near_links(members, materialize(sets, "class-sets"), threshold, block))
+    linked = materialize(parts.join(classes, parts["node"] == classes["class"]).select("class", "root", "first"), "linked-classes")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
-    classes = sizes.join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component_id"), "copies")
-    return sets.select("doc_id", "class").join(classes, "class").select("doc_id", "component_id", "copies")
+    return materialize(classes.join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component_id"), "copies"), "class-components")
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each class, that of the least ``doc_id``; rows that share an id count
-    as one document. All columns are kept."""
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
-    kept = near_duplicates(docs, threshold, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("__kept")).distinct()
-    return docs.withColumn("__key", key).join(kept, F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, tables: Tables | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, component_id (the least doc_id reachable over links
+    of the threshold or more) and the number of rows with the same set of shingles."""
+    banded = materialize(bands_of(docs, shingle, tables), "bands")
+    return banded.select("doc_id", "class").join(classes_of(banded, docs, threshold, shingle), "class").select("doc_id", "component_id", "copies")
+
+
+def fingerprints_and_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """``fingerprints_and_edits`` in ``RESULT``, with the component_id and the copies of ``near_duplicates``."""
+    rows = materialize(fingerprints_and_edits(docs, shingle), "fingerprints")
+    classes = classes_of(rows.select("doc_id", "class", "bands"), docs, threshold, shingle)
+    return rows.drop("bands").join(classes, "class").drop("class")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, tables: Tables | None = None) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates, that of the least ``doc_id`` (nulls last); all
+    columns are kept, whatever their names. Rows that share an id are told apart by a number of their own."""
+    rows = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place")), "rows")
+    near = near_duplicates(rows.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text")), threshold, shingle, tables)
+    groups = materialize(near.select(F.col("doc_id").alias("place"), F.col("component_id").alias("component")), "row-components")
+    large = materialize(groups.join(groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi"), "row-groups")
+    named = materialize(large.join(rows.select("place", F.col("row.doc_id").alias("id")), "place").select("component", F.struct(F.col("id").isNull().alias("none"), "id", "place").alias("order")), "ordered-groups")
+    first = named.groupBy("component").agg(F.min("order").alias("first")).select("first.place")
+    gone = materialize(large.select("place").join(first, "place", "left_anti"), "near-copies")
+    return rows.join(gone, "place", "left_anti").select("row.*")

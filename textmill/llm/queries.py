@@ -37,8 +37,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and edited fingerprint of every document, with their likeness."""
-    return minhash.fingerprints_and_edits(table(spark, sf_dir, "documents"))
+    """Fingerprint and edited fingerprint of every document, with their likeness, and its near-duplicate class."""
+    return minhash.fingerprints_and_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

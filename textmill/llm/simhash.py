@@ -7,9 +7,8 @@ Search: covering locality-sensitive hashing. Each of the 64 bits gets a non-zero
 r + 1 bits; a table for each non-zero vector v looks only at the bits whose vector has an odd
 product with v. The vectors of r differing bits span r dimensions at most, so some v is
 orthogonal to all of them and its table does not look at any differing bit: every pair within
-radius r meets in some table. Equal fingerprints are one node from the start. A bucket gives
-a spanning forest of its links, never all pairs; one with more than ``BLOCK`` fingerprints is
-compared in pairs of blocks, each block pair in a group of its own.
+radius r meets in some table. Equal fingerprints are one node from the start. How the members
+of a bucket are compared is said in ``buckets``: never all pairs of a large one in one task.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; rows
 that share an id are separate rows with the same ``doc_id``; null ids never give the class
@@ -25,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm import minhash
+from textmill.llm.buckets import bucket_links, members_of
 from textmill.llm.components import connected_components
 from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices
@@ -76,76 +77,16 @@ def covering_masks(radius: int = RADIUS, n_bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct fingerprints."""
-    edges, rest = [], fps.view(np.uint64)
-    while len(rest) > 1:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            x = frontier.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
-            if near.any():
-                found = rest[near]
-                edges += [(int(x), int(y)) for y in found]
-                frontier += list(found)
-                rest = rest[~near]
-    return edges
-
-
-def _link(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def edges_of(table: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """``table``: run number of each row, ascending."""
-            begins = np.flatnonzero(np.diff(table, prepend=-1))
-            sizes = np.diff(np.append(begins, len(table)))
-            a, b = [], []
-            twos = begins[sizes == 2]  # nearly all
-            ok = np.bitwise_count((fps[twos] ^ fps[twos + 1]).view(np.uint64)) <= radius
-            a.append(fps[twos[ok]])
-            b.append(fps[twos[ok] + 1])
-            more = [e for i, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist()) for e in forest(fps[i : i + n], radius)]
-            if more:
-                pairs = np.array(more, dtype=np.uint64).view(np.int64)
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
-            fps = batch.column(4).to_numpy()
-            if key is not None:
-                keys = np.concatenate([np.repeat(key[None], len(held), axis=0), keys])
-                fps = np.concatenate([held, fps])
-            runs = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
-            cut = int(np.searchsorted(runs, runs[-1]))  # the last run may go on
-            if cut:
-                yield from edges_of(runs[:cut], fps[:cut])
-            key, held = keys[-1], fps[cut:]
-        if key is not None:
-            yield from edges_of(np.zeros(len(held), dtype=np.int64), np.asarray(held))
-
-    return run
-
-
 def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links."""
     keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)))
-    rows = fps.select("fp", F.posexplode(keys).alias("t", "key"))
-    shared = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    paired = (
-        rows.join(shared, ["t", "key"])
-        .select("t", "key", "fp", blocks.alias("blocks"))
-        .select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("t", "key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "fp")
-    )
-    groups = ["t", "key", "c1", "c2"]
-    return paired.repartition(*groups).sortWithinPartitions(*groups, "fp").mapInArrow(_link(radius), "a long, b long")
+    members = members_of(fps.select(F.col("fp").alias("node"), F.posexplode(keys).alias("t", "key")))
+
+    def near(rows: pa.Table):
+        own = rows.column("node").to_numpy().view(np.uint64)
+        return lambda x, some: np.bitwise_count(own[some] ^ own[x]) <= radius
+
+    return bucket_links(members, lambda pairs: pairs.where(F.bit_count(F.col("node").bitwiseXOR(F.col("leader"))) <= radius), near, block=block)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -154,15 +95,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct-fingerprints")
     parts = connected_components(near_links(nodes.select("fp"), radius))
-    linked = parts.join(nodes, parts["node"] == nodes["fp"]).select("fp", "root", "first")
+    linked = materialize(parts.join(nodes, parts["node"] == nodes["fp"]).select("fp", "root", "first"), "linked-fingerprints")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
     classes = nodes.join(named, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component")).alias("component_id"), "copies")
+    # As a table of its own, so that the join below may be split where a fingerprint has very many rows.
+    classes = materialize(classes, "fingerprint-classes")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each class, that of the least ``doc_id``; rows that share an id count
-    as one document. All columns are kept."""
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
-    kept = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("__kept")).distinct()
-    return docs.withColumn("__key", key).join(kept, F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
+def keep_one(docs: DataFrame, threshold: float = minhash.THRESHOLD, radius: int = RADIUS, shingle: int = minhash.SHINGLE) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates, that of the least ``doc_id`` (nulls last); all
+    columns are kept, whatever their names.
+
+    A link is an exact Jaccard similarity of ``threshold`` or more on ``shingle``-word shingles. Candidates
+    come from the covering tables of the SimHash of these shingles, which find every such pair within
+    ``radius`` bits, and from MinHash bands, since most pairs near the threshold differ in some ten bits,
+    beyond any radius that covering masks can afford."""
+    masks = covering_masks(radius)
+
+    def tables(texts: pa.Array) -> np.ndarray:
+        return fingerprints_of(texts, shingle).view(np.int64)[:, None] & np.array(masks, dtype=np.int64)
+
+    return minhash.keep_one(docs, threshold, shingle, tables)
