@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontamination, line_dedup, minhash, packing, quality
+from textmill.llm import decontamination, line_dedup, packing, quality, simhash
 from textmill.llm.storage import materialize
 from textmill.session import table
 
@@ -22,14 +22,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of three lines or more that came before."""
     out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or
-    more, counted exactly. Candidates come from MinHash bands: such pairs differ in some ten of the 64 bits
-    of a SimHash, beyond any radius that covering masks can afford."""
-    return minhash.keep_one(docs)
+    more, counted exactly on candidates from the SimHash covering tables and, for pairs beyond their
+    radius, from MinHash bands."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
