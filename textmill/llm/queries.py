@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with personal data, rewritten with surrogates."""
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), only_changed=True)
+    """Documents with personal data, rewritten with surrogates. The key is that of the session, else one for this run."""
+    key = spark.conf.get("spark.textmill.pii.key", None) or secrets.token_hex(32)
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key, only_changed=True)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
