@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.storage import materialize
+from textmill.llm.storage import discard, materialize
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        now = materialize(_stars(now), "edges")
+        before, now = now, materialize(_stars(now), "edges")
+        discard(before)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.buckets import bucket_links, members_of
 from textmill.llm.components import connected_components
-from textmill.llm.storage import materialize
+from textmill.llm.storage import discard, materialize, release
 from textmill.llm.subwords import in_slices
 from textmill.llm.vectext import U64, mix, parts, windows, word_hashes, words_of
 
@@ -124,10 +124,15 @@ CLASSED = "class long, bands array<long>"
 Tables = Callable[[pa.Array], np.ndarray]
 
 
+def class_of(shingles: np.ndarray) -> int:
+    """A hash of a set of shingles."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def classed(texts: pa.Array, shingle: int, signature: np.ndarray, tables: Tables | None = None) -> list[pa.Array]:
     """For each text a hash of its set of shingles, and its keys in the tables: the bands of its signature,
     then those that ``tables`` gives for a slice of texts."""
-    classes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in distinct_shingles(texts, shingle)]
+    classes = [class_of(s) for s in distinct_shingles(texts, shingle)]
     lanes = signature[:, : BANDS * ROWS].astype(U64)
     keys = np.zeros((len(classes), BANDS), dtype=U64)
     with np.errstate(over="ignore"):
@@ -140,16 +145,15 @@ def classed(texts: pa.Array, shingle: int, signature: np.ndarray, tables: Tables
 
 
 def fingerprints_and_edits(docs: DataFrame, shingle: int = SHINGLE, partitions: int | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text), in ``RESULT`` and ``CLASSED``: its fingerprint, that of the text whose
-    last third is replaced by the beginning of the next document, and their likeness; then the row's class
-    and its signature bands."""
+    """Per row of ``docs`` (doc_id, text), in ``RESULT``: its fingerprint, that of the text whose last third is replaced
+    by the beginning of the next document, and their likeness; then the row's class."""
 
-    def signed(texts: list[str], own: bool = False) -> tuple[np.ndarray, list[list[pa.Array]]]:
+    def signed(texts: list[str], own: bool = False) -> tuple[np.ndarray, list[int]]:
         found, classes = [], []
         for _, some in in_slices(iter([pa.record_batch([pa.array(texts, pa.large_string())], ["text"])]), "text", SLICE):
             found.append(signatures(some, shingle))
             if own:
-                classes.append(classed(some, shingle, found[-1]))
+                classes += [class_of(s) for s in distinct_shingles(some, shingle)]
         return np.concatenate(found), classes
 
     def rows_of(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -166,9 +170,9 @@ def fingerprints_and_edits(docs: DataFrame, shingle: int = SHINGLE, partitions:
             pa.array([x.tobytes().hex() for x in changed]),
             pa.array(likeness(own[:-1], changed)),
             pa.array(likeness(own[:-1], own[1:])),
-            *(pa.concat_arrays(c).slice(0, len(ids)) for c in zip(*classes)),
+            pa.array(classes[:-1], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in f"{RESULT}, {CLASSED}".split(", ")])
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in f"{RESULT}, class long".split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after, ids, texts = None, [], []
@@ -185,7 +189,7 @@ def fingerprints_and_edits(docs: DataFrame, shingle: int = SHINGLE, partitions:
         if ids:
             yield rows_of(ids, [*texts, after])
 
-    return dealt_descending(docs, partitions).mapInArrow(run, f"{RESULT}, {CLASSED}")
+    return dealt_descending(docs, partitions).mapInArrow(run, f"{RESULT}, class long")
 
 
 def bands_of(docs: DataFrame, shingle: int = SHINGLE, tables: Tables | None = None) -> DataFrame:
@@ -204,7 +208,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in in_slices(batches, "text", SLICE):
             sets = distinct_shingles(texts, shingle)
-            classes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            classes = [class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))], ["node", "shingles"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<int>")
@@ -245,52 +249,66 @@ def near_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
     return bucket_links(members, star, lambda rows: jaccard(rows, threshold), sets, block)
 
 
-def within(docs: DataFrame, column: str, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``docs`` whose ``column`` is in ``ids`` (id, distinct), nulls included. Up to ``most`` ids, counted here, are broadcast
-    so that no text is shuffled; more are joined by shuffle."""
-    found = ids.select(F.col("id").alias("wanted_id"))
-    if ids.count() <= most:
-        found = F.broadcast(found)
-    return docs.join(found, docs[column].eqNullSafe(F.col("wanted_id")), "left_semi")
+def sized(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table to join with: broadcast if it has ``most`` rows at most, counted here; else joined by shuffle."""
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def classes_of(banded: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """``banded`` (doc_id, class, bands) of ``docs`` (doc_id, text) -> class, component_id (the least doc_id reachable over
-    links of the threshold or more) and copies, the number of rows with the same set of shingles. Shingles
-    are made again, and kept, only for one document of each class that shares a bucket with another."""
+    links of the threshold or more) and copies, the number of rows with the same set of shingles: of classes
+    with several rows or a link. Shingles are made again, and kept, only for one document of each class
+    that shares a bucket with another."""
     classes = materialize(banded.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "shingle-classes")
     members = members_of(classes.select(F.col("class").alias("node"), F.posexplode("bands").alias("t", "key")))
     wanted = materialize(members.select("node").distinct().join(classes, F.col("node") == F.col("class")).select("node", "first"), "wanted-classes")
-    rows = within(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", materialize(wanted.select(F.col("first").alias("id")).distinct(), "wanted-ids"))
-    sets = shingle_sets(rows, shingle).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    parts = connected_components(near_links(members, materialize(sets, "class-sets"), threshold, block))
+    ids = sized(materialize(wanted.select(F.col("first").alias("wanted_id")).distinct(), "wanted-ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    sets = materialize(shingle_sets(rows, shingle).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "class-sets")
+    parts = connected_components(near_links(members, sets, threshold, block))
     linked = materialize(parts.join(classes, parts["node"] == classes["class"]).select("class", "root", "first"), "linked-classes")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
-    return materialize(classes.join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component_id"), "copies"), "class-components")
+    found = classes.drop("bands").join(named, "class", "left").where("copies > 1 or component is not null")
+    found = materialize(found.select("class", F.coalesce("component", "first").alias("component_id"), "copies"), "class-components")
+    discard(classes, members, wanted, sets)
+    return found
+
+
+def with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, class, ...) with the component_id and copies of their class instead of it."""
+    names = [c for c in rows.columns if c != "class"]
+    joined = rows.join(sized(classes.withColumnRenamed("class", "of")), F.col("class") == F.col("of"), "left")
+    alone = F.col("of").isNull()
+    return joined.select(*names, F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 1).otherwise(F.col("copies")).alias("copies"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, tables: Tables | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, component_id (the least doc_id reachable over links
     of the threshold or more) and the number of rows with the same set of shingles."""
-    banded = materialize(bands_of(docs, shingle, tables), "bands")
-    return banded.select("doc_id", "class").join(classes_of(banded, docs, threshold, shingle), "class").select("doc_id", "component_id", "copies")
+    banded = materialize(bands_of(docs, shingle), "bands")
+    return with_classes(banded.select("doc_id", "class"), classes_of(banded, docs, threshold, shingle))
 
 
 def fingerprints_and_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """``fingerprints_and_edits`` in ``RESULT``, with the component_id and the copies of ``near_duplicates``."""
-    rows = materialize(fingerprints_and_edits(docs, shingle), "fingerprints")
-    classes = classes_of(rows.select("doc_id", "class", "bands"), docs, threshold, shingle)
-    return rows.drop("bands").join(classes, "class").drop("class")
+    """``fingerprints_and_edits`` in ``RESULT``, with the component_id and the copies of ``near_duplicates``. The classes
+    come first, and what they took is given back before all texts are shuffled."""
+    banded = materialize(bands_of(docs, shingle), "bands")
+    classes = classes_of(banded, docs, threshold, shingle)
+    discard(banded)
+    release(docs.sparkSession)
+    return with_classes(fingerprints_and_edits(docs, shingle), classes)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, tables: Tables | None = None) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, that of the least ``doc_id`` (nulls last); all
     columns are kept, whatever their names. Rows that share an id are told apart by a number of their own."""
     rows = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place")), "rows")
-    near = near_duplicates(rows.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text")), threshold, shingle, tables)
-    groups = materialize(near.select(F.col("doc_id").alias("place"), F.col("component_id").alias("component")), "row-components")
-    large = materialize(groups.join(groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi"), "row-groups")
-    named = materialize(large.join(rows.select("place", F.col("row.doc_id").alias("id")), "place").select("component", F.struct(F.col("id").isNull().alias("none"), "id", "place").alias("order")), "ordered-groups")
+    texts = rows.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text"))
+    banded = materialize(bands_of(texts, shingle, tables), "bands")
+    classes = classes_of(banded, texts, threshold, shingle)
+    groups = materialize(banded.select(F.col("doc_id").alias("place"), "class").join(sized(classes), "class").select("place", F.col("component_id").alias("component")), "row-components")
+    named = materialize(groups.join(rows.select("place", F.col("row.doc_id").alias("id")), "place").select("place", "component", F.struct(F.col("id").isNull().alias("none"), "id", "place").alias("order")), "ordered-groups")
     first = named.groupBy("component").agg(F.min("order").alias("first")).select("first.place")
-    gone = materialize(large.select("place").join(first, "place", "left_anti"), "near-copies")
-    return rows.join(gone, "place", "left_anti").select("row.*")
+    gone = materialize(named.select("place").join(first, "place", "left_anti"), "near-copies")
+    discard(banded, groups, named)
+    return rows.join(sized(gone), "place", "left_anti").select("row.*")
