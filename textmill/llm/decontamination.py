@@ -44,7 +44,7 @@ TABLES = WALKS * PER_WALK
 ITEM_BLOCK = 1_000_000
 PAIRS = 2_000_000
 HELD = 2_000_000
-SLICE = 2 << 20
+SLICE = 1 << 19
 FOUND = "doc_id long, item_id long, start_word int, n_words int, distance int"
 GOLDEN = U64(0x9E3779B97F4A7C15)
 

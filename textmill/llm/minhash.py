@@ -40,7 +40,7 @@ LANES = 256
 BANDS, ROWS = 25, 5
 THRESHOLD = 0.8
 BLOCK = 200
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 1 << 32, LANES, dtype=np.uint32) | np.uint32(1)

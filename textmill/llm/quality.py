@@ -40,7 +40,7 @@ BUCKETS = 1 << 18
 COUNTED = 40_000
 SAMPLE = 4000
 THRESHOLD = 0.7
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 class Model(NamedTuple):

@@ -35,6 +35,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 BLOCK = 2000
+SLICE = 1 << 19
 
 
 def bit_counts(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, "text", 2 << 20):
+        for batch, texts in in_slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(texts, shingle).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
