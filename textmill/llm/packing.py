@@ -63,9 +63,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        encode = encoder(tokenizer_path).encode
+        coder = encoder(tokenizer_path)
         for batch, texts in in_slices(batches, "text"):
-            ids, n = encode(texts)
+            ids, n = coder.encode(texts)
             ends = np.cumsum(n)
             full = np.insert(ids, ends, end_id).astype("<u4")
             n = n + 1
@@ -78,6 +78,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(ranks_in(length, seen), pa.int64())],
                 [x.split()[0] for x in PIECES.split(", ")],
             )
+        coder.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -27,7 +27,7 @@ SAFE = re.compile(r"[ \n]\S.*\S\Z|[ \n]\S\Z", re.S)
 SEPARATOR = "\x1f"
 JOINED = 2000
 MOST_KEPT = 1 << 25
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -56,6 +56,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
+        pa.default_memory_pool().release_unused()
         self.known: dict[str, int] = {}
         self.kept = 0
         self.ids = np.empty(1 << 16, dtype=np.uint32)
@@ -134,7 +135,8 @@ _ENCODERS: dict[tuple[str, int, bool], PieceEncoder] = {}
 
 
 def encoder(path: str, max_pieces: int = 700_000, as_text: bool = False) -> PieceEncoder:
-    """This worker's encoder for a vocabulary file; kept from task to task."""
+    """This worker's encoder for a vocabulary file; kept from task to task, which clear it when they end, so
+    that a worker does not hold its pieces while it does other work."""
     key = (path, max_pieces, as_text)
     if key not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(path, max_pieces, as_text)
