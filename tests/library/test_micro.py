@@ -2,13 +2,14 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import splitting as S
 from textmill.functions.text import json_size, paragraphs, sentences, tokens
 from textmill.operators import chunkers as C
-from textmill.operators import judging, metrics, retrieval
+from textmill.operators import judging, metrics, providers, retrieval
 from textmill.plans import runner, strategies
 from textmill.sources import corpus
 from textmill.streaming import chunks as streaming
@@ -69,7 +70,7 @@ def test_islands(spark):
 
 
 def test_topic_labels_and_recursion():
-    assert S.topic_labels(["a b", "x y", "a b", "x y z", "q"], 0.4) == [0, 1, 0, 1, 2]
+    assert S.topic_labels(pa.array([x.split() for x in ("a b", "x y", "a b", "x y z", "q")]), 0.4) == [0, 1, 0, 1, 2]
     assert S.recursive_split("aaa bbb ccc", 7, 0) == ["aaa bbb", "ccc"]
     long = " ".join(f"w{i}" for i in range(400))
     out = S.recursive_split(long, 100, 20)
@@ -80,15 +81,42 @@ def test_topic_labels_and_recursion():
 
 
 def test_boundaries_and_segments(spark):
-    assert S.boundary_chunks("A b. C d. E f.", 1500) == ["A b. C d."] and S.boundary_chunks("One sentence only.", 1500) == []
-    assert S.boundary_chunks("A b. C d. E f.", 1500, lossless=True) == ["A b. C d. E f."]
-    kinds = [k for k, _ in S.typed_segments("```x```\n\n# T\n\n- x\n\ntext")]
-    assert kinds == ["code", "heading_block", "list", "paragraph"]
-    assert [x for _, x in S.segment_chunks("abc\n\nd\n\ne", 1500, 4)] == ["abc", "abc\n\nd", "c\n\nd\n\ne"]
-    (seg,) = run(spark, C.llm_segment(), "# T\r\n\r\n\r\ntext")
-    assert meta(seg, "unit_type") == ["heading_block", "paragraph"]
-    long = "word. " * 600
-    assert all(len(x) <= 1500 for x in S.split_to_most(long, 1500)) and "".join(S.split_to_most(long, 1500)) == long
+    lossless = C.llm_boundary(lossless=True)
+    assert [texts(r) for r in run(spark, C.llm_boundary(), "A b. C d. E f.", "One sentence only.", "", "  ")] == [["A b. C d."], [], [], []]
+    assert [texts(r) for r in run(spark, lossless, "A b. C d. E f.", "One sentence only.")] == [["A b. C d. E f."], ["One sentence only."]]
+    # Full runs of a long paragraph come before the paragraph that waits, unless lossless.
+    odd = "Aaa. \n\nBbbb. Cccc. Dddd. x"
+    assert [texts(r) for r in run(spark, C.llm_boundary(8, 0), odd)] == [["Bbbb.", "Cccc.", "Aaa.", "Dddd."]]
+    assert [texts(r) for r in run(spark, C.llm_boundary(8, 0, lossless=True), odd)] == [["Aaa.", "Bbbb.", "Cccc.", "Dddd. x"]]
+    assert [texts(r) for r in run(spark, C.llm_boundary(7, 2), "Abc. \n\nDef. \n\nGhi. x")] == [["Abc.", "c.\n\nDef.", "f.\n\nGhi."]]
+    (seg,) = run(spark, C.llm_segment(), "# T\r\n\r\n\r\ntext\n\n```x```\n\n- x\n\n2. y")
+    assert meta(seg, "unit_type") == ["heading_block", "paragraph", "code", "list", "list"]
+    assert [texts(r) for r in run(spark, C.llm_segment(1500, 4), "abc\n\nd\n\ne", "")] == [["abc", "abc\n\nd", "c\n\nd\n\ne"], []]
+    long = "word. " * 600 + "tail"
+    (cut,) = run(spark, C.llm_segment(1500, 0), long)
+    assert all(len(x) <= 1500 for x in texts(cut)) and "".join(texts(cut)) == long and texts(cut)[-1] == " tail"
+    assert [texts(r) for r in run(spark, C.llm_segment(4, 0), "abcdefghij.kl.mnopqrs")] == [["abcd", "efgh", "ij.", "kl.", "mnop", "qrs"]]
+
+
+def test_providers(spark):
+    """Answers of a model: cut where it says, kept where it fails."""
+
+    class Model:
+        def complete(self, prompt: str) -> str:
+            text = prompt.split("<<<BEGIN>>>\n")[1].split("\n<<<END>>>")[0]
+            if "fail" in text:
+                raise TimeoutError
+            if "segments" in prompt:
+                return '```json\n{"segments": [{"start": 0, "end": 4, "type": "qa"}, {"start": 2, "end": 9}, {"start": 9, "end": 99}, {"start": "x"}]}\n```'
+            return 'Sure: {"boundaries": [3, 3, 0, -1, 99, "6", null]} done'
+
+    uneven = f"{'X' * 19}. B. {'Y' * 19}. C. "
+    cut, kept, even = run(spark, C.llm_boundary(20, 0, boundaries=providers.boundaries(Model)), uneven, uneven.replace("B", "fail"), "A b. C d. ")
+    assert texts(cut) == ["XXX", "XXX", uneven[6:].strip()] and meta(cut, "used_llm_refinement")[0]
+    assert texts(kept) == ["X" * 19 + ".", "fail.", "Y" * 19 + "."] and texts(even) == ["A b. C d."]
+    (seg,) = run(spark, C.llm_segment(100, 0, segments=providers.segments(Model), ask_above=5), "0123456789\n\nabc\n\nfail fail fail")
+    assert list(zip(texts(seg), meta(seg, "unit_type"))) == [("0123", "qa"), ("45678", "paragraph"), ("abc", "paragraph"), ("fail fail fail", "paragraph")]
+    assert providers.read_json("no json") is None and providers.read_json('x {"a": {"b": 1}} y') == {"a": {"b": 1}}
 
 
 def test_hybrid_and_ids(spark):

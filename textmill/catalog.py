@@ -1,6 +1,6 @@
 """Every registered query of the library, with its SQL counterpart.
 
-The strategies on paragraphs run on a declared transform of the texts (each line feed becomes a
+The strategies on paragraphs, and those that look for blank lines, run on a declared transform of the texts (each line feed becomes a
 blank line), since the fixture has no blank lines.
 """
 
@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str, paragraphs: bool = False) -> Dat
 
 
 def _strategy(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategies.chunk(documents(spark, sf_dir, "paragraph" in name), strategies.STRATEGIES[name]).drop("source_doc_id")
+    return strategies.chunk(documents(spark, sf_dir, "paragraph" in name or name.startswith("llm")), strategies.STRATEGIES[name]).drop("source_doc_id")
 
 
 def _with_chunks(spark: SparkSession, sf_dir: str, name: str = "sentence_group_chunking") -> tuple[DataFrame, DataFrame]:

@@ -1,19 +1,18 @@
-"""Per-text helpers that array expressions cannot state: recursive splitting, clustering,
-bag-of-words similarity and the two-level boundary heuristic. They run inside Arrow UDFs."""
+"""Helpers that array expressions cannot state: recursive splitting of a text, bag-of-words similarity
+and clustering of sentences. They run inside Arrow UDFs."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from textmill.functions.text import TOKENS, WORDS
+from textmill.functions.text import TOKENS
 
-_TOKENS, _WORDS = regex.compile(TOKENS), regex.compile(WORDS)
+_TOKENS = regex.compile(TOKENS)
 SEPARATORS = ("\n\n", "\n", " ", "")  # fixed values, in order of preference
 
 
@@ -60,63 +59,92 @@ def recursive_split(text: str, size: int, overlap: int, length: Callable[[str],
     return out + _merge(short, size, overlap, length)
 
 
-def _cosine(a: Counter, b: Counter) -> float:
-    if len(b) < len(a):
-        a, b = b, a
-    dot = sum(n * b[w] for w, n in a.items() if w in b)
-    square = sum(n * n for n in a.values()) * sum(n * n for n in b.values())
-    return round(dot / math.sqrt(square), 9) if square else 0.0
-
-
-def adjacent_similarities(sentences: list[str], reach: int = 0) -> list[float]:
-    """Cosine of the word counts of each sentence and the next, with ``reach`` neighbours on either side.
-    The offline stand-in for a sentence encoder."""
-    bags = [Counter(_WORDS.findall(s)) for s in sentences]
-    if reach:
-        bags = [sum(bags[max(0, i - reach) : i + reach + 1], Counter()) for i in range(len(bags))]
-    return [_cosine(a, b) for a, b in zip(bags, bags[1:])]
-
-
-def topic_labels(sentences: list[str], threshold: float) -> list[int]:
-    """Clusters of sentences by average linkage over cosine distance, merged below ``threshold``;
-    numbered by first appearance. A chain of nearest neighbours finds the merges."""
-    n = len(sentences)
-    vocabulary: dict[str, int] = {}
-    bags = [Counter(_WORDS.findall(s)) for s in sentences]
-    for bag in bags:
-        for w in bag:
-            vocabulary.setdefault(w, len(vocabulary))
-    x = np.zeros((n, len(vocabulary)))
-    for i, bag in enumerate(bags):
-        for w, c in bag.items():
-            x[i, vocabulary[w]] = c
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = 1 - x @ x.T
-    np.fill_diagonal(d, np.inf)
-    size, alive, merges, chain = np.ones(n), np.ones(n, dtype=bool), [], []
+def _counts(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``words`` (a list of words for each sentence) -> sentence, word and count of each pair that occurs, in that order,
+    and the number of distinct words."""
+    codes = words.flatten().dictionary_encode()
+    n = max(len(codes.dictionary), 1)
+    sentence = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+    pairs, counts = np.unique(sentence * n + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return pairs // n, pairs % n, counts, n
+
+
+def adjacent_similarities(texts: pa.Array, reach: int = 0) -> pa.Array:
+    """For each text (a list of sentences, each a list of words) the cosines of the word counts of each sentence and the
+    next, with ``reach`` neighbours on either side. The offline stand-in for a sentence encoder; all
+    texts of a batch at once."""
+    sentences = texts.flatten()
+    per_text = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(per_text)
+    text_of = np.repeat(np.arange(len(per_text)), per_text)
+    sentence, word, count, n = _counts(sentences)
+    rows, total = [sentence], len(sentences)
+    for d in range(1, reach + 1):  # a sentence counts for its neighbours in the text as well
+        rows += [sentence - d, sentence + d]
+    near = np.concatenate(rows)
+    own = np.tile(sentence, 2 * reach + 1)
+    inside = (near >= 0) & (near < total)
+    inside[inside] = text_of[near[inside]] == text_of[own[inside]]
+    keys, where = np.unique((near * n + np.tile(word, 2 * reach + 1))[inside], return_inverse=True)
+    weight = np.bincount(where, weights=np.tile(count, 2 * reach + 1)[inside], minlength=len(keys))
+    row = keys // n
+    square = np.bincount(row, weights=weight * weight, minlength=total + 1)
+    # The same word in the next sentence, if it is there.
+    at = np.minimum(np.searchsorted(keys, keys + n), max(len(keys) - 1, 0))
+    both = keys[at] == keys + n if len(keys) else np.zeros(0, dtype=bool)
+    dot = np.bincount(row[both], weights=weight[both] * weight[at[both]], minlength=total + 1)
+    pairs = np.flatnonzero(text_of[:-1] == text_of[1:]) if total else np.zeros(0, dtype=np.int64)
+    both_squares = square[pairs] * square[pairs + 1]
+    cosine = np.divide(dot[pairs], np.sqrt(both_squares), out=np.zeros(len(pairs)), where=both_squares > 0)
+    lengths = np.maximum(per_text - 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.round(cosine, 9)))
+
+
+def topic_labels(words: pa.Array, threshold: float) -> list[int]:
+    """Clusters of sentences (each a list of words) by average linkage over cosine distance, merged below
+    ``threshold``; numbered by first appearance. A chain of nearest neighbours finds the merges. The mean
+    similarity of two clusters is the product of the sums of their unit vectors, so a neighbour is looked
+    for in one pass over the words of all sentences, and no matrix of distances is held."""
+    n = len(words)
+    sentence, word, count, n_words = _counts(words)
+    unit = count / np.sqrt(np.bincount(sentence, weights=count * count, minlength=n))[sentence]
+    cluster, size = np.arange(n), np.ones(n)
+    begins = np.searchsorted(sentence, np.arange(n + 1))
+    members: list[list[int]] = [[i] for i in range(n)]
+
+    def similar(a: int) -> np.ndarray:
+        """Mean similarity of cluster ``a`` to every other; below all others to itself and to those merged away."""
+        cells = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in members[a]])
+        total = np.bincount(word[cells], weights=unit[cells], minlength=n_words)
+        out = np.bincount(cluster[sentence], weights=unit * total[word], minlength=n) / (np.maximum(size, 1) * size[a])
+        out = np.round(out, 12)
+        out[size == 0] = -1
+        out[a] = -1
+        return out
+
+    merges, chain = [], []
     for _ in range(n - 1):
         if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
+            chain = [int(np.flatnonzero(size)[0])]
         while True:
-            a = chain[-1]
-            b = int(np.argmin(d[a]))
-            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            found = similar(chain[-1])
+            b = int(np.argmax(found))
+            if len(chain) > 1 and found[chain[-2]] >= found[b]:
                 b = chain[-2]
                 break
             chain.append(b)
-        merges.append((d[a, b], a, b))
+        a = chain[-1]
+        merges.append((1 - found[b], members[a][0], members[b][0]))
         chain = chain[:-2]
-        row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        row[[a, b]] = np.inf
-        d[a], d[:, a] = row, row
-        d[b], d[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        alive[b] = False
-        chain = [c for c in chain if alive[c]]
+        cluster[members[b]] = a
+        members[a], members[b] = members[a] + members[b], []
+        size[a], size[b] = size[a] + size[b], 0
     parent = list(range(n))
 
     def root(i: int) -> int:
         while parent[i] != i:
+            parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
@@ -125,80 +153,3 @@ def topic_labels(sentences: list[str], threshold: float) -> list[int]:
             parent[root(b)] = root(a)
     names: dict[int, int] = {}
     return [names.setdefault(root(i), len(names)) for i in range(n)]
-
-
-_MARK = re.compile(r"([.!?…]+\s+)")
-
-
-def boundary_chunks(text: str, most: int, lossless: bool = False) -> list[str]:
-    """Sentences gathered in paragraphs and paragraphs in chunks, up to ``most`` characters. What follows
-    the last sentence mark of a paragraph is left out, and a full run of sentences is put out before
-    the paragraphs that wait; with ``lossless`` neither happens."""
-    out: list[str] = []
-    waiting = ""
-    for paragraph in (p for p in text.split("\n\n") if p.strip()):
-        parts = _MARK.split(paragraph)
-        sentences = [a + b for a, b in zip(parts[::2], parts[1::2])]
-        if lossless and parts[-1]:
-            sentences.append(parts[-1])
-        run = ""
-        for sentence in sentences:
-            if len(run) + len(sentence) <= most:
-                run += sentence
-                continue
-            if lossless and waiting:
-                out.append(waiting.strip())
-                waiting = ""
-            if run:
-                out.append(run.strip())
-            run = sentence
-        if not run:
-            continue
-        if len(waiting) + len(run) <= most:
-            waiting = f"{waiting}\n\n{run}" if waiting else run
-        else:
-            if waiting:
-                out.append(waiting.strip())
-            waiting = run
-    return [*out, waiting.strip()] if waiting else out
-
-
-_KINDS = (("code", re.compile("```")), ("heading_block", re.compile(r"#{1,6}\s+")), ("list", re.compile(r"(-|\*|\d+\.)\s+")))
-_STOP = re.compile("[.!?…]")
-
-
-def typed_segments(text: str) -> list[tuple[str, str]]:
-    """(type, block) of the blocks between blank lines."""
-    out = []
-    for block in re.split(r"\n{2,}", text):
-        bare = block.strip()
-        if bare:
-            out.append((next((k for k, p in _KINDS if p.match(bare)), "paragraph"), block))
-    return out
-
-
-def split_to_most(text: str, most: int) -> list[str]:
-    """Parts of at most ``most`` characters, cut at the last blank line, else after the last sentence mark."""
-    out, start = [], 0
-    if len(text) <= most:
-        return [text]
-    while start < len(text):
-        end = min(start + most, len(text))
-        cut = text.rfind("\n\n", start, end)
-        if cut <= start:
-            marks = [m.end() for m in _STOP.finditer(text, start, end)]
-            cut = marks[-1] if marks else end
-        out.append(text[start:cut])
-        start = cut
-    return out
-
-
-def segment_chunks(text: str, most: int, overlap: int) -> list[tuple[str, str]]:
-    """(type, chunk) of all segments; each chunk starts with the end of the one before."""
-    out: list[tuple[str, str]] = []
-    for kind, block in typed_segments(text):
-        for part in split_to_most(block, most):
-            if overlap > 0 and out and out[-1][1]:
-                part = out[-1][1][-overlap:] + "\n\n" + part
-            out.append((kind, part))
-    return out

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,11 +191,11 @@ def dynamic_token(min_chunk_size: int, max_chunk_size: int) -> Chunker:
 
 
 def _similarities(reach: int):
-    @F.pandas_udf("array<double>")
-    def run(sentences: pd.Series) -> pd.Series:
-        return sentences.map(lambda s: splitting.adjacent_similarities(list(s), reach))
+    @F.arrow_udf("array<double>")
+    def run(words: pa.Array) -> pa.Array:
+        return splitting.adjacent_similarities(words, reach)
 
-    return run
+    return lambda sentences: run(F.transform(sentences, T.words))
 
 
 Similarity = Callable[[Column], Column]
@@ -269,9 +270,9 @@ def semantic_breakpoints(name: str, gradient: bool = False, q: float = 0.95, sim
 def topic(distance_threshold: float) -> Chunker:
     """Runs of neighbouring sentences of one cluster."""
 
-    @F.pandas_udf("array<int>")
-    def labels(sentences: pd.Series) -> pd.Series:
-        return sentences.map(lambda s: splitting.topic_labels(list(s), distance_threshold) if len(s) > 1 else [0] * len(s))
+    @F.arrow_udf("array<int>")
+    def labels(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else splitting.topic_labels(t, distance_threshold) for t in (x.values for x in texts)], pa.list_(pa.int32()))
 
     def of(text: Column, s: Column, label: Column) -> Column:
         starts = F.filter(F.transform(label, lambda x, i: F.when((i == 0) | (x != F.get(label, i - 1)), i)), lambda x: x.isNotNull())
@@ -279,7 +280,7 @@ def topic(distance_threshold: float) -> Chunker:
         meta = lambda at: lambda i, t, a: {"chunker": "topic_based_chunking", "topic_label": F.get(label, a), "sentence_count": F.coalesce(F.get(at, i + 1), F.size(s)) - a}
         return F.when(F.size(s) == 1, whole).otherwise(_let(starts, lambda at: _pieces(s, at, meta(at))))
 
-    return lambda text: _with(T.sentences(text), labels(T.sentences(text)), lambda s, label: of(text, s, label))
+    return lambda text: _with(T.sentences(text), labels(F.transform(T.sentences(text), T.words)), lambda s, label: of(text, s, label))
 
 
 def _texts(run: Callable[[str], list]):
@@ -327,38 +328,129 @@ def _lines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n|\r", "\n")
 
 
-def llm_boundary(max_chars: int = 1500, overlap: int = 80, lossless: bool = False, refine: Callable[[str, list[str]], list[str]] | None = None) -> Chunker:
-    """Two-level greedy chunks, each but the first led by the end of the one before. ``refine`` may be a
-    model: it gets the text and the chunks where these are uneven and returns better ones; the default is none."""
+def _grouped(units: Column, limits: Column, joiner: str, extra: int = 0) -> Column:
+    """Units joined in groups, each filled up to the limit of the unit that comes next; ``extra`` is added to each length."""
+    starts = _greedy_starts(F.transform(units, lambda x: F.length(x) + extra), limits)
+    join = lambda at: F.transform(at, lambda s, i: F.array_join(F.slice(units, s + 1, F.coalesce(F.get(at, i + 1), F.size(units)) - s), joiner))
+    return _let(starts, join)
 
-    def run(text: str) -> list[str]:
-        chunks = splitting.boundary_chunks(text.strip(), max_chars, lossless)
-        if refine is not None and _uneven([len(c) for c in chunks], max_chars):
-            chunks = refine(text.strip(), chunks)
-        return chunks if overlap <= 0 else [c if i == 0 else f"{chunks[i - 1][-overlap:]}\n\n{c}" for i, c in enumerate(chunks)]
 
-    split = _texts(run)
-    return lambda text: F.transform(split(_lines(text)), lambda x, i: _chunk(x, {"chunker": "hybrid_boundary_chunker", "char_count": F.length(x), "used_llm_refinement": F.lit(refine is not None), "chunk_index": i}, _numbered(i)))
+def _boundary_chunks(text: Column, most: int, lossless: bool) -> Column:
+    """Two levels of groups. The sentences of a paragraph make groups of up to ``most`` characters; the last of
+    each paragraph may be joined with those of its neighbours, the others are chunks by themselves. Chunks come
+    in the order in which they are full: those of a paragraph before the joined one that it closes. What follows
+    the last sentence mark of a paragraph is left out. With ``lossless`` neither happens: a paragraph of several
+    groups closes the joined one first, and all text is kept."""
+    sentences = lambda p: F.split(F.regexp_replace(p, r"([.!?…]+\s+)", f"$1{T.BREAK}"), T.BREAK)
+    whole = lambda u: F.filter(u, lambda x: x != "") if lossless else F.slice(u, 1, F.size(u) - 1)
+    groups = lambda p: _let(whole(sentences(p)), lambda u: _grouped(u, F.transform(u, lambda _: F.lit(most)), ""))
+    found = F.filter(F.transform(F.filter(F.split(text, "\n\n"), lambda p: T.strip(p) != ""), groups), lambda g: F.size(g) > 0)
 
+    def ordered(g: Column) -> Column:
+        last = F.transform(g, lambda x: F.element_at(x, -1))
+        # A joined chunk of m parts has 2 * (m - 1) characters between them, hence the two on each length.
+        limits = F.transform(g, lambda x: F.when(F.size(x) > 1, -1).otherwise(most + 4)) if lossless else F.transform(g, lambda _: F.lit(most + 4))
+        starts = _greedy_starts(F.transform(last, lambda x: F.length(x) + 2), limits)
+        early = F.flatten(F.transform(g, lambda x, p: F.transform(F.slice(x, 1, F.size(x) - 1), lambda c, j: F.struct(p.alias("at"), F.lit(1).alias("late"), j.alias("n"), c.alias("text")))))
 
-def _uneven(sizes: list[int], most: int) -> bool:
+        def joined(at: Column) -> Column:
+            end = lambda i: F.coalesce(F.get(at, i + 1), F.size(g))
+            return F.transform(at, lambda s, i: F.struct(end(i).alias("at"), F.lit(0 if lossless else 2).alias("late"), F.lit(0).alias("n"), F.array_join(F.slice(last, s + 1, end(i) - s), "\n\n").alias("text")))
+
+        return F.transform(F.sort_array(F.concat(early, _let(starts, joined))), lambda x: T.strip(x["text"]))
+
+    return _let(found, ordered)
+
+
+def _uneven(chunks: Column, most: int) -> Column:
     """Three chunks or more, of which many are short or whose sizes vary much."""
-    if len(sizes) < 3:
-        return False
-    mean = sum(sizes) / len(sizes)
-    return sum(s < 0.35 * most for s in sizes) > 0.3 * len(sizes) or sum((s - mean) ** 2 for s in sizes) / len(sizes) > most**2
+    n = F.size(chunks)
+    sizes = F.transform(chunks, lambda c: F.length(c))
+    mean = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / n
+    variance = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    return (n >= 3) & ((F.size(F.filter(sizes, lambda x: x < 0.35 * most)) > 0.3 * n) | (variance > most**2))
 
 
-def llm_segment(max_chars: int = 1500, overlap: int = 80) -> Chunker:
-    """Typed blocks cut to size, each chunk led by the end of the one before."""
+def cut_at(text: Column, cuts: Column) -> Column:
+    """The text between the cuts that lie strictly inside it, stripped and without blanks."""
+    inside = F.sort_array(F.array_distinct(F.filter(cuts, lambda c: (c > 0) & (c < F.length(text)))))
+    pieces = lambda at: F.transform(F.concat(F.array(F.lit(0)), at), lambda a, i: T.strip(F.substring(text, a + 1, F.coalesce(F.get(at, i), F.length(text)) - a)))
+    return F.filter(_let(inside, pieces), lambda p: p != "")
 
-    @F.pandas_udf("array<struct<kind string, text string>>")
-    def split(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"kind": k, "text": x} for k, x in splitting.segment_chunks(t.strip(), max_chars, overlap)] if t else [])
+
+def llm_boundary(max_chars: int = 1500, overlap: int = 80, lossless: bool = False, boundaries: Callable[[Column], Column] | None = None) -> Chunker:
+    """Two-level chunks, each but the first led by the end of the one before. ``boundaries`` may ask a model
+    (``providers.boundaries``): it gives, for a text of more than ``max_chars``, the places to cut at, or null to keep
+    the chunks; they are taken where the chunks are uneven. The default is none."""
+
+    def refined(text: Column) -> Column:
+        chunks = _let(text, lambda t: _boundary_chunks(t, max_chars, lossless))
+        if boundaries is None:
+            return chunks
+        asked = boundaries(F.when(F.length(text) > max_chars, text))
+        both = F.struct(text.alias("t"), chunks.alias("c"), asked.alias("a"))
+        return _let(both, lambda x: F.coalesce(F.when(_uneven(x["c"], max_chars), cut_at(x["t"], x["a"])), x["c"]))
+
+    def led(c: Column) -> Column:
+        return F.transform(c, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.right(F.get(c, i - 1), F.lit(overlap)), F.lit("\n\n"), x))) if overlap > 0 else c
+
+    def chunk(text: Column) -> Column:
+        meta = lambda x, i: {"chunker": "hybrid_boundary_chunker", "char_count": F.length(x), "used_llm_refinement": F.lit(boundaries is not None), "chunk_index": i}
+        plain = F.coalesce(T.strip(_lines(text)), F.lit(""))
+        return F.transform(_let(refined(plain), led), lambda x, i: _chunk(x, meta(x, i), _numbered(i)))
+
+    return chunk
+
+
+_KINDS = (("code", "^```"), ("heading_block", r"^#{1,6}\s+"), ("list", r"^(-|\*|\d+\.)\s+"))
+
+
+def _parts(block: Column, most: int) -> Column:
+    """A block in parts of at most ``most`` characters, cut after sentence marks where there are any; what
+    follows the last mark of a block that is cut is a part by itself."""
+    units = F.regexp_extract_all(block, F.lit(rf"[^.!?…]{{0,{most - 1}}}[.!?…]|[^.!?…]{{1,{most}}}"), F.lit(0))
+    limits = lambda u: F.transform(u, lambda x: F.when(x.rlike("[.!?…]$"), most).otherwise(-1))
+    return F.when(F.length(block) <= most, F.array(block)).otherwise(_let(units, lambda u: _grouped(u, limits(u), "")))
+
+
+def _valid(segments: Column, size: Column) -> Column:
+    """Segments (start, end, type) inside the text, each from where the one before ends; null if none is left."""
+    inside = F.filter(segments, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= size))
+    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(inside, 1, i), lambda s: s["end"])), F.lit(0))
+    kept = F.filter(F.transform(inside, lambda s, i: F.struct(F.greatest(s["start"], reach(i)).alias("start"), s["end"].alias("end"), F.coalesce(s["type"], F.lit("paragraph")).alias("type"))), lambda s: s["start"] < s["end"])
+    return F.when(F.size(kept) > 0, kept)
+
+
+def llm_segment(max_chars: int = 1500, overlap: int = 80, segments: Callable[[Column], Column] | None = None, ask_above: int = 1200) -> Chunker:
+    """Typed blocks between blank lines, cut to size, each chunk led by the end of the one before. ``segments``
+    may ask a model (``providers.segments``) for the parts of a block of more than ``ask_above`` characters:
+    it gives an array of (start, end, type), or null to keep the block."""
+
+    def typed(block: Column) -> Column:
+        kind = F.lit("paragraph")
+        for name, pattern in reversed(_KINDS):
+            kind = F.when(T.strip(block).rlike(pattern), name).otherwise(kind)
+        return F.struct(kind.alias("kind"), block.alias("text"))
+
+    def apart(blocks: Column) -> Column:
+        if segments is None:
+            return blocks
+        asked = segments(F.transform(blocks, lambda b: F.when(F.length(b["text"]) > ask_above, b["text"])))
+        cut = lambda b, found: F.transform(found, lambda s: F.struct(s["type"].alias("kind"), F.substring(b["text"], s["start"] + 1, s["end"] - s["start"]).alias("text")))
+        checked = lambda x: F.coalesce(cut(x["b"], _valid(x["s"], F.length(x["b"]["text"]))), F.array(x["b"]))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), asked.alias("s")), checked))
+
+    def led(parts: Column) -> Column:
+        # The end of a chunk is that of all parts so far; a part and what joins it have three characters at least.
+        before = lambda i: F.array_join(F.transform(F.slice(parts, F.greatest(i - overlap // 3, F.lit(1)), F.least(i, F.lit(overlap // 3 + 1))), lambda x: x["text"]), "\n\n")
+        lead = lambda x, i: F.when(i == 0, x["text"]).otherwise(F.concat(F.right(before(i), F.lit(overlap)), F.lit("\n\n"), x["text"]))
+        return F.transform(parts, lambda x, i: F.struct(x["kind"].alias("kind"), (lead(x, i) if overlap > 0 else x["text"]).alias("text")))
 
     def chunk(text: Column) -> Column:
-        parts = split(F.regexp_replace(_lines(text), "\n{3,}", "\n\n"))
-        return F.transform(parts, lambda x, i: _chunk(x["text"], {"chunker": "efficient_llm_segment_then_chunk", "unit_type": x["kind"], "chunk_index": i, "char_count": F.length(x["text"])}, _numbered(i)))
+        plain = T.strip(F.regexp_replace(_lines(F.coalesce(text, F.lit(""))), "\n{3,}", "\n\n"))
+        blocks = F.transform(F.filter(F.split(plain, "\n{2,}"), lambda b: T.strip(b) != ""), typed)
+        parts = F.flatten(F.transform(apart(blocks), lambda b: F.transform(_parts(b["text"], max_chars), lambda x: F.struct(b["kind"].alias("kind"), x.alias("text")))))
+        return F.transform(_let(parts, led), lambda x, i: _chunk(x["text"], {"chunker": "efficient_llm_segment_then_chunk", "unit_type": x["kind"], "chunk_index": i, "char_count": F.length(x["text"])}, _numbered(i)))
 
     return chunk
 

@@ -129,6 +129,51 @@ def semantic_breakpoints(name: str, gradient: bool = False) -> Sql:
 ) {_from_starts("' '", f"json_object('chunker', '{name}')")}"""
 
 
+def llm_boundary(most: int, overlap: int) -> Sql:
+    """Sentences one after another, with a null at the end of each paragraph; ``run`` and ``wait`` are what is gathered."""
+    strip = lambda x: f"regexp_replace({x}, '^{T.BLANKS}+|{T.BLANKS}+$', '', 'g')"
+    add = lambda x: f"list_append(out, {strip(x)})"
+    marked = "string_split(regexp_replace(p, '([.!?…]+\\s+)', '\\1' || chr(31), 'g'), chr(31))"
+    meta = "json_object('chunker', 'hybrid_boundary_chunker', 'char_count', length(text), 'used_llm_refinement', false, 'chunk_index', i)"
+    return lambda src: f"""
+WITH RECURSIVE te AS (SELECT doc_id, {strip("regexp_replace(text, chr(13) || chr(10) || '|' || chr(13), chr(10), 'g')")} AS text FROM {src}
+), ev AS (SELECT doc_id, flatten(list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip("p")} <> ''), lambda p: list_append({marked}[:-2], NULL))) AS ev FROM te
+), g(doc_id, ev, k, run, wait, out) AS (
+  SELECT doc_id, ev, 0, '', '', []::VARCHAR[] FROM ev
+  UNION ALL
+  SELECT doc_id, ev, k + 1,
+    CASE WHEN x IS NULL THEN '' WHEN length(run) + length(x) <= {most} THEN run || x ELSE x END,
+    CASE WHEN x IS NOT NULL OR run = '' THEN wait WHEN length(wait) + length(run) > {most} OR wait = '' THEN run ELSE wait || chr(10) || chr(10) || run END,
+    CASE WHEN x IS NOT NULL AND length(run) + length(x) > {most} AND run <> '' THEN {add("run")} WHEN x IS NULL AND run <> '' AND wait <> '' AND length(wait) + length(run) > {most} THEN {add("wait")} ELSE out END
+  FROM (SELECT *, ev[k + 1] AS x FROM g WHERE k < len(ev))
+), ch AS (SELECT doc_id, CASE WHEN wait <> '' THEN {add("wait")} ELSE out END AS c FROM g WHERE k = len(ev)
+)
+SELECT doc_id, i AS ord, format('_chunk_{{:04d}}', i) AS suffix, text, ({meta})::VARCHAR AS metadata
+FROM (SELECT doc_id, i, CASE WHEN i = 0 THEN c[1] ELSE right(c[i], {overlap}) || chr(10) || chr(10) || c[i + 1] END AS text FROM ch, unnest(range(0, len(c))) AS t(i))"""
+
+
+def llm_segment(most: int, overlap: int) -> Sql:
+    """Blocks are cut at the last sentence mark in reach, part after part; then each chunk takes the end of the last one."""
+    strip = lambda x: f"regexp_replace({x}, '^{T.BLANKS}+|{T.BLANKS}+$', '', 'g')"
+    kind = f"CASE WHEN starts_with({strip('b')}, '```') THEN 'code' WHEN regexp_matches({strip('b')}, '^#{{1,6}}\\s+') THEN 'heading_block' WHEN regexp_matches({strip('b')}, '^(-|\\*|[0-9]+\\.)\\s+') THEN 'list' ELSE 'paragraph' END"
+    meta = "json_object('chunker', 'efficient_llm_segment_then_chunk', 'unit_type', kind, 'chunk_index', i, 'char_count', length(out))"
+    return lambda src: f"""
+WITH RECURSIVE te AS (SELECT doc_id, {strip("regexp_replace(regexp_replace(text, chr(13) || chr(10) || '|' || chr(13), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS text FROM {src}
+), bl AS (SELECT doc_id, n, b, {kind} AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS b, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS n FROM te) WHERE {strip("b")} <> ''
+), en AS (SELECT *, list_filter(range(1, length(b) + 1), lambda i: b[i] IN ('.', '!', '?', '…')) AS ends FROM bl
+), g(doc_id, n, kind, b, ends, s, e) AS (
+  SELECT doc_id, n, kind, b, ends, 0::BIGINT, CASE WHEN length(b) <= {most} THEN length(b) ELSE coalesce(list_max(list_filter(ends, lambda e: e <= {most})), {most}) END FROM en
+  UNION ALL
+  SELECT doc_id, n, kind, b, ends, e, coalesce(list_max(list_filter(ends, lambda x: x > e AND x <= e + {most})), least(e + {most}, length(b))) FROM g WHERE e < length(b)
+), pa AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1 AS i, kind, b[s + 1:e] AS part FROM g
+), ov(doc_id, i, kind, out) AS (
+  SELECT doc_id, i, kind, part FROM pa WHERE i = 0
+  UNION ALL
+  SELECT pa.doc_id, pa.i, pa.kind, right(ov.out, {overlap}) || chr(10) || chr(10) || part FROM ov JOIN pa ON pa.doc_id = ov.doc_id AND pa.i = ov.i + 1
+)
+SELECT doc_id, i AS ord, format('_chunk_{{:04d}}', i) AS suffix, out AS text, ({meta})::VARCHAR AS metadata FROM ov"""
+
+
 def hybrid(primary: Sql, secondary: Sql, most: int = 1000) -> Sql:
     return lambda src: f"""
 WITH pr AS (SELECT * FROM ({primary(src)})
@@ -174,6 +219,8 @@ STRATEGIES: dict[str, Sql] = {
     "content_density_adaptive_chunking": content_density(1000),
     "semantic_variance_adaptive_chunking": semantic_variance(0.2),
     "length_aware_chunking": length_aware(500, 100),
+    "llm_boundary_detection_chunking": llm_boundary(1500, 80),
+    "llm_segment_then_chunk": llm_segment(1500, 80),
     "hybrid_semantic_fixed_token_chunking": hybrid(SEMANTIC, FIXED_200),
     "hybrid_semantic_sliding_window_chunking": hybrid(SEMANTIC, SLIDING),
     "hybrid_sentence_fixed_token_chunking": hybrid(SENTENCE, FIXED_200),
@@ -195,6 +242,6 @@ def documents(paragraphs: bool) -> str:
 
 def strategy(name: str) -> str:
     """SQL for the registered query of a strategy."""
-    made = STRATEGIES[name](documents("paragraph" in name))
+    made = STRATEGIES[name](documents("paragraph" in name or name.startswith("llm")))
     within = "within" if name.startswith("hybrid") else "''"
     return f"SELECT doc_id || {within} AS doc_id, ord::INT AS chunk_ord, doc_id || suffix AS chunk_id, text, metadata FROM ({made})"
