@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.components import connected_components
 from textmill.llm.runs import sorted_runs
-from textmill.llm.storage import materialize
+from textmill.llm.storage import batches_of, materialize
 
 Near = Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]
 
@@ -91,4 +91,7 @@ def bucket_links(members: DataFrame, star: Callable[[DataFrame], DataFrame], nea
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     rest = [c for c in dealt.columns if c not in groups]
-    return edges.unionByName(dealt.select(*groups, *rest).repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, "a long, b long"))
+    found = dealt.select(*groups, *rest).repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, "a long, b long")
+    with batches_of(members.sparkSession, 10_000 if payload is None else 200):
+        found = materialize(found, "block-links")
+    return edges.unionByName(found)

@@ -209,29 +209,32 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for _, texts in in_slices(batches, "text", SLICE):
             sets = distinct_shingles(texts, shingle)
             classes = [class_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([np.sort(s.view(np.int32)) for s in sets], pa.list_(pa.int32()))], ["node", "shingles"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<int>")
 
 
-def jaccard(rows: pa.Table, threshold: float) -> Callable[[int, np.ndarray], np.ndarray]:
-    """For rows with ``shingles``: which of some positions reach the threshold with one."""
+def jaccard(rows: pa.Table, threshold: float, most: int = 1 << 20) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For rows with ascending ``shingles``: which of some positions reach the threshold with one. Sets are compared
+    ``most`` shingles at a time."""
     lists = rows.column("shingles").combine_chunks()
-    values, index = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    sizes = np.diff(lists.offsets.to_numpy())
-    begins = np.cumsum(sizes) - sizes
+    begins = lists.offsets.to_numpy()
+    values, sizes = lists.values.to_numpy(), np.diff(begins)
 
     def near(x: int, some: np.ndarray) -> np.ndarray:
         low, high = np.minimum(sizes[some], sizes[x]), np.maximum(sizes[some], sizes[x])
         can = np.flatnonzero((low > 0) & (low >= threshold * high))
         out = np.zeros(len(some), dtype=bool)
-        if len(can):
-            own = np.zeros(len(values), dtype=bool)
-            own[index[begins[x] : begins[x] + sizes[x]]] = True
-            n = sizes[some[can]]
-            ends = np.cumsum(n)
-            shared = np.add.reduceat(own[index[np.repeat(begins[some[can]] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
-            out[can] = shared >= threshold * (n + sizes[x] - shared)
+        own = values[begins[x] : begins[x + 1]]
+        ends = np.cumsum(sizes[some[can]])
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, most)), len(can)))
+        for a, b in zip(cuts, cuts[1:]):
+            which = can[a:b]
+            n = sizes[some[which]]
+            theirs = np.concatenate([values[begins[i] : begins[i + 1]] for i in some[which]])
+            found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            shared = np.add.reduceat(found, np.cumsum(n) - n, dtype=np.int64)
+            out[which] = shared >= threshold * (n + sizes[x] - shared)
         return out
 
     return near
