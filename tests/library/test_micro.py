@@ -4,12 +4,13 @@ import json
 
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from textmill.functions import splitting as S
-from textmill.functions.text import json_size, paragraphs, sentences, tokens
+from textmill.functions.text import TOKENS, json_size, paragraphs, sentences, tokens
 from textmill.operators import chunkers as C
-from textmill.operators import judging, metrics, providers, retrieval
+from textmill.operators import embedding, judging, lexical, metrics, providers, retrieval
 from textmill.plans import runner, strategies
 from textmill.sources import corpus
 from textmill.streaming import chunks as streaming
@@ -168,6 +169,68 @@ def test_sources_and_sinks(spark, tmp_path):
     assert corpus.drop_collections(spark, "chunks_none_") == []
 
 
+def test_index_and_results(spark, tmp_path):
+    """Documents in, chunks, an index for each strategy, queries with a stand-in file, nested results out and back."""
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/corpus.json").write_text(json.dumps(["The cat sat. The dog ran.", 'Quote " and \\\\ é.']))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain/a.txt").write_text("one\ntwo")
+    docs = corpus.read_documents(spark, str(tmp_path / "docs"))
+    assert {r.doc_id: r.text for r in docs.collect()} == {"corpus_000": "The cat sat. The dog ran.", "corpus_001": 'Quote " and \\\\ é.'}
+    assert [tuple(r) for r in corpus.read_documents(spark, str(tmp_path / "plain"), "text").collect()] == [("a", "one\ntwo")]
+    made = strategies.chunk_all(docs, ["sentence_based_chunking", "fixed_token_chunking"])
+    terms = lexical.vocabulary(made.select(F.concat_ws("/", "strategy", "chunk_id").alias("chunk_id"), "text"))
+    points = embedding.points(made, terms)
+    path = str(tmp_path / "index")
+    embedding.write_collections(points, path)
+    embedding.write_collections(points.where("strategy = 'fixed_token_chunking'"), path)
+    index = embedding.read_collection(spark, path, "sentence_based_chunking")
+    assert index.count() == 3 == index.select("point_id").distinct().count() and embedding.dimension() == embedding.WIDTH
+    assert spark.read.parquet(path).count() == made.count()
+    (tmp_path / "small.jsonl").write_text('{"input": "cat sat", "answers": ["The cat"]}\n\n{"input": "", "answers": []}\n')
+    queries = corpus.read_queries(spark, str(tmp_path / "missing.jsonl"), str(tmp_path / "small.jsonl")).withColumn("query_id", F.length("query").cast("long"))
+    with pytest.raises(FileNotFoundError):
+        corpus.read_queries(spark, str(tmp_path / "missing.jsonl"))
+    found = retrieval.retrieve(embedding.embed(queries, "query"), index, 2)
+    best = {r["query"]: r for r in found.collect()}
+    assert best["cat sat"].answers == ["The cat"] and best["cat sat"].retrieved_chunks[0].text == "The cat sat." and len(best[""].retrieved_chunks) == 2
+    corpus.write_results(found.withColumns({"domain": F.lit("d"), "strategy": F.lit("sentence_based_chunking")}), str(tmp_path / "results"))
+    back = corpus.read_results(spark, str(tmp_path / "results")).collect()
+    assert {(r.domain, r.strategy, r["query"], len(r.retrieved_chunks)) for r in back} == {("d", "sentence_based_chunking", "cat sat", 2), ("d", "sentence_based_chunking", "", 2)}
+    corpus.write_lines(metrics.report(docs, strategies.chunk(docs, strategies.spec("sentence"))), "value", str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).where("value = 'Total chunks: 3'").count() == 1
+    corpus.write_contexts(corpus.unique_contexts(docs.select(F.length("text").alias("pos"), F.col("text").alias("context"))), str(tmp_path / "contexts"))
+    assert spark.read.json(str(tmp_path / "contexts")).count() == 2
+    view = strategies.register_views(docs, ["sentence_based_chunking"])
+    assert spark.sql(f"select count(*) from {view[0]}").first()[0] == 3
+
+
+class Letters:
+    def __call__(self, texts):
+        return [[float(t.count(c)) for c in "abc"] for t in texts]
+
+
+def test_another_encoder(spark):
+    rows = spark.createDataFrame([(1, "aab"), (2, None)], "id int, text string")
+    assert sorted((r.id, r.vector) for r in embedding.embed(rows, factory=Letters).collect()) == [(1, [2.0, 1.0, 0.0]), (2, [0.0, 0.0, 0.0])]
+
+
+def test_dynamic_tokens_against_the_rule(spark):
+    import random
+
+    rng = random.Random(1)
+    samples = ["".join(rng.choice(["a ", "b", ". ", "12", "\n", "cd "]) for _ in range(rng.randrange(0, 120))) for _ in range(40)] + ["a b . c d e"]
+    for low, high in ((2, 4), (3, 10), (0, 1), (5, 6)):
+        for text, rows in zip(samples, run(spark, C.dynamic_token(low, high), *samples)):
+            units, at, want = regex.findall(TOKENS, text), 0, []
+            while at < len(units):
+                least, most = min(at + low, len(units)), min(at + high, len(units))
+                ends = [k + 1 for k in range(least, most) if regex.search("[.\n?!]", units[k])]
+                want.append("".join(units[at : (ends or [most])[-1]]))
+                at = (ends or [most])[-1]
+            assert texts(rows) == want, (low, high, text)
+
+
 def test_runner_and_stream(spark, tmp_path):
     docs = strategies.documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     out = runner.run_strategies(docs, str(tmp_path / "run"), {"sentence_based_chunking": strategies.spec("sentence"), "bad": strategies.spec("none")})

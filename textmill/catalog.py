@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import TERMS
-from textmill.operators import judging, lexical, metrics, retrieval
+from textmill.operators import embedding, judging, lexical, metrics, retrieval
 from textmill.plans import oracle, strategies
 from textmill.session import table
 from textmill.sources import corpus
@@ -90,17 +90,47 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
 
 
+def dense_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of all documents by the default encoder: their components other than zero."""
+    made = embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.posexplode("vector").alias("place", "value")).where("value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, made = _with_chunks(spark, sf_dir)
+    rows = made.withColumn("strategy", F.lit("sentence_group_chunking"))
+    terms = lexical.vocabulary(rows.select(F.concat_ws("/", "strategy", "chunk_id").alias("chunk_id"), "text"))
+    return embedding.points(rows, terms)
+
+
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of one strategy: the cells of each point's dense and sparse vector."""
+    p = _points(spark, sf_dir).select("point_id", F.col("payload.original_chunk_id").alias("chunk_id"), F.length("payload.text").alias("n_chars"), "vector", "indices", "values")
+    cells = lambda kind, at, value: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("place"), F.round(value, 6).alias("value"))
+    dense = F.filter(F.transform("vector", lambda v, i: cells("dense", i, v)), lambda c: c["value"] != 0)
+    sparse = F.transform(F.arrays_zip("indices", "values"), lambda c: cells("sparse", c["indices"], c["values"]))
+    return p.select("point_id", "chunk_id", "n_chars", F.inline(F.concat(dense, sparse)))
+
+
+def retrieval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks nearest to each benchmark item, by the default encoder."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array("text").alias("answers"))
+    found = retrieval.retrieve(embedding.embed(items, "query"), _points(spark, sf_dir))
+    return found.select("query_id", F.posexplode("retrieved_chunks").alias("pos", "c")).select("query_id", (F.col("pos") + 1).alias("rank"), "c.chunk_id", "c.text", "c.score")
+
+
 def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn's answer graded against the first five assistant turns of its conversation."""
     turns = table(spark, sf_dir, "conversations")
     queries = corpus.qa_from_turns(turns).select("conv_id", "turn", "answers")
-    said = turns.where("role = 'assistant' and turn < 10").select("conv_id", F.floor(F.col("turn") / 2).cast("int").alias("rank"), F.col("text").alias("chunk_text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = turns.where("role = 'assistant'").select("conv_id", place.alias("rank"), F.col("text").alias("chunk_text"))
     hits = queries.join(said, "conv_id").select(F.struct("conv_id", "turn").alias("query_id"), "rank", "answers", "chunk_text")
     return judging.judge(hits).select("query_id.conv_id", "query_id.turn", "rank", "relevance_score", "llm_reason")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, judge_rows)
+    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, dense_embed, collection, retrieval_results, judge_rows)
     return {n: partial(_strategy, n) for n in strategies.STRATEGIES} | {f.__name__: f for f in others}
 
 
@@ -126,6 +156,13 @@ _QA = """qa AS (SELECT conv_id, turn, text AS input, a AS answer FROM (
   SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant')"""
 
 
+def _dense(source: str, key: str) -> str:
+    """Components of the default encoder's vectors."""
+    return f"""(SELECT {key}, place, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM (
+  SELECT {key}, ('0x' || substr(md5(t), 1, 2))::INT % {embedding.WIDTH} AS place, sum(CASE WHEN ('0x' || substr(md5(t), 3, 2))::INT < 128 THEN 1 ELSE -1 END)::DOUBLE AS v
+  FROM {source}, unnest(regexp_extract_all(lower(text), '{TERMS}')) AS u(t) GROUP BY ALL))"""
+
+
 def oracle_sql() -> dict[str, str]:
     terms = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{TERMS}'))"
     return {n: oracle.strategy(n) for n in oracle.STRATEGIES} | {
@@ -150,9 +187,26 @@ SELECT chunk_id, term_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)
         "dense_topk": """SELECT query_id, rank, id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
     SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 5""",
+        "dense_embed": f"SELECT doc_id, place, round(v, 6) AS value FROM {_dense('documents', 'doc_id')} WHERE v <> 0",
+        "collection": f"""
+WITH ch AS (SELECT chunk_id, text FROM ({oracle.strategy("sentence_group_chunking")})
+), tc AS (SELECT chunk_id, t AS term, count(*) AS tf FROM ch, unnest(regexp_extract_all(lower(text), '{TERMS}')) AS u(t) GROUP BY ALL
+), vo AS (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, round(ln((1 + (SELECT count(*) FROM ch)) / (1 + df)) + 1, 9) AS idf
+  FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tc GROUP BY term ORDER BY total DESC, term LIMIT 10000)
+), we AS (SELECT chunk_id, term_id, tf * idf AS w FROM tc JOIN vo USING (term)
+), ce AS (SELECT chunk_id, 'dense' AS kind, place, round(v, 6) AS value FROM {_dense("ch", "chunk_id")} WHERE v <> 0
+  UNION ALL SELECT chunk_id, 'sparse', term_id::INT, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) FROM we)
+SELECT ('0x' || substr(md5('sentence_group_chunking/' || chunk_id), 1, 15))::BIGINT AS point_id, chunk_id, length(text)::INT AS n_chars, kind, place, value FROM ce JOIN ch USING (chunk_id)""",
+        "retrieval_results": f"""
+WITH ch AS (SELECT chunk_id, text, ('0x' || substr(md5('sentence_group_chunking/' || chunk_id), 1, 15))::BIGINT AS id FROM ({oracle.strategy("sentence_group_chunking")})
+), q AS (SELECT * FROM {_dense('benchmark', 'item_id')}
+), d AS (SELECT * FROM {_dense('ch', 'id')}
+), s AS (SELECT item_id, id, round(sum(q.v * d.v), 6) AS score FROM q JOIN d ON q.place = d.place GROUP BY item_id, id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT item_id AS query_id, rank, chunk_id, text, score FROM r JOIN ch USING (id) WHERE rank <= 5""",
         "judge_rows": f"""WITH {_QA}, graded AS (
-  SELECT qa.conv_id, qa.turn, (c.turn // 2)::INT AS rank, len(list_intersect({terms("answer")}, {terms("c.text")})) AS shared, len({terms("answer")}) AS n
-  FROM qa JOIN conversations c ON c.conv_id = qa.conv_id AND c.role = 'assistant' AND c.turn < 10
+  SELECT qa.conv_id, qa.turn, c.rank, len(list_intersect({terms("answer")}, {terms("c.text")})) AS shared, len({terms("answer")}) AS n
+  FROM qa JOIN (SELECT conv_id, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS rank FROM conversations WHERE role = 'assistant') c ON c.conv_id = qa.conv_id
 ), scored AS (SELECT *, CASE WHEN n > 0 AND 2 * shared >= n THEN 2 WHEN n > 0 AND 5 * shared >= n THEN 1 ELSE 0 END AS s FROM graded WHERE rank <= 5)
 SELECT conv_id, turn, rank, s AS relevance_score, CASE WHEN s > 0 THEN shared || ' of ' || n || ' terms' ELSE '' END AS llm_reason FROM scored""",
     }

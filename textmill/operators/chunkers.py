@@ -173,14 +173,25 @@ def dynamic_token(min_chunk_size: int, max_chunk_size: int) -> Chunker:
     """A chunk ends after the last token with a sentence mark or line feed between the sizes, else at the most."""
 
     def starts_of(n: Column, ends: Column) -> Column:
-        def step(acc: Column, _: Column) -> Column:
-            s = F.element_at(acc, -1)
-            low, high = F.least(s + min_chunk_size, n), F.least(s + max_chunk_size, n)
-            end = F.coalesce(F.array_max(F.filter(ends, lambda e: (e > low) & (e <= high))), high)
-            return F.when(s >= n, acc).otherwise(F.concat(acc, F.array(end)))
-
-        steps = F.sequence(F.lit(0), F.floor(n / (min_chunk_size + 1)).cast("int") + 1)
-        return F.filter(F.aggregate(steps, F.array(F.lit(0)), step), lambda s: s < n)
+        """One pass over the ends: ``m`` is the last one that the chunk from ``s`` may end at. Beyond the reach of ``s`` the
+        chunk ends there, or else at the most, and again until the end is in reach."""
+        begin = F.struct(F.lit(0).alias("s"), F.lit(0).alias("m"), F.array(F.lit(0)).alias("starts"))
+
+        def step(acc: Column, e: Column) -> Column:
+            s, m = acc["s"], acc["m"]
+            beyond = e > s + max_chunk_size
+            at = F.when(beyond & (m > s), m).otherwise(s)
+            many = F.greatest(F.floor((e - 1 - at) / max_chunk_size).cast("int"), F.lit(0))
+            now = at + many * max_chunk_size
+            hard = F.transform(F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.slice(F.array(F.lit(0)), 1, 0)), lambda k: at + k * max_chunk_size)
+            found = F.when(beyond, F.concat(acc["starts"], F.when(at > s, F.array(at)).otherwise(F.slice(F.array(F.lit(0)), 1, 0)), hard)).otherwise(acc["starts"])
+            last = F.when(e - now > min_chunk_size, e).when(beyond, 0).otherwise(m)
+            return F.struct(now.alias("s"), last.alias("m"), found.alias("starts"))
+
+        # The end of the text closes what is open; it is no end itself, hence the last of the marks is looked at once more.
+        marks = F.filter(ends, lambda e: e < n)
+        folded = F.aggregate(F.concat(marks, F.array(n + 0)), begin, lambda acc, e: _let(step(acc, e), lambda x: F.struct(x["s"].alias("s"), F.when(e < n, x["m"]).otherwise(F.when(acc["m"] > x["s"], acc["m"]).otherwise(0)).alias("m"), x["starts"].alias("starts"))))
+        return F.filter(_let(folded, lambda x: F.when(x["m"] > x["s"], F.concat(x["starts"], F.array(x["m"]))).otherwise(x["starts"])), lambda s: s < n)
 
     def of(t: Column) -> Column:
         ends = F.filter(F.transform(t, lambda x, i: F.when(x.rlike(r"[.\n?!]"), i + 1)), lambda e: e.isNotNull())

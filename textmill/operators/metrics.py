@@ -18,46 +18,55 @@ def record_size(chunks: DataFrame) -> Column:
     return keys + json_size(F.col("text")) + F.length("metadata") + json_size(F.col("chunk_id")) + json_size(F.col("doc_id"))
 
 
-def _sizes(df: DataFrame, *keys: str) -> DataFrame:
-    n = F.length("text")
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("chunk_count"),
-        F.round(F.coalesce(F.var_pop(n), F.lit(0.0)), 6).alias("chunk_size_variance"),
-        F.round(F.avg(n), 6).alias("avg_chunk_size"),
-        F.min(n).alias("min_chunk_size"),
-        F.max(n).alias("max_chunk_size"),
-        F.sum(record_size(df)).alias("index_size_bytes"),
+def _sums(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row for each of ``docs``: its chunks' number, the sums of their lengths and squares, least and greatest length,
+    and bytes. All other statistics follow from these, so chunks are made once."""
+    n = F.length("text").cast("long")
+    found = chunks.groupBy(F.col("source_doc_id").alias("doc_id")).agg(
+        F.count("*").alias("n"), F.sum(n).alias("s"), F.sum(n * n).alias("q"), F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high"), F.sum(record_size(chunks)).alias("bytes")
     )
+    return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, ["n", "s", "q", "bytes"])
+
+
+def _variance(n: Column, s: Column, q: Column) -> Column:
+    """Of the population, from whole numbers."""
+    exact = lambda c: c.cast("decimal(38,0)")
+    return F.when(n > 0, ((exact(n) * exact(q) - exact(s) * exact(s)).cast("double") / n / n)).otherwise(0.0)
 
 
 def per_document(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row for each of ``docs`` (doc_id); zeros for a document without chunks."""
-    found = _sizes(chunks, "source_doc_id").withColumnRenamed("source_doc_id", "doc_id")
-    zero = {"chunk_count": 0, "chunk_size_variance": 0.0, "avg_chunk_size": 0.0, "min_chunk_size": 0, "max_chunk_size": 0, "index_size_bytes": 0}
-    return docs.select("doc_id").join(found, "doc_id", "left").fillna(zero)
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    return _sums(docs, chunks).select(
+        "doc_id",
+        n.alias("chunk_count"),
+        F.round(_variance(n, s, q), 6).alias("chunk_size_variance"),
+        F.round(F.when(n > 0, s / n).otherwise(0.0), 6).alias("avg_chunk_size"),
+        F.coalesce("low", F.lit(0)).alias("min_chunk_size"),
+        F.coalesce("high", F.lit(0)).alias("max_chunk_size"),
+        F.col("bytes").alias("index_size_bytes"),
+    )
 
 
 def aggregated(docs: DataFrame, chunks: DataFrame, chunker: str) -> DataFrame:
     """One row: counts over documents, sizes over all chunks."""
-    each = per_document(docs, chunks)
-    counts = each.agg(
+    total = _sums(docs, chunks).agg(
         F.count("*").alias("total_documents"),
-        F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"),
-        F.round(F.avg("chunk_count"), 6).alias("average_chunks_per_document"),
-        F.min("chunk_count").alias("min_chunks_per_document"),
-        F.max("chunk_count").alias("max_chunks_per_document"),
-        F.expr("percentile(chunk_count, 0.5)").alias("median_chunks_per_document"),
-        F.coalesce(F.sum("index_size_bytes"), F.lit(0)).alias("total_index_size_bytes"),
-        F.round(F.avg("index_size_bytes"), 3).alias("average_index_size_bytes_per_document"),
-    )
-    n = F.length("text")
-    sizes = chunks.agg(
-        F.round(F.coalesce(F.var_pop(n), F.lit(0.0)), 4).alias("global_chunk_size_variance"),
-        F.round(F.coalesce(F.avg(n), F.lit(0.0)), 6).alias("global_avg_chunk_size"),
-        F.coalesce(F.min(n), F.lit(0)).alias("global_min_chunk_size"),
-        F.coalesce(F.max(n), F.lit(0)).alias("global_max_chunk_size"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_chunks"),
+        F.round(F.avg("n"), 6).alias("average_chunks_per_document"),
+        F.min("n").alias("min_chunks_per_document"),
+        F.max("n").alias("max_chunks_per_document"),
+        F.expr("percentile(n, 0.5)").alias("median_chunks_per_document"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_index_size_bytes"),
+        F.round(F.avg("bytes"), 3).alias("average_index_size_bytes_per_document"),
+        F.coalesce(F.sum("s"), F.lit(0)).alias("s"),
+        F.coalesce(F.sum("q"), F.lit(0)).alias("q"),
+        F.coalesce(F.min("low"), F.lit(0)).alias("global_min_chunk_size"),
+        F.coalesce(F.max("high"), F.lit(0)).alias("global_max_chunk_size"),
     )
-    return counts.select(F.lit(chunker).alias("chunker"), "*").crossJoin(sizes)  # one row each
+    n, s, q = F.col("total_chunks"), F.col("s"), F.col("q")
+    derived = {"global_chunk_size_variance": F.round(_variance(n, s, q), 4), "global_avg_chunk_size": F.round(F.when(n > 0, s / n).otherwise(0.0), 6)}
+    return total.withColumns(derived).drop("s", "q").select(F.lit(chunker).alias("chunker"), "*")
 
 
 def report(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Exact top-k by cosine: a stated set of queries against all rows, in blocks.
 
 Each task keeps the best ``k`` of its rows for every query of a block, so what is shuffled is
-tasks * queries * k rows at most, whatever the size of the index.
+tasks * queries * k rows at most, whatever the size of the index. Similarities are taken ``CELLS`` at a
+time, and of them only those that reach a query's ``k``-th best so far are looked at again.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+CELLS = 2_000_000  # similarities at a time
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -45,17 +47,22 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score, ids = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
+            who, ids, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+            floor = np.full(len(q), -np.inf)  # a row below its query's k-th best cannot count
+            step = max(1, CELLS // len(q))
             for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                new = np.round(q @ _matrix(batch.column(1)).T, 6)
-                score = np.concatenate([score, new], axis=1)
-                ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), new.shape)], axis=1)
-                best = np.stack([np.lexsort((i, -s))[:k] for i, s in zip(ids, score)])
-                score, ids = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
-            n = score.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel()), pa.array(score.ravel())], ["query_id", "id", "score"])
+                for some in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                    new = np.round(q @ _matrix(some.column(1)).T, 6)
+                    row, column = np.nonzero(new >= floor[:, None])
+                    who, ids, score = np.append(who, row), np.append(ids, some.column(0).to_numpy()[column]), np.append(score, new[row, column])
+                    order = np.lexsort((ids, -score, who))
+                    who, ids, score = who[order], ids[order], score[order]
+                    rank = np.arange(len(who)) - np.searchsorted(who, who)
+                    last = rank == k - 1
+                    floor[who[last]] = score[last]
+                    keep = rank < k
+                    who, ids, score = who[keep], ids[keep], score[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(ids), pa.array(score)], ["query_id", "id", "score"])
 
         return rows.mapInArrow(run, schema)
 
@@ -69,3 +76,12 @@ def nest(hits: DataFrame) -> DataFrame:
     """(query_id, rank, chunk_id, text, score) -> one row per query with its ``retrieved_chunks`` in order."""
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text", "score"))).alias("h"))
     return rows.select("query_id", F.transform("h", lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["text"].alias("text"), h["score"].alias("score"))).alias("retrieved_chunks"))
+
+
+def retrieve(queries: DataFrame, index: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """``queries`` (query_id, query, answers, vector), ``index`` as given by ``embedding.points`` -> one row for each query: query_id, query, answers and
+    ``retrieved_chunks`` (chunk_id, text, score), the best first."""
+    rows = index.select(F.col("point_id").alias("id"), "vector", "payload")
+    hits = top_k(rows, queries.select("query_id", "vector"), k, block)
+    named = hits.join(rows.select("id", F.col("payload.original_chunk_id").alias("chunk_id"), F.col("payload.text").alias("text")), "id")
+    return queries.select("query_id", "query", "answers").join(nest(named), "query_id", "left")

@@ -126,3 +126,12 @@ def chunk_all(docs: DataFrame, names: Iterable[str] | None = None, specs: dict[s
     """The chunks of many strategies, told apart by ``strategy``."""
     specs = specs or STRATEGIES
     return reduce(DataFrame.unionByName, (chunk(docs, specs[n], n) for n in names or specs))
+
+
+def register_views(docs: DataFrame, names: Iterable[str] | None = None, prefix: str = "chunks_of_") -> list[str]:
+    """The chunks of ``docs`` by each strategy as a temporary view, for use in SQL; nothing is computed before a view is read."""
+    made = []
+    for name in names or STRATEGIES:
+        chunk(docs, STRATEGIES[name], name).createOrReplaceTempView(f"{prefix}{name}")
+        made.append(f"{prefix}{name}")
+    return made
