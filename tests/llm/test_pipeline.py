@@ -1,6 +1,8 @@
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_decontamination import brute
-from tests.llm.test_simhash import brute as simhash_classes
+from tests.llm.test_minhash import components, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +39,8 @@ def test_each_stage_against_brute_force(spark):
         elif name == "line dedup":
             assert {r.doc_id: r.text for r in rows} == lines_kept(was) and all(r.n_chars == len(r.text) for r in rows)
         elif name == "SimHash near-dedup":
-            assert sorted(r.doc_id for r in rows) == sorted({root for _, root in simhash_classes(was).values()})
+            # One of each class of Jaccard similarity 0.8 or more on five-word shingles.
+            assert sorted(r.doc_id for r in rows) == sorted(set(components({d: shingles(t) for d, t in was}, 0.8).values()))
         elif name == "benchmark decontamination":
             bad = {d for d, _ in brute(was, items)}
             assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in was if d not in bad)
@@ -45,3 +48,21 @@ def test_each_stage_against_brute_force(spark):
             assert {r.doc_id for r in rows} == {d for d, _ in was}
         now = spark.createDataFrame(rows, made.schema)
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, SF).count() == len(rows)
+
+
+HARD = [(1, None), (2, ""), (None, "no id but text of some words here and there"), (4, "x " * 100_000), (5, "a b c\nd e f\ng h i\nj"), (5, "a b c\nd e f\ng h i\nk"), (6, "same words in this row"), (6, "same words in this row")]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_hard_rows_in_each_stage(spark, name, stage):
+    """Nulls, empty and long texts, shared ids, repeated rows, extra columns with names of the plans' own, and no n_chars."""
+    docs = spark.createDataFrame([(*r, "row", 1, "key") for r in HARD], "doc_id long, text string, row string, place int, key string")
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if name == "best-fit packing":
+        assert sum(r.piece == 0 for r in rows) == len(HARD)
+    else:
+        assert out.columns == docs.columns and all((r.row, r.place, r.key) == ("row", 1, "key") for r in rows)
+        wanted = {"line dedup": 8, "SimHash near-dedup": 6, "benchmark decontamination": 8}
+        assert len(rows) == wanted.get(name, len(rows)) <= 8
+    assert stage(spark, docs.limit(0), SF).count() == 0
