@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences: ``run`` applies ``STAGES`` to the table
 ``documents``, each stage written as Parquet in the shared folder and read again by the next.
 
-All stages but the last return the columns of ``documents``, with ``n_chars`` that of the text.
+All stages but the last return the columns of their input, with ``n_chars``, if there is one, that of the text.
+
+Edge cases, in every stage: a null text is empty, and a null id an id like any other; a null or empty text gets
+the classifier's score of no features, has no lines, is a near copy of other texts without words, holds no
+benchmark item and is packed as its end alone. Very long texts are taken whole. Rows that share an id are
+documents of their own, but for the decontamination, where they go together if one of them holds an item;
+equal rows are exact copies, of which the near-dedup keeps one. An empty table gives an empty result. Columns
+may have any names.
 """
 
 from __future__ import annotations
