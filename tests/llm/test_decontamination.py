@@ -57,6 +57,32 @@ def test_recall_at_the_full_distance():
     assert len(got) / len(want) >= 0.97, len(got) / len(want)
 
 
+def test_recall_of_long_items_at_the_full_distance():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (200, 300, 400, 500, 600) for _ in range(6)]
+    items = d.Items(list(range(len(texts))), texts, d.SHARE)
+    docs = []
+    for t in texts:
+        w = t.split()
+        for _ in range(int(d.SHARE * len(w) * 0.95)):
+            k, kind = rng.randrange(len(w)), rng.random()
+            w[k : k + (kind < 0.7)] = [rng.choice(vocabulary)] if kind < 0.7 or kind > 0.85 else []
+        docs.append(" ".join(rng.choices(vocabulary, k=100) + w + rng.choices(vocabulary, k=100)))
+    want = brute(list(enumerate(docs)), list(enumerate(texts)))
+    got = {(doc, item) for doc, item, *_ in d.matches(pa.array(docs, pa.large_string()), items, d.SHARE)}
+    assert got <= want and len(want) >= 20
+    assert len(got) / len(want) >= 0.9, len(got) / len(want)
+
+
+def test_long_text_in_parts():
+    item = " ".join(f"q{i}" for i in range(40))
+    text = " ".join(f"w{i}" for i in range(300_000))
+    docs = pa.array([f"{text} {item} {text} {item}"], pa.large_string())
+    found = d.matches(docs, d.Items([7], [item], d.SHARE), d.SHARE)
+    assert found == [(0, 0, 300_000, 40, 0)]
+
+
 def test_edit_distance():
     a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]])
     b = np.array([[1, 2, 3, 4], [2, 3, 4, 5], [9, 9, 9, 9]])

@@ -5,8 +5,8 @@ its windows of m words is within ``floor(SHARE * m)`` word edits of it.
 
 Search: the CGK random walk writes a window as 2m symbols; at each step it puts out the current
 word and moves on if a random bit of (step, word) says so, so that a small edit distance becomes
-a small Hamming distance. A key joins ``BITS`` sampled places of the output; there are ``TABLES``
-keys, in groups that share one walk. A window and an item of its size that meet in some table are
+a small Hamming distance. A key joins ``BITS`` sampled places of the output; there are ``PER_WALK``
+keys for each of ``walks_of`` walks. A window and an item of its size that meet in some table are
 verified by their exact edit distance. The number of tables is set by the recall wanted at the
 full edit distance (see the tests); any one hit among the windows around a passage suffices.
 
@@ -15,8 +15,8 @@ walk, without loss: of m words with d edits, runs of ``n = min(RUN, m // (d + 1)
 they were, at most d places off, and at least ``m - n + 1 - n * d`` of them, so only windows with
 that many runs of items of their size, one of them at about its place, are embedded.
 
-Scale: documents are read once and not shuffled. Items are taken in blocks of ``ITEM_BLOCK``
-words at most, the only thing that is sent to the tasks; a larger benchmark takes more passes.
+Scale: documents are not shuffled. Items are taken in blocks of ``ITEM_BLOCK`` words at most, one at
+a time on the driver and in the tasks; each takes one pass over the documents, whose findings are written.
 
 Edge cases: null and empty texts hold nothing; items without words match nothing; items of fewer
 than five words must occur exactly; repeated rows and items give a row each; an item id may be
@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 
 from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices
-from textmill.llm.vectext import U64, mix, word_hashes, words_of
+from textmill.llm.vectext import U64, mix, parts, word_hashes, words_of
 
 SHARE = 0.2
 RUN = 3
 WALKS, PER_WALK, BITS = 12, 5, 3
-TABLES = WALKS * PER_WALK
 ITEM_BLOCK = 1_000_000
 PAIRS = 2_000_000
 HELD = 2_000_000
@@ -58,14 +57,19 @@ def _seed(*parts: int) -> np.uint64:
     return h[0]
 
 
+def walks_of(m: int) -> int:
+    """Walks for items of ``m`` words: two walks drift apart with length, so long items get more."""
+    return WALKS * (1 + m // 150)
+
+
 def walk_keys(words: np.ndarray, m: int) -> np.ndarray:
     """Rows of ``m`` word hashes -> their key in each table, (tables, rows)."""
-    n, steps = len(words), 2 * m
+    n, steps, walks = len(words), 2 * m, walks_of(m)
     flat = np.concatenate([words, np.zeros((n, 1), dtype=U64)], axis=1).ravel()  # zero: beyond the end
     base = np.arange(n) * (m + 1)
-    out = np.empty((TABLES, n), dtype=U64)
+    out = np.empty((walks * PER_WALK, n), dtype=U64)
     with np.errstate(over="ignore"):
-        for walk in range(WALKS):
+        for walk in range(walks):
             at = np.zeros(n, dtype=np.int64)
             put = np.empty((steps, n), dtype=U64)
             bits = mix(flat + _seed(7, walk))
@@ -167,14 +171,15 @@ class Windows:
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
     def add(self, texts: pa.Array) -> None:
-        """Texts count on from those added before."""
-        words = words_of(texts)
-        codes = word_hashes(words)
-        for m, starts in window_starts(codes, words.docs, self.items, self.share).items():
-            if len(starts):
-                doc = np.searchsorted(words.docs, starts, side="right") - 1
-                self.parts.setdefault(m, []).append((codes[starts[:, None] + np.arange(m)], doc + self.rows, starts - words.docs[doc]))
-                self.held += len(starts) * m
+        """Texts count on from those added before. A very long one is taken in parts, each window of it once."""
+        for before, part in parts(texts, max(self.items.by_size, default=1) - 1):
+            words = words_of(part)
+            codes = word_hashes(words)
+            for m, starts in window_starts(codes, words.docs, self.items, self.share).items():
+                if len(starts):
+                    doc = np.searchsorted(words.docs, starts, side="right") - 1
+                    self.parts.setdefault(m, []).append((codes[starts[:, None] + np.arange(m)], doc + self.rows, starts - words.docs[doc] + before))
+                    self.held += len(starts) * m
         self.rows += len(texts)
 
     def matches(self) -> list[tuple[int, int, int, int, int]]:
@@ -258,8 +263,8 @@ def item_blocks(benchmark: DataFrame, words: int = ITEM_BLOCK) -> Iterator[tuple
 def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = ITEM_BLOCK) -> DataFrame:
     """``docs`` (doc_id, text), ``benchmark`` (item_id, text) -> a row for each document and item
     that it holds, in ``FOUND``, with its nearest window."""
-    parts = [_search(docs, Items(ids, texts, share), share) for ids, texts in item_blocks(benchmark, block)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], FOUND)
+    found = [materialize(_search(docs, Items(ids, texts, share), share), "items-found") for ids, texts in item_blocks(benchmark, block)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
