@@ -235,6 +235,10 @@ def test_runner_and_stream(spark, tmp_path):
     docs = strategies.documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     out = runner.run_strategies(docs, str(tmp_path / "run"), {"sentence_based_chunking": strategies.spec("sentence"), "bad": strategies.spec("none")})
     assert out[0]["total_documents"] == 200 and out[0]["total_chunking_time_sec"] > 0 and "error" in out[1]
+    compared = runner.compare(docs, str(tmp_path / "run")).collect()
+    assert [r.strategy for r in compared] == ["sentence_based_chunking", "bad"] and compared[0].total_chunks == out[0]["total_chunks"] and compared[1].error
+    assert spark.read.json(str(tmp_path / "run/per_document/sentence_based_chunking")).count() == 200
+    assert spark.read.text(str(tmp_path / "run/reports/sentence_based_chunking")).count() == 205
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(str(tmp_path / "src"))
     stream = streaming.read_documents(spark, str(tmp_path / "src"))
     streaming.chunk_stream(stream, strategies.spec("sentence"), "s", str(tmp_path / "sink"), str(tmp_path / "cp"), once=True).awaitTermination()

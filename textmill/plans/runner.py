@@ -1,29 +1,44 @@
-"""Runs strategies one after another: chunks, metrics and the wall time of each."""
+"""Runs strategies one after another: chunks, metrics, the text report and the wall time of each."""
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textmill.operators import metrics
 from textmill.plans.strategies import STRATEGIES, chunk
-from textmill.sources.corpus import write_chunks
+from textmill.sources.corpus import write_chunks, write_lines
 
 
 def run_strategies(docs: DataFrame, path: str, specs: dict[str, dict] | None = None) -> list[dict]:
-    """Write the chunks of each strategy under ``path`` and return its metrics; a failure is logged and
-    noted, and the others go on."""
+    """Write under ``path`` for each strategy its chunks (``<strategy>``), metrics for each document (``per_document/<strategy>``) and
+    text report (``reports/<strategy>``), then one JSON line for each strategy (``consolidated``): its metrics and seconds, or its error.
+    These are also returned. A failure is logged and noted, and the others go on."""
     out = []
+    spark = docs.sparkSession
     for name, given in (specs or STRATEGIES).items():
         began = time.perf_counter()
         try:
             write_chunks(chunk(docs, given, name), f"{path}/{name}", "parquet")
             took = round(time.perf_counter() - began, 6)
-            made = docs.sparkSession.read.parquet(f"{path}/{name}")
-            out.append(metrics.aggregated(docs, made, name).first().asDict() | {"total_chunking_time_sec": took})
+            made = spark.read.parquet(f"{path}/{name}")
+            metrics.per_document(docs, made).write.mode("overwrite").json(f"{path}/per_document/{name}")
+            write_lines(metrics.report(docs, made).repartitionByRange("line").sortWithinPartitions("line"), "value", f"{path}/reports/{name}")
+            total = metrics.aggregated(docs, made, name).first().asDict()
+            each = total["total_documents"] or 1
+            out.append(total | {"strategy": name, "total_chunking_time_sec": took, "average_chunking_time_sec": round(took / each, 6)})
         except Exception as e:
             logging.getLogger(__name__).exception("strategy %s failed", name)
-            out.append({"chunker": name, "error": str(e)})
+            out.append({"strategy": name, "chunker": name, "error": str(e)})
+    lines = spark.createDataFrame([(json.dumps(x, default=float),) for x in out], "value string")  # one short row for each strategy
+    write_lines(lines, "value", f"{path}/consolidated")
     return out
+
+
+def compare(docs: DataFrame, path: str) -> DataFrame:
+    """What ``run_strategies`` wrote: a row for each strategy, the fastest first."""
+    return docs.sparkSession.read.json(f"{path}/consolidated").orderBy(F.col("total_chunking_time_sec").asc_nulls_last(), "strategy")
