@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.buckets import bucket_links, members_of
 from textmill.llm.components import connected_components
-from textmill.llm.storage import discard, materialize, release
+from textmill.llm.storage import batches_of, discard, materialize, release
 from textmill.llm.subwords import in_slices
 from textmill.llm.vectext import U64, mix, parts, windows, word_hashes, words_of
 
@@ -307,7 +307,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     columns are kept, whatever their names. Rows that share an id are told apart by a number of their own."""
     rows = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place")), "rows")
     texts = rows.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text"))
-    banded = materialize(bands_of(texts, shingle, tables), "bands")
+    with batches_of(docs.sparkSession, 2000):  # whole texts: fewer at a time, for memory
+        banded = materialize(bands_of(texts, shingle, tables), "bands")
     classes = classes_of(banded, texts, threshold, shingle)
     groups = materialize(banded.select(F.col("doc_id").alias("place"), "class").join(sized(classes), "class").select("place", F.col("component_id").alias("component")), "row-components")
     named = materialize(groups.join(rows.select("place", F.col("row.doc_id").alias("id")), "place").select("place", "component", F.struct(F.col("id").isNull().alias("none"), "id", "place").alias("order")), "ordered-groups")

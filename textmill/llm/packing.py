@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.storage import materialize
+from textmill.llm.storage import batches_of, materialize
 from textmill.llm.subwords import encoder, in_slices, public_path
 
 CAPACITY = 1024
@@ -155,7 +155,8 @@ def places(bins: list[tuple[int, list[int]]], capacity: int) -> tuple[np.ndarray
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pack ``docs`` (doc_id, text): one row per piece with its ``sequence_id`` and ``offset``."""
-    cut = materialize(pieces(docs, tokenizer_path or public_path(), capacity, end_id), "pieces")
+    with batches_of(docs.sparkSession, 2000):  # whole texts: fewer at a time, for memory
+        cut = materialize(pieces(docs, tokenizer_path or public_path(), capacity, end_id), "pieces")
     per_task = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
