@@ -11,7 +11,7 @@ its own takes that of its nearest ancestor directory that has one.
 
 Only units with a cue word are scored, without loss: of each template so many terms are cues that
 the others have less than ``THRESHOLD`` of its length, and a unit without any cue shares only those,
-so its cosine is below the threshold. Of these, runs are scored only if their words of some template
+so its cosine is below the threshold. Of these, units are scored only if their words of some template
 can outweigh the unknown ones: known words ``K`` and unknown ones ``U`` give a cosine of at most
 ``sqrt(K / (K + U))`` (in squared weights), which ``_can_reach`` bounds by their numbers alone.
 
@@ -137,6 +137,7 @@ def scores(files: DataFrame) -> DataFrame:
         return F.when(F.size("all") >= n, F.filter(found, lambda x: _can_reach(x["terms"]))).otherwise(F.array())
 
     whole = F.array(F.struct(F.lit(0).alias("lines"), F.lit(0).alias("line"), F.flatten(F.transform("all", lambda x: x["terms"])).alias("terms")))
+    whole = F.filter(whole, lambda x: _can_reach(x["terms"]))
     units = cued.select("file_id", F.inline(F.concat(whole, *(runs(n) for n in range(1, RUN + 1)))))
     counted = units.select("file_id", "lines", "line", F.explode("terms").alias("term")).groupBy("file_id", "lines", "line", "term").agg(F.count("*").alias("tf"))
     idf, vectors = template_vectors(spark)
