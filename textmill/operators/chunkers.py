@@ -188,9 +188,10 @@ def dynamic_token(min_chunk_size: int, max_chunk_size: int) -> Chunker:
             last = F.when(e - now > min_chunk_size, e).when(beyond, 0).otherwise(m)
             return F.struct(now.alias("s"), last.alias("m"), found.alias("starts"))
 
-        # The end of the text closes what is open; it is no end itself, hence the last of the marks is looked at once more.
+        # The end of the text closes what is open, at the last of the marks unless the text itself ends with one.
+        closed = F.exists(ends, lambda e: e == n)
         marks = F.filter(ends, lambda e: e < n)
-        folded = F.aggregate(F.concat(marks, F.array(n + 0)), begin, lambda acc, e: _let(step(acc, e), lambda x: F.struct(x["s"].alias("s"), F.when(e < n, x["m"]).otherwise(F.when(acc["m"] > x["s"], acc["m"]).otherwise(0)).alias("m"), x["starts"].alias("starts"))))
+        folded = F.aggregate(F.concat(marks, F.array(n + 0)), begin, lambda acc, e: _let(step(acc, e), lambda x: F.struct(x["s"].alias("s"), F.when(e < n, x["m"]).otherwise(F.when((acc["m"] > x["s"]) & ~closed, acc["m"]).otherwise(0)).alias("m"), x["starts"].alias("starts"))))
         return F.filter(_let(folded, lambda x: F.when(x["m"] > x["s"], F.concat(x["starts"], F.array(x["m"]))).otherwise(x["starts"])), lambda s: s < n)
 
     def of(t: Column) -> Column:
