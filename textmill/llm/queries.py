@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import decontamination, licenses, line_dedup, lm_scoring, minhash, packing, pii, quality, simhash, token_files
+from textmill.llm import decontamination, filter_audit, licenses, line_dedup, lm_scoring, minhash, packing, pii, quality, simhash, token_counts, token_files, vector_codes
 from textmill.session import table
 
 
@@ -64,6 +64,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, with its error and that of its label."""
+    return vector_codes.encode(table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -76,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
+        "op11_token_counts": op11_token_counts,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -83,4 +101,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_licenses": licenses.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
+        "op12_filter_audit": filter_audit.ORACLE,
+        "op13_vector_codes": vector_codes.ORACLE,
     }
