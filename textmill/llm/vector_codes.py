@@ -7,7 +7,8 @@ result doesn't depend on how the rows are partitioned.
 
 The nearest entry is found by partial distances (``nearest``): dimensions are taken by falling variance of the codebook. The
 sums over the first ones, of all entries, give each vector a guess, whose complete distance is the best so far; from
-then on an entry is dropped as soon as its sum is strictly above the best, so ties survive and the answer is exact.
+then on an entry is dropped as soon as its sum is strictly above the best, so ties survive and the answer is exact. Masks tell
+which are left; when they are few, only they go on.
 
 Scale: the numbers are written once as a table and read in each round. A task sends the count and sum of each entry, 1024 rows at
 most, which Spark adds up; the codebooks (4 * 256 entries, of a size given by the vectors' width) go through the driver and to the tasks. Sums
@@ -33,7 +34,8 @@ from textmill.llm.storage import batches_of, discard, materialize
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 BOUND = 1 << 24
-HEAD = 4  # dimensions that are summed for all entries
+HEAD = 4  # dimensions after which each vector has a first guess
+FEW = 16  # where no more than one in so many entries is left, they go on one by one
 BLOCK = 1024
 BATCH = 4096
 RESULT = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
@@ -60,31 +62,29 @@ def nearest(values: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarra
     most = max(int(np.abs(values).max(initial=0)), int(np.abs(book).max(initial=0)))
     kind = np.int32 if width * (2 * most) ** 2 < 1 << 31 else np.int64
     book = np.ascontiguousarray(book[:, order], dtype=kind)
-    head, half = min(HEAD, width), (min(HEAD, width) + width) // 2
     for a in range(0, len(values), BLOCK):
         own = np.ascontiguousarray(values[a : a + BLOCK, order], dtype=kind)
         rows = np.arange(len(own))
-        sums = np.zeros((len(own), len(book)), dtype=kind)
-        for d in range(head):
-            step = own[:, d, None] - book[None, :, d]
-            sums += step * step
 
         def complete(guess: np.ndarray) -> np.ndarray:
             step = own - book[guess]
             return (step * step).sum(axis=1, dtype=kind)
 
-        best = complete(sums.argmin(axis=1))
-        row, entry = np.nonzero(sums <= best[:, None])
+        sums = np.zeros((len(own), len(book)), dtype=kind)
+        best = np.full(len(own), np.iinfo(kind).max, dtype=kind)
+        done, left = 0, np.ones(sums.shape, dtype=bool)
+        while done < width and np.count_nonzero(left) * FEW > left.size:  # while many are left, a plain matrix is cheapest
+            step = own[:, done, None] - book[None, :, done]
+            sums += step * step
+            done += 1
+            if done in (HEAD, 2 * HEAD):
+                best = np.minimum(best, complete(sums.argmin(axis=1)))
+            left = sums <= best[:, None]
+        row, entry = np.nonzero(left)
         so_far = sums[row, entry]
-        for d in range(head, width):
+        for d in range(done, width):
             step = own[row, d] - book[entry, d]
             so_far = so_far + step * step
-            if d == half:  # a better guess for each vector
-                begins = np.searchsorted(row, rows)
-                least = np.minimum.reduceat(so_far, begins)
-                at = np.flatnonzero(so_far == least[row])
-                first = at[np.searchsorted(row[at], rows)]
-                best = np.minimum(best, complete(entry[first]))
             keep = so_far <= best[row]
             row, entry, so_far = row[keep], entry[keep], so_far[keep]
         least = np.minimum.reduceat(so_far, np.searchsorted(row, rows))
