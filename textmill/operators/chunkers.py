@@ -1,25 +1,22 @@
-"""Chunkers: each takes the text column and gives an array of chunks, so a strategy is one
-expression over a scan, without a shuffle, and runs on streams as well.
-
-A chunk is a struct: ``text``; ``metadata`` (JSON); ``doc_suffix`` and ``id_suffix``, which
-follow the document's id in the chunk's ``doc_id`` and ``chunk_id``. A null or empty text has
-no chunks.
+"""The chunkers: each function gives a ``Chunker`` (see ``chunker``), so a strategy is a chain of columns over a scan, without a shuffle, and runs
+on streams as well. ``tokenizer=`` takes ``Tokens`` or the parameters of a byte-pair vocabulary; without it tokens are found by pattern. ``encoder=`` takes a
+sentence encoder's factory or its name (``module:attribute``), ``similar=`` an expression instead; without either, sentences are compared by word counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmill.functions import splitting
+from textmill.functions import encoders, splitting
 from textmill.functions import text as T
-
-Chunker = Callable[[Column], Column]
-CHUNKS = "array<struct<text string, metadata string, doc_suffix string, id_suffix string>>"
+from textmill.functions.lifted import PerValue
+from textmill.functions.tokenizing import Tokens, tokens
+from textmill.operators.chunker import CHUNKS, Chunker, Given, Hybrid
+from textmill.operators.chunker import let as _let
 
 
 def _chunk(text: Column, metadata: dict, suffix: Column) -> Column:
@@ -28,11 +25,6 @@ def _chunk(text: Column, metadata: dict, suffix: Column) -> Column:
     return F.struct(text.alias("text"), F.to_json(F.struct(*values)).alias("metadata"), F.lit("").alias("doc_suffix"), suffix.alias("id_suffix"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once; a plain reuse would be computed at each use."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _numbered(i: Column, kind: str = "chunk") -> Column:
     return F.format_string(f"_{kind}_%04d", i)
 
@@ -41,36 +33,68 @@ def _starts(n: Column, step: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def _pieces(units: Column, starts: Column, metadata: Callable[[Column, Column, Column], dict], joiner: str = " ") -> Column:
+Run = Callable[[Column, Column, Column], Column]
+
+
+def _joined(joiner: str) -> Run:
+    """The text of a run (start, length) of an array of texts."""
+    return lambda units, start, n: F.array_join(F.slice(units, start + 1, n), joiner)
+
+
+def _pieces(units: Column, starts: Column, metadata: Callable[[Column, Column, Column], dict], size: Callable[[Column], Column] = F.size, run: Run = _joined(" ")) -> Column:
     """One chunk from each start to the next; ``metadata`` gets the piece's number, text and start."""
 
     def one(s: Column, i: Column) -> Column:
-        text = F.array_join(F.slice(units, s + 1, F.coalesce(F.get(starts, i + 1), F.size(units)) - s), joiner)
+        text = run(units, s, F.coalesce(F.get(starts, i + 1), size(units)) - s)
         return _chunk(text, metadata(i, text, s), _numbered(i))
 
-    return F.when(F.size(units) > 0, F.transform(starts, one)).otherwise(F.array().cast(CHUNKS))
+    return F.when(size(units) > 0, F.transform(starts, one)).otherwise(F.array().cast(CHUNKS))
 
 
-def windows(units: Callable[[Column], Column], size: int, step: int, joiner: str, name: str, keys: dict, ends: tuple[str, str], kind: str = "chunk") -> Chunker:
+def _windows(units: Column, number: Column, run: Run, size: int, step: int, name: str, keys: dict, ends: tuple[str, str], kind: str = "chunk") -> Column:
     """Runs of ``size`` units every ``step``; emitted as long as a run has a unit, so the last one may
     repeat the end of the one before."""
+
+    def of(v: Column) -> Column:
+        u, n = v["u"], v["n"]
+
+        def one(s: Column, i: Column) -> Column:
+            meta = {"chunker": name, **keys, ends[0]: s, ends[1]: F.least(s + size, n)}
+            return _chunk(run(u, s, F.lit(size)), meta, _numbered(i, kind))
+
+        return F.transform(_starts(n, step), one)
+
+    return _let(F.struct(units.alias("u"), number.alias("n")), of)
+
+
+def windows(units: Callable[[Column], Column], size: int, step: int, joiner: str, name: str, keys: dict, ends: tuple[str, str], kind: str = "chunk") -> Chunker:
+    """Windows over texts in an array."""
     if step < 1 or size < 1:
         raise ValueError("size and step must be at least 1")
+    return Chunker(lambda x: _windows(x.prepared, F.size(x.prepared), _joined(joiner), size, step, name, keys, ends, kind), prepare=units)
 
-    def of(u: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            meta = {"chunker": name, **keys, ends[0]: s, ends[1]: F.least(s + size, F.size(u))}
-            return _chunk(F.array_join(F.slice(u, s + 1, size), joiner), meta, _numbered(i, kind))
 
-        return F.transform(_starts(F.size(u), step), one)
+def token_windows(size: int, step: int, name: str, keys: dict, kind: str = "chunk", tokenizer: Tokens | dict | None = None) -> Chunker:
+    """Windows over tokens."""
+    if step < 1 or size < 1:
+        raise ValueError("size and step must be at least 1")
+    t = tokens(tokenizer)
+
+    def body(x: Given) -> Column:
+        return _let(t.units(x.text, x.found), lambda u: _windows(u, t.size(u), t.run, size, step, name, keys, ("start_token", "end_token"), kind))
+
+    return _over_tokens(t, body)
 
-    return lambda text: _let(units(text), of)
+
+def _over_tokens(t: Tokens, body: Callable[[Given], Column]) -> Chunker:
+    return Chunker(body, python=t.python, ask=t.ask and (lambda text, _: t.ask(text)))
 
 
 def fixed_character(chunk_size: int, overlap: int, name: str = "fixed_character_chunking") -> Chunker:
     step = max(1, chunk_size - overlap)
 
-    def chunk(text: Column) -> Column:
+    def chunk(x: Given) -> Column:
+        text = x.text
         n = F.length(text)
 
         def one(s: Column, i: Column) -> Column:
@@ -79,23 +103,23 @@ def fixed_character(chunk_size: int, overlap: int, name: str = "fixed_character_
 
         return F.transform(_starts(n, step), one)
 
-    return chunk
+    return Chunker(chunk)
 
 
-def fixed_token(chunk_size: int, overlap: int = 0, name: str = "fixed_token_chunking") -> Chunker:
-    return windows(T.tokens, chunk_size, max(1, chunk_size - overlap), "", name, {"chunk_size": chunk_size, "overlap": overlap}, ("start_token", "end_token"))
+def fixed_token(chunk_size: int, overlap: int = 0, name: str = "fixed_token_chunking", tokenizer: Tokens | dict | None = None) -> Chunker:
+    return token_windows(chunk_size, max(1, chunk_size - overlap), name, {"chunk_size": chunk_size, "overlap": overlap}, tokenizer=tokenizer)
 
 
-def overlapping_token(chunk_size: int, overlap_size: int) -> Chunker:
-    return windows(T.tokens, chunk_size, max(1, chunk_size - overlap_size), "", "overlapping_token_chunking", {"chunk_size": chunk_size, "overlap_size": overlap_size}, ("start_token", "end_token"))
+def overlapping_token(chunk_size: int, overlap_size: int, tokenizer: Tokens | dict | None = None) -> Chunker:
+    return token_windows(chunk_size, max(1, chunk_size - overlap_size), "overlapping_token_chunking", {"chunk_size": chunk_size, "overlap_size": overlap_size}, tokenizer=tokenizer)
 
 
-def sliding_token(window_size: int, step_size: int) -> Chunker:
-    return windows(T.tokens, window_size, step_size, "", "sliding_window_token_chunking", {"window_size": window_size, "step_size": step_size}, ("start_token", "end_token"))
+def sliding_token(window_size: int, step_size: int, tokenizer: Tokens | dict | None = None) -> Chunker:
+    return token_windows(window_size, step_size, "sliding_window_token_chunking", {"window_size": window_size, "step_size": step_size}, tokenizer=tokenizer)
 
 
-def token_span(span_size: int, step_size: int) -> Chunker:
-    return windows(T.tokens, span_size, step_size, "", "late_chunking_token_spans", {"span_size": span_size, "step_size": step_size}, ("start_token", "end_token"), "span")
+def token_span(span_size: int, step_size: int, tokenizer: Tokens | dict | None = None) -> Chunker:
+    return token_windows(span_size, step_size, "late_chunking_token_spans", {"span_size": span_size, "step_size": step_size}, "span", tokenizer)
 
 
 def sentence_group(sentences_per_chunk: int, overlap: int) -> Chunker:
@@ -112,7 +136,7 @@ def each_unit(units: Callable[[Column], Column], name: str, index: str, total: s
     def of(u: Column) -> Column:
         return F.transform(u, lambda x, i: _chunk(x, {"chunker": name, index: i, **({total: F.size(u)} if total else {})}, _numbered(i, kind)))
 
-    return lambda text: _let(units(text), of)
+    return Chunker(lambda x: _let(x.prepared, of), prepare=units)
 
 
 def sentence() -> Chunker:
@@ -148,7 +172,7 @@ def length_aware(target_length: int, tolerance: int) -> Chunker:
         starts = _greedy_starts(F.transform(s, lambda x: F.length(x)), F.transform(s, lambda x: F.lit(target_length + tolerance)))
         return _let(starts, lambda at: _pieces(s, at, lambda i, t, _: {"chunker": "length_aware_chunking", "length": F.length(t)}))
 
-    return lambda text: _let(T.sentences(text), of)
+    return Chunker(lambda x: _let(x.prepared, of), prepare=T.sentences)
 
 
 def content_density(base_chunk_size: int) -> Chunker:
@@ -162,14 +186,13 @@ def content_density(base_chunk_size: int) -> Chunker:
 
     factor = lambda x: _let(T.words(x), lambda w: 1.5 - F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
 
-    def chunk(text: Column) -> Column:
-        kept = F.filter(F.transform(T.sentences(text), lambda x: F.struct(x.alias("s"), factor(x).alias("f"))), lambda x: x["f"].isNotNull())
-        return _let(kept, lambda k: _let(F.struct(k["s"].alias("s"), k["f"].alias("f")), of))
+    def kept(text: Column) -> Column:
+        return F.filter(F.transform(T.sentences(text), lambda x: F.struct(x.alias("s"), factor(x).alias("f"))), lambda x: x["f"].isNotNull())
 
-    return chunk
+    return Chunker(lambda x: _let(F.struct(x.prepared["s"].alias("s"), x.prepared["f"].alias("f")), of), prepare=kept)
 
 
-def dynamic_token(min_chunk_size: int, max_chunk_size: int) -> Chunker:
+def dynamic_token(min_chunk_size: int, max_chunk_size: int, tokenizer: Tokens | dict | None = None) -> Chunker:
     """A chunk ends after the last token with a sentence mark or line feed between the sizes, else at the most."""
 
     def starts_of(n: Column, ends: Column) -> Column:
@@ -194,27 +217,28 @@ def dynamic_token(min_chunk_size: int, max_chunk_size: int) -> Chunker:
         folded = F.aggregate(F.concat(marks, F.array(n + 0)), begin, lambda acc, e: _let(step(acc, e), lambda x: F.struct(x["s"].alias("s"), F.when(e < n, x["m"]).otherwise(F.when((acc["m"] > x["s"]) & ~closed, acc["m"]).otherwise(0)).alias("m"), x["starts"].alias("starts"))))
         return F.filter(_let(folded, lambda x: F.when(x["m"] > x["s"], F.concat(x["starts"], F.array(x["m"]))).otherwise(x["starts"])), lambda s: s < n)
 
-    def of(t: Column) -> Column:
-        ends = F.filter(F.transform(t, lambda x, i: F.when(x.rlike(r"[.\n?!]"), i + 1)), lambda e: e.isNotNull())
-        starts = _let(F.struct(F.size(t).alias("n"), ends.alias("e")), lambda v: starts_of(v["n"], v["e"]))
-        return _let(starts, lambda at: _pieces(t, at, lambda i, x, s: {"chunker": "dynamic_token_size_chunking", "token_count": F.coalesce(F.get(at, i + 1), F.size(t)) - s}, ""))
-
-    return lambda text: _let(T.tokens(text), of)
+    k = tokens(tokenizer)
 
+    def of(t: Column) -> Column:
+        ends = F.filter(F.transform(k.each(t), lambda x, i: F.when(x.rlike(r"[.\n?!]"), i + 1)), lambda e: e.isNotNull())
+        starts = _let(F.struct(k.size(t).alias("n"), ends.alias("e")), lambda v: starts_of(v["n"], v["e"]))
+        return _let(starts, lambda at: _pieces(t, at, lambda i, x, s: {"chunker": "dynamic_token_size_chunking", "token_count": F.coalesce(F.get(at, i + 1), k.size(t)) - s}, k.size, k.run))
 
-def _similarities(reach: int):
-    @F.arrow_udf("array<double>")
-    def run(words: pa.Array) -> pa.Array:
-        return splitting.adjacent_similarities(words, reach)
-
-    return lambda sentences: run(F.transform(sentences, T.words))
+    return _over_tokens(k, lambda x: _let(k.units(x.text, x.found), of))
 
 
 Similarity = Callable[[Column], Column]
 
 
-def _with(sentences: Column, values: Column, body: Callable[[Column, Column], Column]) -> Column:
-    return _let(F.struct(sentences.alias("s"), values.alias("v")), lambda x: body(x["s"], x["v"]))
+def _compared(of: Callable[[Column, Column, Column], Column], sentences: Callable[[Column], Column], reach: int, similar: Similarity | None, encoder: encoders.Factory | None) -> Chunker:
+    """A chunker of the text, its sentences and the similarities of neighbours: by an expression, an encoder, or word counts."""
+    if similar is not None:
+        return Chunker(lambda x: _let(F.struct(x.prepared.alias("s"), similar(x.prepared).alias("v")), lambda y: of(x.text, y["s"], y["v"])), prepare=sentences)
+    if encoder is not None:
+        python, ask = PerValue(encoders.adjacent(encoder, reach), "array<double>"), lambda _, s: s
+    else:
+        python, ask = PerValue(lambda words: splitting.adjacent_similarities(words, reach), "array<double>"), lambda _, s: F.transform(s, T.words)
+    return Chunker(lambda x: of(x.text, x.prepared, x.found), prepare=sentences, python=python, ask=ask)
 
 
 def _cuts(values: Column, cut: Callable[[Column, Column], Column]) -> Column:
@@ -222,17 +246,17 @@ def _cuts(values: Column, cut: Callable[[Column, Column], Column]) -> Column:
     return F.concat(F.array(F.lit(0)), F.filter(F.transform(values, lambda x, i: F.when(cut(x, i), i + 1)), lambda x: x.isNotNull()))
 
 
-def similarity_threshold(threshold: float, similar: Similarity | None = None) -> Chunker:
+def similarity_threshold(threshold: float, similar: Similarity | None = None, encoder: encoders.Factory | None = None) -> Chunker:
     """A sentence starts a chunk when it is less like the one before than the threshold."""
 
-    def of(s: Column, sims: Column) -> Column:
+    def of(_: Column, s: Column, sims: Column) -> Column:
         meta = lambda at: lambda i, t, a: {"chunker": "semantic_similarity_threshold_chunking", "threshold": threshold, "sentence_count": F.coalesce(F.get(at, i + 1), F.size(s)) - a}
         return _let(_cuts(sims, lambda x, i: x < threshold), lambda at: _pieces(s, at, meta(at)))
 
-    return lambda text: _with(T.sentences(text), (similar or _similarities(0))(T.sentences(text)), of)
+    return _compared(of, T.sentences, 0, similar, encoder)
 
 
-def semantic_variance(sensitivity: float, similar: Similarity | None = None) -> Chunker:
+def semantic_variance(sensitivity: float, similar: Similarity | None = None, encoder: encoders.Factory | None = None) -> Chunker:
     """A cut where the similarity falls below the mean of the last three by more than ``sensitivity``."""
 
     def of(text: Column, s: Column, sims: Column) -> Column:
@@ -243,7 +267,7 @@ def semantic_variance(sensitivity: float, similar: Similarity | None = None) ->
         meta = lambda at: lambda i, t, _: {"chunker": "semantic_variance_adaptive_chunking", "split_score": F.round(F.get(sims, F.get(at, i + 1) - 1), 6)}
         return F.when(F.size(s) == 1, whole).otherwise(_let(_cuts(sims, cut), lambda at: _pieces(s, at, meta(at))))
 
-    return lambda text: _with(T.sentences(text), (similar or _similarities(0))(T.sentences(text)), lambda s, sims: of(text, s, sims))
+    return _compared(of, T.sentences, 0, similar, encoder)
 
 
 def percentile(values: Column, q: float) -> Column:
@@ -255,11 +279,11 @@ def percentile(values: Column, q: float) -> Column:
     return a + (b - a) * (at - low)
 
 
-def semantic_breakpoints(name: str, gradient: bool = False, q: float = 0.95, similar: Similarity | None = None) -> Chunker:
+def semantic_breakpoints(name: str, gradient: bool = False, q: float = 0.95, similar: Similarity | None = None, encoder: encoders.Factory | None = None) -> Chunker:
     """Cuts after sentences whose distance to the next (with a neighbour on either side), or its
     gradient, is above the document's percentile."""
 
-    def of(s: Column, sims: Column) -> Column:
+    def of(_: Column, s: Column, sims: Column) -> Column:
         return _let(F.transform(sims, lambda x: F.round(1 - x, 9)), lambda d: steps(s, d))
 
     def steps(s: Column, d: Column) -> Column:
@@ -272,68 +296,61 @@ def semantic_breakpoints(name: str, gradient: bool = False, q: float = 0.95, sim
         starts = F.when(F.size(s) > (2 if gradient else 1), _cuts(values, lambda x, i: x > top)).otherwise(F.array(F.lit(0)))
         return _let(starts, lambda at: _pieces(s, at, lambda i, t, _: {"chunker": name}))
 
-    def chunk(text: Column) -> Column:
-        s = T.sentences(text, T.PLAIN_SENTENCE_END)
-        return _with(s, (similar or _similarities(1))(s), of)
-
-    return chunk
+    return _compared(of, lambda text: T.sentences(text, T.PLAIN_SENTENCE_END), 1, similar, encoder)
 
 
-def topic(distance_threshold: float) -> Chunker:
+def topic(distance_threshold: float, encoder: encoders.Factory | None = None) -> Chunker:
     """Runs of neighbouring sentences of one cluster."""
 
-    @F.arrow_udf("array<int>")
-    def labels(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else splitting.topic_labels(t, distance_threshold) for t in (x.values for x in texts)], pa.list_(pa.int32()))
-
     def of(text: Column, s: Column, label: Column) -> Column:
         starts = F.filter(F.transform(label, lambda x, i: F.when((i == 0) | (x != F.get(label, i - 1)), i)), lambda x: x.isNotNull())
         whole = F.array(_chunk(text, {"chunker": "topic_based_chunking"}, F.lit("_chunk_0000")))
         meta = lambda at: lambda i, t, a: {"chunker": "topic_based_chunking", "topic_label": F.get(label, a), "sentence_count": F.coalesce(F.get(at, i + 1), F.size(s)) - a}
         return F.when(F.size(s) == 1, whole).otherwise(_let(starts, lambda at: _pieces(s, at, meta(at))))
 
-    return lambda text: _with(T.sentences(text), labels(F.transform(T.sentences(text), T.words)), lambda s, label: of(text, s, label))
-
+    if encoder is not None:
+        python, ask = PerValue(encoders.topics(encoder, distance_threshold), "array<int>"), lambda _, s: s
+    else:
+        labels = lambda texts: pa.array([None if t is None else splitting.topic_labels(t, distance_threshold) for t in (x.values for x in texts)], pa.list_(pa.int32()))
+        python, ask = PerValue(labels, "array<int>"), lambda _, s: F.transform(s, T.words)
+    return Chunker(lambda x: of(x.text, x.prepared, x.found), prepare=T.sentences, python=python, ask=ask)
 
-def _texts(run: Callable[[str], list]):
-    @F.pandas_udf("array<string>")
-    def split(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: run(t) if t else [])
 
-    return split
-
-
-def recursive(chunk_size: int, chunk_overlap: int, name: str = "recursive_chunking", by_tokens: bool = False) -> Chunker:
+def recursive(chunk_size: int, chunk_overlap: int, name: str = "recursive_chunking", by_tokens: bool = False, tokenizer: Tokens | dict | None = None) -> Chunker:
     if chunk_overlap > chunk_size:
         raise ValueError("the overlap is larger than the chunk")
-    length = splitting.n_tokens if by_tokens else len
-    split = _texts(lambda t: splitting.recursive_split(t, chunk_size, chunk_overlap, length))
-    return lambda text: F.transform(split(text), lambda x, i: _chunk(x, {"chunker": name, "chunk_size": chunk_size, "chunk_overlap": chunk_overlap}, _numbered(i)))
+    t = tokens(tokenizer)
+
+    def split(texts: pa.Array) -> pa.Array:
+        length = t.count() if by_tokens else len
+        return pa.array([splitting.recursive_split(x, chunk_size, chunk_overlap, length) if x else [] for x in texts.to_pylist()], pa.list_(pa.string()))
 
+    one = lambda x, i: _chunk(x, {"chunker": name, "chunk_size": chunk_size, "chunk_overlap": chunk_overlap}, _numbered(i))
+    return Chunker(lambda x: F.transform(x.found, one), python=PerValue(split, "array<string>"), ask=lambda text, _: text)
 
-def recursive_token(chunk_size: int, chunk_overlap: int) -> Chunker:
-    return recursive(chunk_size, chunk_overlap, "recursive_token_fallback_chunking", True)
 
+def recursive_token(chunk_size: int, chunk_overlap: int, tokenizer: Tokens | dict | None = None) -> Chunker:
+    return recursive(chunk_size, chunk_overlap, "recursive_token_fallback_chunking", True, tokenizer)
 
-def parent_child(parent_chunk_size: int, child_chunk_size: int, chunk_overlap: int, doc_id: str = "doc_id") -> Chunker:
+
+def parent_child(parent_chunk_size: int, child_chunk_size: int, chunk_overlap: int) -> Chunker:
     """Each parent, followed by its children."""
     if chunk_overlap > child_chunk_size:
         raise ValueError("the overlap is larger than the chunk")
 
-    @F.pandas_udf("array<array<string>>")
-    def split(text: pd.Series) -> pd.Series:
+    def split(texts: pa.Array) -> pa.Array:
         both = lambda t: [[p, *splitting.recursive_split(p, child_chunk_size, chunk_overlap)] for p in splitting.recursive_split(t, parent_chunk_size, chunk_overlap)]
-        return text.map(lambda t: both(t) if t else [])
+        return pa.array([both(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.list_(pa.string())))
 
-    def chunk(text: Column) -> Column:
+    def body(given: Given) -> Column:
         def one(x: Column, i: Column, j: Column) -> Column:
             parent = _numbered(i, "parent")
-            meta = {"chunker": "parent_child_chunking", "chunk_type": F.when(j == 0, "parent").otherwise("child"), "parent_id": F.when(j > 0, F.concat(F.col(doc_id), parent)), "chunk_size": F.when(j == 0, parent_chunk_size).otherwise(child_chunk_size)}
+            meta = {"chunker": "parent_child_chunking", "chunk_type": F.when(j == 0, "parent").otherwise("child"), "parent_id": F.when(j > 0, F.concat(given.doc, parent)), "chunk_size": F.when(j == 0, parent_chunk_size).otherwise(child_chunk_size)}
             return _chunk(x, meta, F.when(j == 0, parent).otherwise(F.concat(parent, F.format_string("_child_%04d", j - 1))))
 
-        return F.flatten(F.transform(split(text), lambda p, i: F.transform(p, lambda x, j: one(x, i, j))))
+        return F.flatten(F.transform(given.found, lambda p, i: F.transform(p, lambda x, j: one(x, i, j))))
 
-    return chunk
+    return Chunker(body, python=PerValue(split, "array<array<string>>"), ask=lambda text, _: text)
 
 
 def _lines(text: Column) -> Column:
@@ -390,28 +407,30 @@ def cut_at(text: Column, cuts: Column) -> Column:
     return F.filter(_let(inside, pieces), lambda p: p != "")
 
 
-def llm_boundary(max_chars: int = 1500, overlap: int = 80, lossless: bool = False, boundaries: Callable[[Column], Column] | None = None) -> Chunker:
+def llm_boundary(max_chars: int = 1500, overlap: int = 80, lossless: bool = False, boundaries: PerValue | None = None) -> Chunker:
     """Two-level chunks, each but the first led by the end of the one before. ``boundaries`` may ask a model
-    (``providers.boundaries``): it gives, for a text of more than ``max_chars``, the places to cut at, or null to keep
-    the chunks; they are taken where the chunks are uneven. The default is none."""
+    (``providers.boundaries``): it gives, for a text whose chunks are uneven (others are not asked), the places to cut at, or null where no answer is
+    usable; then the text is cut at the sums of the chunks' lengths. The default is none."""
+
+    def prepare(text: Column) -> Column:
+        plain = F.coalesce(T.strip(_lines(text)), F.lit(""))
+        return _let(plain, lambda t: F.struct(t.alias("t"), _boundary_chunks(t, max_chars, lossless).alias("c")))
 
-    def refined(text: Column) -> Column:
-        chunks = _let(text, lambda t: _boundary_chunks(t, max_chars, lossless))
+    def refined(x: Given) -> Column:
+        chunks = x.prepared["c"]
         if boundaries is None:
             return chunks
-        asked = boundaries(F.when(F.length(text) > max_chars, text))
-        both = F.struct(text.alias("t"), chunks.alias("c"), asked.alias("a"))
-        return _let(both, lambda x: F.coalesce(F.when(_uneven(x["c"], max_chars), cut_at(x["t"], x["a"])), x["c"]))
+        reached = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda _, i: F.aggregate(F.slice(c, 1, i + 1), F.lit(0), lambda n, y: n + F.length(y)))
+        return F.when(_uneven(chunks, max_chars), cut_at(x.prepared["t"], F.coalesce(x.found, reached(chunks)))).otherwise(chunks)
 
     def led(c: Column) -> Column:
         return F.transform(c, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.right(F.get(c, i - 1), F.lit(overlap)), F.lit("\n\n"), x))) if overlap > 0 else c
 
-    def chunk(text: Column) -> Column:
-        meta = lambda x, i: {"chunker": "hybrid_boundary_chunker", "char_count": F.length(x), "used_llm_refinement": F.lit(boundaries is not None), "chunk_index": i}
-        plain = F.coalesce(T.strip(_lines(text)), F.lit(""))
-        return F.transform(_let(refined(plain), led), lambda x, i: _chunk(x, meta(x, i), _numbered(i)))
+    def body(given: Given) -> Column:
+        meta = lambda x, i: {"chunker": "hybrid_boundary_chunker", "char_count": F.length(x), "used_llm_refinement": F.lit(False) if boundaries is None else _uneven(given.prepared["c"], max_chars), "chunk_index": i}
+        return F.transform(_let(refined(given), led), lambda x, i: _chunk(x, meta(x, i), _numbered(i)))
 
-    return chunk
+    return Chunker(body, prepare=prepare, python=boundaries, ask=lambda _, p: F.when(_uneven(p["c"], max_chars), p["t"]))
 
 
 _KINDS = (("code", "^```"), ("heading_block", r"^#{1,6}\s+"), ("list", r"^(-|\*|\d+\.)\s+"))
@@ -433,7 +452,7 @@ def _valid(segments: Column, size: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def llm_segment(max_chars: int = 1500, overlap: int = 80, segments: Callable[[Column], Column] | None = None, ask_above: int = 1200) -> Chunker:
+def llm_segment(max_chars: int = 1500, overlap: int = 80, segments: PerValue | None = None, ask_above: int = 1200) -> Chunker:
     """Typed blocks between blank lines, cut to size, each chunk led by the end of the one before. ``segments``
     may ask a model (``providers.segments``) for the parts of a block of more than ``ask_above`` characters:
     it gives an array of (start, end, type), or null to keep the block."""
@@ -444,10 +463,9 @@ def llm_segment(max_chars: int = 1500, overlap: int = 80, segments: Callable[[Co
             kind = F.when(T.strip(block).rlike(pattern), name).otherwise(kind)
         return F.struct(kind.alias("kind"), block.alias("text"))
 
-    def apart(blocks: Column) -> Column:
+    def apart(blocks: Column, asked: Column | None) -> Column:
         if segments is None:
             return blocks
-        asked = segments(F.transform(blocks, lambda b: F.when(F.length(b["text"]) > ask_above, b["text"])))
         cut = lambda b, found: F.transform(found, lambda s: F.struct(s["type"].alias("kind"), F.substring(b["text"], s["start"] + 1, s["end"] - s["start"]).alias("text")))
         checked = lambda x: F.coalesce(cut(x["b"], _valid(x["s"], F.length(x["b"]["text"]))), F.array(x["b"]))
         return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), asked.alias("s")), checked))
@@ -458,20 +476,19 @@ def llm_segment(max_chars: int = 1500, overlap: int = 80, segments: Callable[[Co
         lead = lambda x, i: F.when(i == 0, x["text"]).otherwise(F.concat(F.right(before(i), F.lit(overlap)), F.lit("\n\n"), x["text"]))
         return F.transform(parts, lambda x, i: F.struct(x["kind"].alias("kind"), (lead(x, i) if overlap > 0 else x["text"]).alias("text")))
 
-    def chunk(text: Column) -> Column:
+    def prepare(text: Column) -> Column:
         plain = T.strip(F.regexp_replace(_lines(F.coalesce(text, F.lit(""))), "\n{3,}", "\n\n"))
-        blocks = F.transform(F.filter(F.split(plain, "\n{2,}"), lambda b: T.strip(b) != ""), typed)
-        parts = F.flatten(F.transform(apart(blocks), lambda b: F.transform(_parts(b["text"], max_chars), lambda x: F.struct(b["kind"].alias("kind"), x.alias("text")))))
-        return F.transform(_let(parts, led), lambda x, i: _chunk(x["text"], {"chunker": "efficient_llm_segment_then_chunk", "unit_type": x["kind"], "chunk_index": i, "char_count": F.length(x["text"])}, _numbered(i)))
+        return F.transform(F.filter(F.split(plain, "\n{2,}"), lambda b: T.strip(b) != ""), typed)
+
+    def body(x: Given) -> Column:
+        parts = F.flatten(F.transform(apart(x.prepared, x.found), lambda b: F.transform(_parts(b["text"], max_chars), lambda p: F.struct(b["kind"].alias("kind"), p.alias("text")))))
+        return F.transform(_let(parts, led), lambda c, i: _chunk(c["text"], {"chunker": "efficient_llm_segment_then_chunk", "unit_type": c["kind"], "chunk_index": i, "char_count": F.length(c["text"])}, _numbered(i)))
 
-    return chunk
+    # The model is asked for all blocks of a text at once.
+    ask = lambda _, blocks: F.transform(blocks, lambda b: F.when(F.length(b["text"]) > ask_above, b["text"]))
+    return Chunker(body, prepare=prepare, python=segments, ask=ask)
 
 
 def hybrid(primary: Chunker, secondary: Chunker, max_primary_size: int = 1000) -> Chunker:
     """The primary's chunks; longer ones are cut by the secondary, with the primary's chunk as document."""
-
-    def again(c: Column) -> Column:
-        inner = F.transform(secondary(c["text"]), lambda x: F.struct(x["text"].alias("text"), x["metadata"].alias("metadata"), c["id_suffix"].alias("doc_suffix"), F.concat(c["id_suffix"], x["id_suffix"]).alias("id_suffix")))
-        return F.when(F.length(c["text"]) <= max_primary_size, F.array(c)).otherwise(inner)
-
-    return lambda text: F.flatten(F.transform(primary(text), again))
+    return Hybrid(primary, secondary, max_primary_size)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textmill.functions.lifted import PerValue
+
 
 class Provider(Protocol):
     def complete(self, prompt: str) -> str: ...
@@ -62,7 +64,7 @@ def _asker(factory: Callable[[], Provider], prompt: Callable[[str], str]) -> Cal
     return ask
 
 
-def boundaries(factory: Callable[[], Provider]) -> Callable[[Column], Column]:
+def boundaries(factory: Callable[[], Provider]) -> PerValue:
     """The places to cut a text at, as a model gives them: array<int>, or null."""
     prompt = lambda text: f"Give the character positions at which the TEXT should be cut into coherent parts, as JSON: {{\"boundaries\": [int]}}\n\nTEXT:\n<<<BEGIN>>>\n{text}\n<<<END>>>"
 
@@ -72,14 +74,10 @@ def boundaries(factory: Callable[[], Provider]) -> Callable[[Column], Column]:
 
     ask = _asker(factory, prompt)
 
-    @F.arrow_udf("array<int>")
-    def run(batch: pa.Array) -> pa.Array:
-        return pa.array([cuts(ask(t)) for t in batch.to_pylist()], pa.list_(pa.int32()))
-
-    return run
+    return PerValue(lambda batch: pa.array([cuts(ask(t)) for t in batch.to_pylist()], pa.list_(pa.int32())), "array<int>")
 
 
-def segments(factory: Callable[[], Provider]) -> Callable[[Column], Column]:
+def segments(factory: Callable[[], Provider]) -> PerValue:
     """The segments of each of a list of texts: array<array<struct<start, end, type>>>, null for null."""
     kinds = "heading_block|list|code|paragraph|qa|other"
     prompt = lambda text: f"Divide the TEXT into coherent units, as JSON: {{\"segments\": [{{\"start\": int, \"end\": int, \"type\": \"{kinds}\"}}]}}\n\nTEXT:\n<<<BEGIN>>>\n{text}\n<<<END>>>"
@@ -95,11 +93,8 @@ def segments(factory: Callable[[], Provider]) -> Callable[[Column], Column]:
 
     ask = _asker(factory, prompt)
 
-    @F.arrow_udf("array<array<struct<start int, end int, type string>>>")
-    def run(batch: pa.Array) -> pa.Array:
-        return pa.array([None if texts is None else [parts(ask(t)) for t in texts] for texts in batch.to_pylist()], pa.list_(pa.list_(one)))
-
-    return run
+    run = lambda batch: pa.array([None if texts is None else [parts(ask(t)) for t in texts] for texts in batch.to_pylist()], pa.list_(pa.list_(one)))
+    return PerValue(run, "array<array<struct<start int, end int, type string>>>")
 
 
 def grades(factory: Callable[[], Provider]) -> Callable[[Column, Column], tuple[Column, Column]]:

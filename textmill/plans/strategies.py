@@ -1,6 +1,7 @@
 """The catalogue of chunking strategies and the plan that applies one to documents.
 
-A specification is ``{"type": ..., "params": {...}}``; the parameters of a hybrid hold two more.
+A specification is ``{"type": ..., "params": {...}}``; the parameters of a hybrid hold two more. ``embedding_model`` names
+the encoder of a semantic or topic chunker (``module:attribute``), ``tokenizer`` holds the parameters of a byte-pair vocabulary.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ TYPES: dict[str, Callable[..., C.Chunker]] = {
     "recursive": C.recursive,
     "recursive_token": C.recursive_token,
     "parent_child": C.parent_child,
-    "semantic_embedding": lambda: C.semantic_breakpoints("semantic_embedding_based_chunking"),
-    "semantic_boundary": lambda: C.semantic_breakpoints("semantic_boundary_detection", gradient=True),
+    "semantic_embedding": lambda **params: C.semantic_breakpoints("semantic_embedding_based_chunking", **params),
+    "semantic_boundary": lambda **params: C.semantic_breakpoints("semantic_boundary_detection", gradient=True, **params),
     "similarity_threshold": C.similarity_threshold,
     "semantic_variance": C.semantic_variance,
     "topic": C.topic,
@@ -99,7 +100,8 @@ def chunker(given: dict) -> C.Chunker:
         return C.hybrid(chunker(params["primary"]), chunker(params["secondary"]), **rest)
     if kind not in TYPES:
         raise ValueError(f"unknown chunker type: {kind}")
-    return TYPES[kind](**params)
+    named = {"embedding_model": "encoder"}
+    return TYPES[kind](**{named.get(k, k): v for k, v in params.items()})
 
 
 def read_specs(text: str) -> dict[str, dict]:
@@ -114,11 +116,18 @@ def documents(table: DataFrame) -> DataFrame:
     return rows.repartition(cores) if not table.isStreaming and rows.rdd.getNumPartitions() < cores else rows
 
 
+def made(docs: DataFrame, by: C.Chunker) -> DataFrame:
+    """The chunks ``c`` of ``docs`` (doc_id, text): a row for each, with source_doc_id and chunk_ord."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = by.add(rows, "text", "doc_id", "chunks")
+    # Not the inner generator: Spark would infer a filter on the size of the array, and compute it twice.
+    return each.select(F.col("doc_id").alias("source_doc_id"), F.posexplode_outer("chunks").alias("chunk_ord", "c")).where("c is not null")
+
+
 def chunk(docs: DataFrame, given: dict, strategy: str | None = None) -> DataFrame:
     """``docs`` (doc_id, text) -> source_doc_id, doc_id, chunk_ord, chunk_id, text, metadata (JSON)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.select(F.col("doc_id").alias("source_doc_id"), F.posexplode(chunker(given)(F.col("text"))).alias("chunk_ord", "c"))
-    out = made.select("source_doc_id", F.concat("source_doc_id", "c.doc_suffix").alias("doc_id"), "chunk_ord", F.concat("source_doc_id", "c.id_suffix").alias("chunk_id"), "c.text", "c.metadata")
+    rows = made(docs, chunker(given))
+    out = rows.select("source_doc_id", F.concat("source_doc_id", "c.doc_suffix").alias("doc_id"), "chunk_ord", F.concat("source_doc_id", "c.id_suffix").alias("chunk_id"), "c.text", "c.metadata")
     return out if strategy is None else out.select(F.lit(strategy).alias("strategy"), "*")
 
 
