@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import bpe, tokenizing
 from textmill.functions.text import TERMS
 from textmill.operators import embedding, judging, lexical, metrics, retrieval
 from textmill.plans import oracle, strategies
@@ -28,6 +29,45 @@ def _strategy(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.chunk(documents(spark, sf_dir, "paragraph" in name or name.startswith("llm")), strategies.STRATEGIES[name]).drop("source_doc_id")
 
 
+def _vocabulary() -> dict:
+    """The public byte-level vocabulary that is installed here, as a tokenizer's parameters."""
+    import public_tokenizers
+
+    return {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "special": {"<|endoftext|>": 50256}, "as_text": True}
+
+
+#: Beside the configured strategies: token chunkers over a byte-pair vocabulary, and hybrids whose second chunker runs Python code.
+def more_strategies() -> dict[str, dict]:
+    spec, own = strategies.spec, _vocabulary()
+    return {
+        "bpe_fixed_token_chunking": spec("fixed_token", chunk_size=50, overlap=10, tokenizer=own),
+        "bpe_token_spans": spec("token_span", span_size=128, step_size=64, tokenizer=own),
+        "bpe_dynamic_token_size_chunking": spec("dynamic_token", min_chunk_size=50, max_chunk_size=200, tokenizer=own),
+        "bpe_recursive_token_chunking": spec("recursive_token", chunk_size=100, chunk_overlap=10, tokenizer=own),
+    } | HYBRIDS
+
+
+HYBRIDS = {
+    "hybrid_length_aware_semantic_chunking": strategies.spec("hybrid", primary=strategies.spec("length_aware", target_length=2000, tolerance=200), secondary=strategies.spec("semantic_embedding")),
+    "hybrid_fixed_char_similarity_chunking": strategies.spec("hybrid", primary=strategies.spec("fixed_character", chunk_size=1500, overlap=0), secondary=strategies.spec("similarity_threshold", threshold=0.3)),
+    "hybrid_sentence_group_variance_chunking": strategies.spec("hybrid", primary=strategies.spec("sentence_group", sentences_per_chunk=9, overlap=1), secondary=strategies.spec("semantic_variance", sensitivity=0.2), max_primary_size=300),
+}
+
+
+MORE = ("bpe_fixed_token_chunking", "bpe_token_spans", "bpe_dynamic_token_size_chunking", "bpe_recursive_token_chunking", *HYBRIDS)
+
+
+def _more(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.chunk(documents(spark, sf_dir), more_strategies()[name]).drop("source_doc_id")
+
+
+def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-pair ids of all documents: their number and a digest."""
+    given = bpe.vocabulary(**_vocabulary())
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokenizing.ids(given).one(tokenizing.pieces(F.coalesce("text", F.lit("")), given)).alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
 def _with_chunks(spark: SparkSession, sf_dir: str, name: str = "sentence_group_chunking") -> tuple[DataFrame, DataFrame]:
     docs = documents(spark, sf_dir)
     return docs, strategies.chunk(docs, strategies.STRATEGIES[name])
@@ -130,8 +170,8 @@ def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, dense_embed, collection, retrieval_results, judge_rows)
-    return {n: partial(_strategy, n) for n in strategies.STRATEGIES} | {f.__name__: f for f in others}
+    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, dense_embed, collection, retrieval_results, judge_rows, bpe_tokens)
+    return {n: partial(_strategy, n) for n in strategies.STRATEGIES} | {n: partial(_more, n) for n in MORE} | {f.__name__: f for f in others}
 
 
 def _size(x: str) -> str:
@@ -165,7 +205,7 @@ def _dense(source: str, key: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     terms = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{TERMS}'))"
-    return {n: oracle.strategy(n) for n in oracle.STRATEGIES} | {
+    return {n: oracle.strategy(n) for n in oracle.STRATEGIES} | {n: oracle.strategy(n, oracle.HYBRIDS) for n in oracle.HYBRIDS} | {
         "per_document_metrics": f"{_EACH} SELECT * FROM per",
         "strategy_metrics": f"""{_EACH}
 SELECT 'sentence_group_chunking' AS chunker, count(*) AS total_documents, sum(chunk_count)::BIGINT AS total_chunks, round(avg(chunk_count), 6) AS average_chunks_per_document,

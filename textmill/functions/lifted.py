@@ -3,6 +3,9 @@
 Spark can't call a Python function inside the lambda of an array expression, so a function that is to work on all
 texts of an array gets the whole array: ``many`` lays the arrays of a batch end to end, calls the function once and
 cuts its results like the input.
+
+The functions are declared non-deterministic, whatever they do: then Spark neither computes them twice nor puts them into
+expressions over the results of others, where it couldn't take them out again.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ class PerValue:
         def of(batch: pa.Array) -> pa.Array:
             return run(batch)
 
-        return of(values)
+        return of.asNondeterministic()(values)
 
     def many(self, lists: Column) -> Column:
         run = self.run
@@ -47,4 +50,4 @@ class PerValue:
         def of(batch: pa.Array) -> pa.Array:
             return listed(batch, run)
 
-        return of(lists)
+        return of.asNondeterministic()(lists)

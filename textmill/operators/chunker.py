@@ -76,7 +76,7 @@ class Chunker:
         prepared, found = _name("prepared"), _name("found")
         fields = {"t": F.col(texts), "d": F.col(docs)}
         if self.prepare:
-            df = df.withColumn(prepared, F.transform(texts, self.prepare))
+            df = df.withColumn(prepared, F.transform(texts, lambda t: self.prepare(t)))
             fields["p"] = F.col(prepared)
         if self.python:
             asked = F.arrays_zip(*(v.alias(k) for k, v in fields.items() if k != "d"))
@@ -115,14 +115,16 @@ class Hybrid(Chunker):
 
     def add(self, df: DataFrame, text: str, doc: str, out: str) -> DataFrame:
         chunks, docs, each = _name("chunks"), _name("docs"), _name("each")
-        df = self.primary.add(df, text, doc, chunks).withColumn(docs, F.transform(chunks, lambda _: F.col(doc)))
+        df = self.primary.add(df, text, doc, chunks).withColumn(docs, F.array_repeat(doc, F.size(chunks)))
         return self._again(df, chunks, docs, each).withColumn(out, F.flatten(each)).drop(chunks, docs, each)
 
     def add_many(self, df: DataFrame, texts: str, docs: str, out: str) -> DataFrame:
         lists, chunks, ids, each = _name("lists"), _name("chunks"), _name("docs"), _name("each")
         df = self.primary.add_many(df, texts, docs, lists).withColumn(chunks, F.flatten(lists))
         of = F.arrays_zip(F.col(lists).alias("l"), F.col(docs).alias("d"))
-        df = self._again(df.withColumn(ids, F.flatten(F.transform(of, lambda x: F.transform(x["l"], lambda _: x["d"])))), chunks, ids, each)
-        # Each text takes as many of the arrays as its primary has chunks.
-        before = lambda i: F.aggregate(F.slice(lists, 1, i), F.lit(0), lambda n, x: n + F.size(x))
-        return df.withColumn(out, F.transform(lists, lambda x, i: F.flatten(F.slice(each, before(i) + 1, F.size(x))))).drop(lists, chunks, ids, each)
+        df = self._again(df.withColumn(ids, F.flatten(F.transform(of, lambda x: F.array_repeat(x["d"], F.size(x["l"]))))), chunks, ids, each)
+        # Each text takes as many of the arrays as its primary has chunks. All that a lambda needs comes in by its arguments: a column
+        # named in its body would be put in place of its name, Python function and all.
+        before = lambda v, i: F.aggregate(F.slice(v["l"], 1, i), F.lit(0), lambda n, x: n + F.size(x))
+        apart = lambda v: F.transform(v["l"], lambda x, i: F.flatten(F.slice(v["e"], before(v, i) + 1, F.size(x))))
+        return df.withColumn(out, let(F.struct(F.col(lists).alias("l"), F.col(each).alias("e")), apart)).drop(lists, chunks, ids, each)

@@ -235,13 +235,20 @@ STRATEGIES: dict[str, Sql] = {
 }
 
 
+HYBRIDS: dict[str, Sql] = {
+    "hybrid_length_aware_semantic_chunking": hybrid(length_aware(2000, 200), SEMANTIC),
+    "hybrid_fixed_char_similarity_chunking": hybrid(fixed_character(1500, 0), similarity_threshold(0.3)),
+    "hybrid_sentence_group_variance_chunking": hybrid(windows(SENTENCES, 9, 8, "' '", "sentence_group_chunking", "'sentences_per_chunk', 9, 'overlap', 1", ("start_sentence_index", "end_sentence_index")), semantic_variance(0.2), 300),
+}
+
+
 def documents(paragraphs: bool) -> str:
     text = "replace(text, chr(10), chr(10) || chr(10))" if paragraphs else "text"
     return f"(SELECT format('doc_{{:03d}}', doc_id) AS doc_id, {text} AS text FROM documents)"
 
 
-def strategy(name: str) -> str:
+def strategy(name: str, of: dict[str, Sql] = STRATEGIES) -> str:
     """SQL for the registered query of a strategy."""
-    made = STRATEGIES[name](documents("paragraph" in name or name.startswith("llm")))
+    made = of[name](documents("paragraph" in name or name.startswith("llm")))
     within = "within" if name.startswith("hybrid") else "''"
     return f"SELECT doc_id || {within} AS doc_id, ord::INT AS chunk_ord, doc_id || suffix AS chunk_id, text, metadata FROM ({made})"
