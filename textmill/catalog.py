@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import bpe, tokenizing
 from textmill.functions.text import TERMS
-from textmill.operators import embedding, judging, lexical, metrics, retrieval
+from textmill.operators import embedding, judging, lexical, metrics, punkt, retrieval
 from textmill.plans import oracle, strategies
 from textmill.session import table
 from textmill.sources import corpus
@@ -68,6 +68,17 @@ def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
 
 
+def punkt_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word types of all documents that stand with a period, with their scores as abbreviations."""
+    return punkt.types(table(spark, sf_dir, "documents")).where("n_dot > 0").select("type", "n", "n_dot", F.round("score", 6).alias("score"))
+
+
+def punkt_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents by boundaries learnt from them."""
+    model = punkt.fit(table(spark, sf_dir, "documents"))
+    return strategies.chunk(documents(spark, sf_dir), strategies.spec("sentence", sentences=model)).drop("source_doc_id")
+
+
 def _with_chunks(spark: SparkSession, sf_dir: str, name: str = "sentence_group_chunking") -> tuple[DataFrame, DataFrame]:
     docs = documents(spark, sf_dir)
     return docs, strategies.chunk(docs, strategies.STRATEGIES[name])
@@ -170,7 +181,7 @@ def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, dense_embed, collection, retrieval_results, judge_rows, bpe_tokens)
+    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, dense_embed, collection, retrieval_results, judge_rows, bpe_tokens, punkt_types, punkt_sentences)
     return {n: partial(_strategy, n) for n in strategies.STRATEGIES} | {n: partial(_more, n) for n in MORE} | {f.__name__: f for f in others}
 
 
@@ -219,6 +230,14 @@ SELECT doc_id AS line, doc_id || ': ' || chunk_count || ' chunks' AS value FROM
 UNION ALL SELECT '~' || i, v FROM (SELECT unnest(range(0, 5)) AS i, unnest(['Total documents: ' || count(*), 'Total chunks: ' || sum(chunk_count)::BIGINT, printf('Average chunks per document: %.2f', avg(chunk_count)), 'Min chunks: ' || min(chunk_count), 'Max chunks: ' || max(chunk_count)]) AS v FROM per)""",
         "index_size_bytes": f"SELECT doc_id, {_size('text')}::INT AS bytes FROM documents",
         "unique_contexts": "SELECT text AS context, min(doc_id) AS first_pos FROM documents WHERE text <> '' GROUP BY text",
+        "punkt_types": rf"""
+WITH w AS (SELECT regexp_replace(unnest(regexp_extract_all(text, '{punkt.WORD}')), '{punkt.OUTER.replace(chr(39), chr(39) * 2)}', '', 'g') AS c FROM documents
+), t AS (SELECT CASE WHEN regexp_matches(k, '^[+-]?[0-9]+([.,:/-][0-9]+)*$') THEN '##' ELSE k END AS type, regexp_matches(c, '[^.]\.$') AS dotted FROM (SELECT c, lower(regexp_replace(c, '\.$', '')) AS k FROM w)
+), n AS (SELECT type, count(*) AS n, sum(dotted::INT)::BIGINT AS n_dot FROM t WHERE type <> '' GROUP BY type
+), s AS (SELECT sum(n_dot)::DOUBLE / sum(n) AS p FROM n
+), e AS (SELECT *, n - n_dot AS plain, len(regexp_extract_all(type, '\.')) AS inner_dots FROM n, s WHERE n_dot > 0
+), f AS (SELECT *, length(type) - inner_dots AS letters, -2 * (n_dot * ln(p) + plain * ln(1 - p) - n_dot * ln(0.99::DOUBLE) - plain * ln(0.01::DOUBLE)) AS ratio FROM e)
+SELECT type, n, n_dot, CASE WHEN type <> '##' AND regexp_matches(type, '^\p{{L}}') AND p < 1 THEN round(round(ratio * exp(-letters::DOUBLE) * (inner_dots + 1) * pow(letters::DOUBLE, -plain::DOUBLE), 9), 6) + 0.0::DOUBLE END AS score FROM f""",
         "qa_projection": f"WITH {_QA} SELECT * FROM qa",
         "sample_head": f"WITH {_QA} SELECT * FROM qa ORDER BY conv_id, turn LIMIT 10",
         "tfidf_vocabulary": f"WITH {_TERMS}, {_VOCABULARY} SELECT * FROM vo",

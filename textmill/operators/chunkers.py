@@ -1,6 +1,7 @@
 """The chunkers: each function gives a ``Chunker`` (see ``chunker``), so a strategy is a chain of columns over a scan, without a shuffle, and runs
 on streams as well. ``tokenizer=`` takes ``Tokens`` or the parameters of a byte-pair vocabulary; without it tokens are found by pattern. ``encoder=`` takes a
-sentence encoder's factory or its name (``module:attribute``), ``similar=`` an expression instead; without either, sentences are compared by word counts.
+sentence encoder's factory or its name (``module:attribute``), ``similar=`` an expression instead; without either, sentences are compared by word counts. ``sentences=`` takes
+a model of sentence ends (``punkt``), as such or as a dictionary, or an expression; without it a sentence ends behind a mark that white space follows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from textmill.functions import encoders, splitting
 from textmill.functions import text as T
 from textmill.functions.lifted import PerValue
 from textmill.functions.tokenizing import Tokens, tokens
+from textmill.operators import punkt
 from textmill.operators.chunker import CHUNKS, Chunker, Given, Hybrid
 from textmill.operators.chunker import let as _let
 
@@ -34,6 +36,11 @@ def _starts(n: Column, step: int) -> Column:
 
 
 Run = Callable[[Column, Column, Column], Column]
+Sentences = punkt.Model | dict | Callable[[Column], Column] | None
+
+
+def _sentences(given: Sentences) -> Callable[[Column], Column]:
+    return punkt.splitter(given, lambda text: T.sentences(text))
 
 
 def _joined(joiner: str) -> Run:
@@ -122,8 +129,8 @@ def token_span(span_size: int, step_size: int, tokenizer: Tokens | dict | None =
     return token_windows(span_size, step_size, "late_chunking_token_spans", {"span_size": span_size, "step_size": step_size}, "span", tokenizer)
 
 
-def sentence_group(sentences_per_chunk: int, overlap: int) -> Chunker:
-    return windows(T.sentences, sentences_per_chunk, max(1, sentences_per_chunk - overlap), " ", "sentence_group_chunking", {"sentences_per_chunk": sentences_per_chunk, "overlap": overlap}, ("start_sentence_index", "end_sentence_index"))
+def sentence_group(sentences_per_chunk: int, overlap: int, sentences: Sentences = None) -> Chunker:
+    return windows(_sentences(sentences), sentences_per_chunk, max(1, sentences_per_chunk - overlap), " ", "sentence_group_chunking", {"sentences_per_chunk": sentences_per_chunk, "overlap": overlap}, ("start_sentence_index", "end_sentence_index"))
 
 
 def paragraph_group(paragraphs_per_chunk: int, overlap: int) -> Chunker:
@@ -139,16 +146,16 @@ def each_unit(units: Callable[[Column], Column], name: str, index: str, total: s
     return Chunker(lambda x: _let(x.prepared, of), prepare=units)
 
 
-def sentence() -> Chunker:
-    return each_unit(T.sentences, "sentence_based_chunking", "sentence_index")
+def sentence(sentences: Sentences = None) -> Chunker:
+    return each_unit(_sentences(sentences), "sentence_based_chunking", "sentence_index")
 
 
 def paragraph() -> Chunker:
     return each_unit(T.paragraphs, "paragraph_based_chunking", "paragraph_index")
 
 
-def late_sentence() -> Chunker:
-    return each_unit(T.sentences, "late_chunking_sentence_indexing", "sentence_index", "total_sentences", "sent")
+def late_sentence(sentences: Sentences = None) -> Chunker:
+    return each_unit(_sentences(sentences), "late_chunking_sentence_indexing", "sentence_index", "total_sentences", "sent")
 
 
 def late_paragraph() -> Chunker:
@@ -167,15 +174,15 @@ def _greedy_starts(lengths: Column, limits: Column) -> Column:
     return F.aggregate(units, begin, step, lambda acc: acc["starts"])
 
 
-def length_aware(target_length: int, tolerance: int) -> Chunker:
+def length_aware(target_length: int, tolerance: int, sentences: Sentences = None) -> Chunker:
     def of(s: Column) -> Column:
         starts = _greedy_starts(F.transform(s, lambda x: F.length(x)), F.transform(s, lambda x: F.lit(target_length + tolerance)))
         return _let(starts, lambda at: _pieces(s, at, lambda i, t, _: {"chunker": "length_aware_chunking", "length": F.length(t)}))
 
-    return Chunker(lambda x: _let(x.prepared, of), prepare=T.sentences)
+    return Chunker(lambda x: _let(x.prepared, of), prepare=_sentences(sentences))
 
 
-def content_density(base_chunk_size: int) -> Chunker:
+def content_density(base_chunk_size: int, sentences: Sentences = None) -> Chunker:
     """The limit falls with the share of distinct words; the factor of the sentence that closes a chunk
     is recorded with it."""
 
@@ -187,7 +194,7 @@ def content_density(base_chunk_size: int) -> Chunker:
     factor = lambda x: _let(T.words(x), lambda w: 1.5 - F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
 
     def kept(text: Column) -> Column:
-        return F.filter(F.transform(T.sentences(text), lambda x: F.struct(x.alias("s"), factor(x).alias("f"))), lambda x: x["f"].isNotNull())
+        return F.filter(F.transform(_sentences(sentences)(text), lambda x: F.struct(x.alias("s"), factor(x).alias("f"))), lambda x: x["f"].isNotNull())
 
     return Chunker(lambda x: _let(F.struct(x.prepared["s"].alias("s"), x.prepared["f"].alias("f")), of), prepare=kept)
 
@@ -246,17 +253,17 @@ def _cuts(values: Column, cut: Callable[[Column, Column], Column]) -> Column:
     return F.concat(F.array(F.lit(0)), F.filter(F.transform(values, lambda x, i: F.when(cut(x, i), i + 1)), lambda x: x.isNotNull()))
 
 
-def similarity_threshold(threshold: float, similar: Similarity | None = None, encoder: encoders.Factory | None = None) -> Chunker:
+def similarity_threshold(threshold: float, similar: Similarity | None = None, encoder: encoders.Factory | None = None, sentences: Sentences = None) -> Chunker:
     """A sentence starts a chunk when it is less like the one before than the threshold."""
 
     def of(_: Column, s: Column, sims: Column) -> Column:
         meta = lambda at: lambda i, t, a: {"chunker": "semantic_similarity_threshold_chunking", "threshold": threshold, "sentence_count": F.coalesce(F.get(at, i + 1), F.size(s)) - a}
         return _let(_cuts(sims, lambda x, i: x < threshold), lambda at: _pieces(s, at, meta(at)))
 
-    return _compared(of, T.sentences, 0, similar, encoder)
+    return _compared(of, _sentences(sentences), 0, similar, encoder)
 
 
-def semantic_variance(sensitivity: float, similar: Similarity | None = None, encoder: encoders.Factory | None = None) -> Chunker:
+def semantic_variance(sensitivity: float, similar: Similarity | None = None, encoder: encoders.Factory | None = None, sentences: Sentences = None) -> Chunker:
     """A cut where the similarity falls below the mean of the last three by more than ``sensitivity``."""
 
     def of(text: Column, s: Column, sims: Column) -> Column:
@@ -267,7 +274,7 @@ def semantic_variance(sensitivity: float, similar: Similarity | None = None, enc
         meta = lambda at: lambda i, t, _: {"chunker": "semantic_variance_adaptive_chunking", "split_score": F.round(F.get(sims, F.get(at, i + 1) - 1), 6)}
         return F.when(F.size(s) == 1, whole).otherwise(_let(_cuts(sims, cut), lambda at: _pieces(s, at, meta(at))))
 
-    return _compared(of, T.sentences, 0, similar, encoder)
+    return _compared(of, _sentences(sentences), 0, similar, encoder)
 
 
 def percentile(values: Column, q: float) -> Column:
@@ -299,7 +306,7 @@ def semantic_breakpoints(name: str, gradient: bool = False, q: float = 0.95, sim
     return _compared(of, lambda text: T.sentences(text, T.PLAIN_SENTENCE_END), 1, similar, encoder)
 
 
-def topic(distance_threshold: float, encoder: encoders.Factory | None = None) -> Chunker:
+def topic(distance_threshold: float, encoder: encoders.Factory | None = None, sentences: Sentences = None) -> Chunker:
     """Runs of neighbouring sentences of one cluster."""
 
     def of(text: Column, s: Column, label: Column) -> Column:
@@ -313,7 +320,7 @@ def topic(distance_threshold: float, encoder: encoders.Factory | None = None) ->
     else:
         labels = lambda texts: pa.array([None if t is None else splitting.topic_labels(t, distance_threshold) for t in (x.values for x in texts)], pa.list_(pa.int32()))
         python, ask = PerValue(labels, "array<int>"), lambda _, s: F.transform(s, T.words)
-    return Chunker(lambda x: of(x.text, x.prepared, x.found), prepare=T.sentences, python=python, ask=ask)
+    return Chunker(lambda x: of(x.text, x.prepared, x.found), prepare=_sentences(sentences), python=python, ask=ask)
 
 
 def recursive(chunk_size: int, chunk_overlap: int, name: str = "recursive_chunking", by_tokens: bool = False, tokenizer: Tokens | dict | None = None) -> Chunker:
