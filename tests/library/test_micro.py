@@ -105,7 +105,7 @@ def test_providers(spark):
 
     class Model:
         def complete(self, prompt: str) -> str:
-            text = prompt.split("<<<BEGIN>>>\n")[1].split("\n<<<END>>>")[0]
+            text = prompt.split("[TEXT]\n")[1].split("\n[/TEXT]")[0]
             if "fail" in text:
                 raise TimeoutError
             if "segments" in prompt:
@@ -119,7 +119,7 @@ def test_providers(spark):
     assert texts(kept) == ["X" * 19 + ".", "fail", ". " + "Y" * 19 + ". C."] and texts(even) == ["A b."] and not meta(even, "used_llm_refinement")[0]
     (seg,) = run(spark, C.llm_segment(100, 0, segments=providers.segments(Model), ask_above=5), "0123456789\n\nabc\n\nfail fail fail")
     assert list(zip(texts(seg), meta(seg, "unit_type"))) == [("0123", "qa"), ("45678", "paragraph"), ("abc", "paragraph"), ("fail fail fail", "paragraph")]
-    assert providers.read_json("no json") is None and providers.read_json('x {"a": {"b": 1}} y') == {"a": {"b": 1}}
+    assert providers.read_json("no json") is None and providers.read_json("x [1, 2] y") == [1, 2] and providers.read_json("[x] [3]") == [3] and providers.read_json('x {"a": {"b": 1}} y') == {"a": {"b": 1}}
 
 
 def test_hybrid_and_ids(spark):

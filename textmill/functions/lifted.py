@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Run = Callable[[pa.Array], pa.Array]
@@ -51,3 +51,7 @@ class PerValue:
             return listed(batch, run)
 
         return of.asNondeterministic()(lists)
+
+    def add(self, df: DataFrame, value: Column, out: str) -> DataFrame:
+        """``df`` with the results as a column."""
+        return df.withColumn(out, self.one(value))

@@ -65,7 +65,7 @@ class Chunker:
             df = df.withColumn(prepared, self.prepare(F.col(text)))
             p = F.col(prepared)
         if self.python:
-            df = df.withColumn(found, self.python.one(self.ask(F.col(text), p)))
+            df = self.python.add(df, self.ask(F.col(text), p), found)
             f = F.col(found)
         null = F.lit(None)
         once = F.struct(F.col(text).alias("t"), (null if p is None else p).alias("p"), (null if f is None else f).alias("f"))
