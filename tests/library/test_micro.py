@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import regex
@@ -150,10 +151,34 @@ def test_judging_and_nesting(spark):
 
 
 def test_top_k_in_blocks(spark):
-    index = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(20)] + [(20, [0.0, 0.0])], "id long, vector array<double>")
+    index = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(20)] + [(20, [0.0, 0.0]), (21, None)], "id long, vector array<double>")
     queries = index.where("id < 5").withColumnRenamed("id", "query_id")
-    a, b = (sorted(map(tuple, retrieval.top_k(index, queries, 4, block).collect())) for block in (100, 2))
-    assert a == b and len(a) == 20 and [r[2] for r in a if r[0] == 0] == [0, 3, 6, 9]
+    a, b, c = (sorted(map(tuple, retrieval.top_k(index, queries, 4, block, parts).collect())) for block, parts in ((100, None), (2, 1), (1, 7)))
+    assert a == b == c and len(a) == 20 and [r[2] for r in a if r[0] == 0] == [0, 3, 6, 9]
+    assert retrieval.top_k(index.limit(0), queries).count() == 0 == retrieval.top_k(index, queries.limit(0)).count()
+
+
+def test_top_k_of_many_queries_without_the_driver(spark, monkeypatch):
+    """No row reaches the driver, and the plan reads the index once."""
+    index = spark.range(3000).select("id", F.array(*[F.sin(F.col("id") * (j + 1)) for j in range(8)]).alias("vector"))
+    queries = spark.range(20_000).select(F.col("id").alias("query_id"), F.array(*[F.cos(F.col("id") * (j + 1) / 7) for j in range(8)]).alias("vector"))
+    for name in ("collect", "toLocalIterator", "toPandas", "first", "take"):
+        monkeypatch.setattr(type(index), name, lambda *a, **k: pytest.fail("rows on the driver"))
+    found = retrieval.top_k(index, queries, 3, parts=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 3000") == 1 and "WindowGroupLimit" in plan
+    monkeypatch.undo()
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    assert len(rows) == 20_000 and all(len(v) == 3 for v in rows.values())
+    vectors = np.array([r.vector for r in index.orderBy("id").collect()])
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    some = {r.query_id: np.array(r.vector) for r in queries.where("query_id % 500 = 0").collect()}
+    for i, q in some.items():
+        score = np.round(vectors @ (q / np.linalg.norm(q)), 6)
+        best = np.lexsort((np.arange(3000), -score))[:3]
+        assert [x[1] for x in sorted(rows[i])] == best.tolist()
 
 
 def test_sources_and_sinks(spark, tmp_path):

@@ -11,6 +11,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from textmill.functions import bpe, tokenizing
 from textmill.functions.text import TERMS
@@ -166,7 +167,8 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five chunks nearest to each benchmark item, by the default encoder."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array("text").alias("answers"))
-    found = retrieval.retrieve(embedding.embed(items, "query"), _points(spark, sf_dir))
+    index = _points(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # read twice
+    found = retrieval.retrieve(embedding.embed(items, "query"), index)
     return found.select("query_id", F.posexplode("retrieved_chunks").alias("pos", "c")).select("query_id", (F.col("pos") + 1).alias("rank"), "c.chunk_id", "c.text", "c.score")
 
 

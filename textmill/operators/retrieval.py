@@ -1,14 +1,15 @@
-"""Exact top-k by cosine: a stated set of queries against all rows, in blocks.
+"""Exact top-k by cosine: many queries against all rows of an index, in one plan and one pass over the index.
 
-Each task keeps the best ``k`` of its rows for every query of a block, so what is shuffled is
-tasks * queries * k rows at most, whatever the size of the index. Similarities are taken ``CELLS`` at a
-time, and of them only those that reach a query's ``k``-th best so far are looked at again.
+The index is dealt out in parts by a hash of the ids. Queries are packed in blocks (a row with a matrix), and each block goes to every part, so what is
+shuffled is the index once and the queries once for each part; none of them passes through the driver. A task lays its part out as a matrix and
+takes the blocks one after another: it holds one part and one block at a time. Each part gives the best ``k`` rows of each query, of which the
+best are kept (before and after the shuffle). Similarities are taken ``CELLS`` at a time, and of them only those that reach a query's ``k``-th best so far
+are looked at again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,50 +25,73 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
-    held = []
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def top_k(index: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """``index`` (id long, vector), ``queries`` (query_id long, vector), non-null and of one width ->
-    query_id, rank (from 1), id, score; equal scores, to six digits, by id. A zero vector scores 0."""
-    schema = "query_id long, id long, score double"
+def _packed(queries: DataFrame, block: int) -> DataFrame:
+    """``queries`` (query_id, vector) -> blocks of at most ``block`` queries: their ids and unit vectors as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(i, block) for i in range(0, batch.num_rows, block)):
+                ids, unit = some.column(0).to_numpy().astype("<i8"), _matrix(some.column(1)).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([unit.tobytes()])], ["ids", "unit"])
+
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    return rows.where("vector is not null").mapInArrow(run, "ids binary, unit binary")
+
+
+def _best(q: np.ndarray, unit: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of ``q`` the best ``k`` rows of ``unit``: numbers of queries, ids and scores; equal scores by id."""
+    who, found, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    floor = np.full(len(q), -np.inf)  # a row below its query's k-th best cannot count
+    step = max(1, CELLS // max(len(q), 1))
+    for a in range(0, len(unit), step):
+        new = np.round(q @ unit[a : a + step].T, 6)
+        row, column = np.nonzero(new >= floor[:, None])
+        who, found, score = np.append(who, row), np.append(found, ids[a + column]), np.append(score, new[row, column])
+        order = np.lexsort((found, -score, who))
+        who, found, score = who[order], found[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        last = rank == k - 1
+        floor[who[last]] = score[last]
+        keep = rank < k
+        who, found, score = who[keep], found[keep], score[keep]
+    return who, found, score
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """``index`` (id long, vector), ``queries`` (query_id long, vector), of one width; null vectors are left out ->
+    query_id, rank (from 1), id, score; equal scores, to six digits, by id. A zero vector scores 0. ``parts``: so many that the
+    vectors of one fit in a task's memory; as many as shuffle partitions if not given."""
+    parts = parts or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = index.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-
-    def search(held: list) -> DataFrame:
-        names = np.array([r["query_id"] for r in held], dtype=np.int64)
-        q = np.array([r["vector"] for r in held], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            who, ids, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
-            floor = np.full(len(q), -np.inf)  # a row below its query's k-th best cannot count
-            step = max(1, CELLS // len(q))
-            for batch in batches:
-                for some in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-                    new = np.round(q @ _matrix(some.column(1)).T, 6)
-                    row, column = np.nonzero(new >= floor[:, None])
-                    who, ids, score = np.append(who, row), np.append(ids, some.column(0).to_numpy()[column]), np.append(score, new[row, column])
-                    order = np.lexsort((ids, -score, who))
-                    who, ids, score = who[order], ids[order], score[order]
-                    rank = np.arange(len(who)) - np.searchsorted(who, who)
-                    last = rank == k - 1
-                    floor[who[last]] = score[last]
-                    keep = rank < k
-                    who, ids, score = who[keep], ids[keep], score[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(ids), pa.array(score)], ["query_id", "id", "score"])
-
-        return rows.mapInArrow(run, schema)
-
-    parts = [search(held) for held in _blocks(queries.where("vector is not null"), block)]
-    found = reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
+    none = F.lit(None).cast("binary")
+    # A null sorts first: the rows of a part, then the blocks.
+    own = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vector", none.alias("ids"), none.alias("unit"))
+    each = _packed(queries, block).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vector"), "ids", "unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, ids, unit = -1, [], np.empty(0, dtype=np.int64), None
+        for batch in batches:
+            part, is_block = batch.column(0).to_numpy(), np.array(batch.column(3).is_valid())
+            cuts = np.flatnonzero(np.diff(part * 2 + is_block, prepend=-1)).tolist() + [len(part)] if len(part) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if part[a] != at:
+                    at, held, unit = part[a], [], None
+                if not is_block[a]:
+                    held.append((batch.column(1).slice(a, b - a).to_numpy(), _matrix(batch.column(2).slice(a, b - a))))
+                    continue
+                if unit is None and held:
+                    ids, unit = (np.concatenate(x) for x in zip(*held))
+                    held = []
+                if unit is None:
+                    continue
+                for j in range(a, b):
+                    names = np.frombuffer(batch.column(3)[j].as_buffer(), dtype="<i8")
+                    q = np.frombuffer(batch.column(4)[j].as_buffer(), dtype="<f8").reshape(len(names), -1)
+                    who, found, score = _best(q, unit, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(found), pa.array(score)], ["query_id", "id", "score"])
+
+    both = own.unionByName(each).repartition(parts, "part").sortWithinPartitions("part", F.col("ids").isNotNull())
+    found = both.mapInArrow(run, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -78,10 +102,11 @@ def nest(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.transform("h", lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["text"].alias("text"), h["score"].alias("score"))).alias("retrieved_chunks"))
 
 
-def retrieve(queries: DataFrame, index: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def retrieve(queries: DataFrame, index: DataFrame, k: int = 5, block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """``queries`` (query_id, query, answers, vector), ``index`` as given by ``embedding.points`` -> one row for each query: query_id, query, answers and
-    ``retrieved_chunks`` (chunk_id, text, score), the best first."""
+    ``retrieved_chunks`` (chunk_id, text, score), the best first. The index is read for its vectors and again for what was found: give a written one
+    (``embedding.read_collection``), or else it is made twice."""
     rows = index.select(F.col("point_id").alias("id"), "vector", "payload")
-    hits = top_k(rows, queries.select("query_id", "vector"), k, block)
+    hits = top_k(rows, queries.select("query_id", "vector"), k, block, parts)
     named = hits.join(rows.select("id", F.col("payload.original_chunk_id").alias("chunk_id"), F.col("payload.text").alias("text")), "id")
     return queries.select("query_id", "query", "answers").join(nest(named), "query_id", "left")
