@@ -209,3 +209,18 @@ def test_three_kinds_of_clusters_agree():
 def test_patterns_agree_with_the_library(spark):
     rows = spark.createDataFrame([("a  b  c\n\n d's 12 é漢 😀!",)], "t string").select(F.regexp_extract_all("t", F.lit("(?U)" + bpe.PATTERN), F.lit(0)).alias("p"), "t").first()
     assert rows.p == regex.findall(public_tokenizers.PATTERN, rows.t) and "".join(rows.p) == rows.t and T.TOKENS
+
+
+TREEBANK = {
+    'He said, "I can\'t go."': ["He", "said", ",", "``", "I", "ca", "n't", "go", ".", "''"],
+    "They'll cost $5.50, won't they?": ["They", "'ll", "cost", "$", "5.50", ",", "wo", "n't", "they", "?"],
+    "John's dogs' bowls (all 3) -- gone...": ["John", "'s", "dogs", "'", "bowls", "(", "all", "3", ")", "--", "gone", "..."],
+    "I cannot; gimme that. 'Tis mine!": ["I", "can", "not", ";", "gim", "me", "that.", "'T", "is", "mine", "!"],
+    "At 10:30 a.m. he left: a@b": ["At", "10:30", "a.m.", "he", "left", ":", "a", "@", "b"],
+    "": [],
+}
+
+
+def test_treebank_words(spark):
+    rows = spark.createDataFrame([(t,) for t in TREEBANK], "t string").select("t", T.treebank_words(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == TREEBANK

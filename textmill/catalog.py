@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from textmill.functions import bpe, tokenizing
+from textmill.functions import bpe, text, tokenizing
 from textmill.functions.text import TERMS
 from textmill.operators import embedding, judging, lexical, metrics, punkt, retrieval
 from textmill.plans import oracle, strategies
@@ -49,6 +49,7 @@ def more_strategies() -> dict[str, dict]:
 
 
 HYBRIDS = {
+    "content_density_treebank_chunking": strategies.spec("content_density", base_chunk_size=1000, words="treebank"),
     "hybrid_length_aware_semantic_chunking": strategies.spec("hybrid", primary=strategies.spec("length_aware", target_length=2000, tolerance=200), secondary=strategies.spec("semantic_embedding")),
     "hybrid_fixed_char_similarity_chunking": strategies.spec("hybrid", primary=strategies.spec("fixed_character", chunk_size=1500, overlap=0), secondary=strategies.spec("similarity_threshold", threshold=0.3)),
     "hybrid_sentence_group_variance_chunking": strategies.spec("hybrid", primary=strategies.spec("sentence_group", sentences_per_chunk=9, overlap=1), secondary=strategies.spec("semantic_variance", sensitivity=0.2), max_primary_size=300),
@@ -69,6 +70,12 @@ def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
 
 
+def treebank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Treebank words of all documents, taken as one sentence each: how many, how many distinct, a digest."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.treebank_words(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+
+
 def punkt_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word types of all documents that stand with a period, with their scores as abbreviations."""
     return punkt.types(table(spark, sf_dir, "documents")).where("n_dot > 0").select("type", "n", "n_dot", F.round("score", 6).alias("score"))
@@ -183,7 +190,7 @@ def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, dense_embed, collection, retrieval_results, judge_rows, bpe_tokens, punkt_types, punkt_sentences)
+    others = (per_document_metrics, strategy_metrics, chunk_count_report, index_size_bytes, unique_contexts, qa_projection, sample_head, tfidf_vocabulary, tfidf_vectors, dense_topk, dense_embed, collection, retrieval_results, judge_rows, bpe_tokens, punkt_types, punkt_sentences, treebank_words)
     return {n: partial(_strategy, n) for n in strategies.STRATEGIES} | {n: partial(_more, n) for n in MORE} | {f.__name__: f for f in others}
 
 
@@ -232,6 +239,7 @@ SELECT doc_id AS line, doc_id || ': ' || chunk_count || ' chunks' AS value FROM
 UNION ALL SELECT '~' || i, v FROM (SELECT unnest(range(0, 5)) AS i, unnest(['Total documents: ' || count(*), 'Total chunks: ' || sum(chunk_count)::BIGINT, printf('Average chunks per document: %.2f', avg(chunk_count)), 'Min chunks: ' || min(chunk_count), 'Max chunks: ' || max(chunk_count)]) AS v FROM per)""",
         "index_size_bytes": f"SELECT doc_id, {_size('text')}::INT AS bytes FROM documents",
         "unique_contexts": "SELECT text AS context, min(doc_id) AS first_pos FROM documents WHERE text <> '' GROUP BY text",
+        "treebank_words": f"SELECT doc_id, len(w)::INT AS n_words, len(list_distinct(w))::INT AS n_distinct, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT doc_id, {oracle.treebank_words('text')} AS w FROM documents)",
         "punkt_types": rf"""
 WITH w AS (SELECT regexp_replace(unnest(regexp_extract_all(text, '{punkt.WORD}')), '{punkt.OUTER.replace(chr(39), chr(39) * 2)}', '', 'g') AS c FROM documents
 ), t AS (SELECT CASE WHEN regexp_matches(k, '^[+-]?[0-9]+([.,:/-][0-9]+)*$') THEN '##' ELSE k END AS type, regexp_matches(c, '[^.]\.$') AS dotted FROM (SELECT c, lower(regexp_replace(c, '\.$', '')) AS k FROM w)

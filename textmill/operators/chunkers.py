@@ -182,7 +182,10 @@ def length_aware(target_length: int, tolerance: int, sentences: Sentences = None
     return Chunker(lambda x: _let(x.prepared, of), prepare=_sentences(sentences))
 
 
-def content_density(base_chunk_size: int, sentences: Sentences = None) -> Chunker:
+WORDS = {"pattern": T.words, "treebank": T.treebank_words}
+
+
+def content_density(base_chunk_size: int, sentences: Sentences = None, words: str = "pattern") -> Chunker:
     """The limit falls with the share of distinct words; the factor of the sentence that closes a chunk
     is recorded with it."""
 
@@ -191,7 +194,7 @@ def content_density(base_chunk_size: int, sentences: Sentences = None) -> Chunke
         starts = _greedy_starts(F.transform(s, lambda x: F.length(x)), F.transform(factors, lambda f: f * base_chunk_size))
         return _let(starts, lambda at: _pieces(s, at, lambda i, t, _: {"chunker": "content_density_adaptive_chunking", "density_factor": F.round(F.get(factors, F.get(at, i + 1)), 6)}))
 
-    factor = lambda x: _let(T.words(x), lambda w: 1.5 - F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
+    factor = lambda x: _let(WORDS[words](x), lambda w: 1.5 - F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
 
     def kept(text: Column) -> Column:
         return F.filter(F.transform(_sentences(sentences)(text), lambda x: F.struct(x.alias("s"), factor(x).alias("f"))), lambda x: x["f"].isNotNull())

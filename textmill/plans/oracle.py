@@ -69,7 +69,17 @@ def length_aware(target: int, tolerance: int) -> Sql:
     return _greedy(SENTENCES, str(target + tolerance), "json_object('chunker', 'length_aware_chunking', 'length', length(text))")
 
 
-def content_density(base: int) -> Sql:
+def treebank_words(x: str) -> str:
+    for pattern, put in T.TREEBANK:
+        if pattern.endswith(" ") or pattern == T.TREEBANK[-1][0]:
+            x = f"(' ' || {x} || ' ')"
+        quoted = [v.replace("'", "''") for v in (pattern, put)]
+        x = f"regexp_replace({x}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return f"list_filter(string_split_regex({x}, '[ \\t-\\r]+'), lambda w: w <> '')"
+
+
+def content_density(base: int, words: Callable[[str], str] = lambda x: f"regexp_extract_all({x}, '{T.WORDS}')") -> Sql:
+    _WORDS = words
     factor = lambda x: f"(1.5::DOUBLE - len(list_distinct({_WORDS(x)}))::DOUBLE / len({_WORDS(x)}))"
     closing = factor("u[cuts[i + 2] + 1]")
     meta = f"CASE WHEN cuts[i + 2] IS NULL THEN json_object('chunker', 'content_density_adaptive_chunking') ELSE json_object('chunker', 'content_density_adaptive_chunking', 'density_factor', round({closing}, 6)) END"
@@ -235,7 +245,9 @@ STRATEGIES: dict[str, Sql] = {
 }
 
 
+#: Beside the configured strategies: those of the catalogue's ``MORE`` that SQL can state.
 HYBRIDS: dict[str, Sql] = {
+    "content_density_treebank_chunking": content_density(1000, treebank_words),
     "hybrid_length_aware_semantic_chunking": hybrid(length_aware(2000, 200), SEMANTIC),
     "hybrid_fixed_char_similarity_chunking": hybrid(fixed_character(1500, 0), similarity_threshold(0.3)),
     "hybrid_sentence_group_variance_chunking": hybrid(windows(SENTENCES, 9, 8, "' '", "sentence_group_chunking", "'sentences_per_chunk', 9, 'overlap', 1", ("start_sentence_index", "end_sentence_index")), semantic_variance(0.2), 300),
