@@ -62,3 +62,20 @@ def test_rows_that_share_an_id(spark):
 def test_plan_has_no_python(spark, sf):
     plan = queries.op9_line_dedup(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_hot_window_is_split_over_tasks(spark):
+    """A passage in every text: the join that finds its later occurrences is dealt out anew by the adaptive plan."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(4000).selectExpr("struct(id AS doc_id, xxhash64(id) AS hash, id AS place) AS key", "concat('a\nb\nc\n', id, '\n', id + 1, '\n', id % 7) AS text").repartition(12)
+        found = line_dedup.repeated_windows(rows)
+        assert found.where("pos = 0").count() == 3999
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -6,11 +6,11 @@ occurrence, by (doc_id, hash of the text, row, position); the lines that its lat
 cover are removed, overlapping ones merged. Lines are compared as they are, blanks included.
 
 Scale: rows are written once with a key of their own, so that rows which share an id stay apart.
-Windows are counted with a map-side combine, and only those whose key repeats are joined again;
-that join has nothing above it that needs a key's rows together, so Spark splits a hot key over
-tasks. Texts are shuffled once, next to the list of lines to remove.
+Windows are counted with a map-side combine, and only those whose key repeats are joined again.
+They are written before that join: both its sides are then plain shuffles, which Spark splits where a key is hot;
+with the aggregate between them it would not. Texts are shuffled once, next to the list of lines to remove.
 
-Edge cases: a null text is kept null and has no lines; texts of fewer than three lines are
+Edge cases: a null text is kept null and has no lines; a very long text is one row, as are its windows' keys; texts of fewer than three lines are
 kept whole; a text may repeat itself; rows that share a doc_id are documents of their own, of
 equal ones (id and text) any one counts as the first; a null doc_id comes first; a document
 whose lines all go is kept with an empty text; an empty table gives an empty result. All other
@@ -33,6 +33,7 @@ def repeated_windows(rows: DataFrame, size: int = WINDOW) -> DataFrame:
     hashes = F.transform(F.sequence(F.lit(0), F.size("hashes") - size), lambda i: F.unhex(F.md5(F.array_join(F.slice(F.col("hashes"), i + 1, size), ""))))
     windows = lines.select("key", F.posexplode(hashes).alias("pos", "window"))
     repeated = windows.groupBy("window").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
+    repeated = materialize(repeated, "line-windows")
     return windows.join(repeated, "window").where(~F.struct("key", "pos").eqNullSafe(F.col("first"))).select("key", "pos")
 
 
