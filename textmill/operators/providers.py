@@ -185,6 +185,10 @@ class Asked(PerValue):
         joined = rows.join(found, "_row", "left").withColumn("_answers", F.coalesce("_found.answer", F.array().cast("array<string>")))
         return joined.withColumn(out, self.parse.many(F.col("_answers"))).drop("_asked", "_row", "_found", "_answers")
 
+    def add_timed(self, df: DataFrame, value: Column, out: str, spent: str) -> DataFrame:
+        """Answers that the whole job shares take no document's own time."""
+        return super().add_timed(df, value, out, spent) if self.path is None or df.isStreaming else self.add(df, value, out)
+
 
 def _framed(task: str, text: str) -> str:
     return f"{task}\n\n[TEXT]\n{text}\n[/TEXT]"

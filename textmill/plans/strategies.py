@@ -116,21 +116,42 @@ def documents(table: DataFrame) -> DataFrame:
     return rows.repartition(cores) if not table.isStreaming and rows.rdd.getNumPartitions() < cores else rows
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def made(docs: DataFrame, by: C.Chunker) -> DataFrame:
     """The chunks ``c`` of ``docs`` (doc_id, text): a row for each, with source_doc_id and chunk_ord."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = by.add(rows, "text", "doc_id", "chunks")
+    return _each(by.add(_rows(docs), "text", "doc_id", "chunks"))
+
+
+def timed(docs: DataFrame, by: C.Chunker) -> DataFrame:
+    """A row for each of ``docs`` (doc_id, text), also without chunks: doc_id, its ``chunks`` as an array, and ``spent``, the nanoseconds
+    that making them took. A Python function works on whole batches: its time is shared out by the bytes of the texts it gets."""
+    rows = _rows(docs).withColumn("spent", F.lit(0).cast("long"))
+    return by.add(rows, "text", "doc_id", "chunks", "spent").select("doc_id", "chunks", "spent")
+
+
+def _each(rows: DataFrame) -> DataFrame:
     # Not the inner generator: Spark would infer a filter on the size of the array, and compute it twice.
-    return each.select(F.col("doc_id").alias("source_doc_id"), F.posexplode_outer("chunks").alias("chunk_ord", "c")).where("c is not null")
+    return rows.select(F.col("doc_id").alias("source_doc_id"), F.posexplode_outer("chunks").alias("chunk_ord", "c")).where("c is not null")
 
 
-def chunk(docs: DataFrame, given: dict, strategy: str | None = None) -> DataFrame:
-    """``docs`` (doc_id, text) -> source_doc_id, doc_id, chunk_ord, chunk_id, text, metadata (JSON)."""
-    rows = made(docs, chunker(given))
+def _named(rows: DataFrame, strategy: str | None) -> DataFrame:
     out = rows.select("source_doc_id", F.concat("source_doc_id", "c.doc_suffix").alias("doc_id"), "chunk_ord", F.concat("source_doc_id", "c.id_suffix").alias("chunk_id"), "c.text", "c.metadata")
     return out if strategy is None else out.select(F.lit(strategy).alias("strategy"), "*")
 
 
+def chunk(docs: DataFrame, given: dict, strategy: str | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) -> source_doc_id, doc_id, chunk_ord, chunk_id, text, metadata (JSON)."""
+    return _named(made(docs, chunker(given)), strategy)
+
+
+def chunks_of(rows: DataFrame, strategy: str | None = None) -> DataFrame:
+    """What ``chunk`` gives, from the rows of ``timed``."""
+    return _named(_each(rows), strategy)
+
+
 def chunk_all(docs: DataFrame, names: Iterable[str] | None = None, specs: dict[str, dict] | None = None) -> DataFrame:
     """The chunks of many strategies, told apart by ``strategy``."""
     specs = specs or STRATEGIES
