@@ -41,8 +41,8 @@ def _sums_of_arrays(rows: DataFrame) -> DataFrame:
         F.coalesce(F.size("sizes"), F.lit(0)).cast("long").alias("n"),
         total(lambda x: x["n"]).alias("s"),
         total(lambda x: x["n"] * x["n"]).alias("q"),
-        F.array_min(F.transform("sizes", lambda x: x["n"])).alias("low"),
-        F.array_max(F.transform("sizes", lambda x: x["n"])).alias("high"),
+        F.array_min(F.transform("sizes", lambda x: x["n"])).cast("int").alias("low"),
+        F.array_max(F.transform("sizes", lambda x: x["n"])).cast("int").alias("high"),
         total(lambda x: x["bytes"]).alias("bytes"),
         (F.col("spent") / 1e9).alias("spent"),
     )
