@@ -153,3 +153,19 @@ def test_each_sentence_chunker_takes_a_model(spark):
     for made in (C.semantic_variance(0.2, sentences=model), C.topic(0.0001, sentences=model)):
         assert " ".join(r.c.text for r in strategies.made(docs, made).orderBy("chunk_ord").collect()) == text
     assert [r.c.text for r in strategies.made(docs, C.sentence()).orderBy("chunk_ord").collect()] == ["Dr.", "Brown came.", "Dr.", "Lee went."]
+
+
+def test_a_model_beyond_the_lists(spark, monkeypatch):
+    monkeypatch.setattr(punkt, "MOST", 1)
+    docs = spark.createDataFrame([(f"doc_{i:03d}", t) for i, t in enumerate([*CORPUS, "", None])], "doc_id string, text string")
+    with pytest.raises(ValueError):
+        punkt.fit(docs)
+    monkeypatch.undo()
+    model = punkt.fit(docs)
+    assert min(map(len, (model.abbreviations, model.capitals))) > 0
+    monkeypatch.setattr(punkt, "MOST", 1)
+    rows = strategies.chunk(punkt.marked(docs, punkt.tables(docs)), strategies.spec("sentence", sentences=punkt.marked_sentences)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.chunk_ord):
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {f"doc_{i:03d}": plain_sentences(model, t) for i, t in enumerate(CORPUS)}

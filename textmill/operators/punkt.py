@@ -10,7 +10,8 @@ before a capital word that often starts sentences (after an abbreviation also be
 a collocation; after a number it ends unless a word in lower case follows. Other marks always end one. A mark may be followed by
 closing quotes and brackets. White space between sentences is dropped.
 
-Counts are summed before they are shuffled. The model is small beside the corpus; ``MOST`` bounds each of its lists, beyond that ``fit`` raises.
+Counts are of words as they stand, summed before they are shuffled; patterns are applied to distinct ones. ``tables`` gives a model of any size, which
+``marked`` applies by joins. ``fit`` makes lists of it for use in expressions; ``MOST`` bounds each of them, beyond that it raises.
 A null or empty text has no words and no sentences; an empty corpus gives a model without entries.
 """
 
@@ -21,6 +22,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from textmill.functions.text import BLANKS
 from textmill.operators.chunker import let
@@ -63,23 +65,25 @@ def _dotted(core_: Column) -> Column:
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """A row for each word of ``docs`` (text): its type, whether it has a period, a lower-case letter or a capital at its beginning,
-    whether it stands inside a sentence, and the type of the next word."""
+    """The distinct words of ``docs`` (text) as they stand, each inside a sentence and at the beginning of one, with their number."""
     found = docs.select(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)).alias("w")).where("size(w) > 0")
-    one = lambda x, i: F.struct(core(x).alias("c"), x.rlike(END).alias("e"))
-    rows = found.select(F.transform("w", one).alias("w"))
-    # Each word with its neighbours, by shifted arrays.
-    before = F.concat(F.array(F.struct(F.lit("").alias("c"), F.lit(True).alias("e"))), F.slice("w", 1, F.size("w") - 1))
-    after = F.concat(F.slice("w", 2, F.size("w")), F.array(F.struct(F.lit("").alias("c"), F.lit(True).alias("e"))))
-    each = rows.select(F.inline(F.arrays_zip(F.col("w"), before.alias("b"), after.alias("n"))))
-    c = F.col("w.c")
-    return each.select(type_of(c).alias("type"), _dotted(c).alias("dotted"), c.rlike(r"^\p{Ll}").alias("low"), c.rlike(r"^\p{Lu}").alias("capital"), (~F.col("b.e")).alias("inside"), type_of(F.col("n.c")).alias("next"), F.col("n.c").rlike(r"^\p{Lu}").alias("next_capital"))
+    inside = lambda i: F.coalesce(~F.get("w", i - 1).rlike(END), F.lit(False))
+    return found.select(F.inline(F.transform("w", lambda x, i: F.struct(x.alias("word"), inside(i).alias("inside"))))).groupBy("word", "inside").agg(F.count("*").alias("k"))
+
+
+def followed(docs: DataFrame) -> DataFrame:
+    """The distinct words of ``docs`` (text) that hold a period, each with the word behind it, and their number."""
+    found = docs.select(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)).alias("w")).where("size(w) > 0")
+    both = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.get("w", i + 1).alias("behind")))
+    return found.select(F.inline(F.filter(both, lambda x: F.contains(x["word"], F.lit(".")) & x["behind"].isNotNull()))).groupBy("word", "behind").agg(F.count("*").alias("k"))
 
 
 def types(docs: DataFrame) -> DataFrame:
     """Of each word type: ``n``, with a period (``n_dot``), in lower case, with a capital inside a sentence; and its score as an abbreviation, null if it can't be one."""
-    n = lambda c: F.sum(F.col(c).cast("long"))
-    counted = words(docs).where("type <> ''").groupBy("type").agg(F.count("*").alias("n"), n("dotted").alias("n_dot"), n("low").alias("n_low"), F.sum((F.col("capital") & F.col("inside")).cast("long")).alias("n_capital"))
+    n = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    c = F.col("c")
+    each = words(docs).select("inside", "k", core(F.col("word")).alias("c")).withColumn("type", type_of(c)).where("type <> ''")
+    counted = each.groupBy("type").agg(F.sum("k").alias("n"), n(_dotted(c)).alias("n_dot"), n(c.rlike(r"^\p{Ll}")).alias("n_low"), n(c.rlike(r"^\p{Lu}") & F.col("inside")).alias("n_capital"))
     total = counted.agg(F.sum("n").alias("total"), F.sum("n_dot").alias("total_dot"))
     share = F.col("total_dot") / F.col("total")
     plain = F.col("n") - F.col("n_dot")
@@ -94,7 +98,9 @@ def types(docs: DataFrame) -> DataFrame:
 
 def pairs(docs: DataFrame) -> DataFrame:
     """What follows a word with a period, and how often, in all and with a capital."""
-    return words(docs).where("dotted and next <> '' and type <> ''").groupBy("type", "next").agg(F.count("*").alias("n"), F.sum(F.col("next_capital").cast("long")).alias("n_capital"))
+    each = followed(docs).select("k", core(F.col("word")).alias("c"), core(F.col("behind")).alias("b")).where(_dotted(F.col("c")))
+    each = each.select("k", type_of(F.col("c")).alias("type"), type_of(F.col("b")).alias("next"), F.col("b").rlike(r"^\p{Lu}").alias("capital")).where("next <> '' and type <> ''")
+    return each.groupBy("type", "next").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("capital"), F.col("k")).otherwise(0)).alias("n_capital"))
 
 
 def likelihood(a: Column, b: Column, both: Column, total: Column) -> Column:
@@ -113,28 +119,92 @@ def _list(rows: DataFrame, *columns: str) -> tuple:
     return tuple(sorted(r[0] if len(columns) == 1 else tuple(r) for r in found))
 
 
+class Tables(NamedTuple):
+    """A model of any size: a row for each entry of the lists of ``Model``. ``held`` are the tables that it is made of, kept on disk."""
+
+    abbreviations: DataFrame
+    collocations: DataFrame
+    starters: DataFrame
+    capitals: DataFrame
+    held: tuple[DataFrame, ...]
+
+
+def tables(docs: DataFrame) -> Tables:
+    """The model of ``docs`` (text): abbreviations (type), collocations (type, next), starters and capitals (next). Only two sums pass through the driver."""
+    known = types(docs).persist(StorageLevel.DISK_ONLY)  # both are read several times
+    follow = pairs(docs).persist(StorageLevel.DISK_ONLY)
+    total = known.agg(F.sum("n")).first()[0] or 0
+    short = known.where(F.col("score") >= ABBREVIATION).select("type")
+    open_ = (F.col("type") == NUMBER) | F.col("type").rlike(r"^\p{L}$")
+    of = follow.join(short.withColumn("short", F.lit(True)), "type", "left").withColumn("open", open_ | F.col("short").isNotNull())
+    firsts = known.select(F.col("type"), F.col("n").alias("n_type"))
+    nexts = known.select(F.col("type").alias("next"), F.col("n").alias("n_next"), "n_low", F.col("n_capital").alias("inner_capital"))
+    held = of.where("open").join(firsts, "type").join(nexts, "next")
+    tied = held.where(likelihood(F.col("n_type"), F.col("n_next"), F.col("n"), F.lit(total)) >= COLLOCATION).where(F.lit(total) / F.col("n_type") > F.col("n_next") / F.col("n"))
+    ends = of.where("not open")
+    breaks = ends.agg(F.sum("n")).first()[0] or 0
+    after = ends.groupBy("next").agg(F.sum("n").alias("n")).join(nexts, "next")
+    starts = after.where(likelihood(F.lit(breaks), F.col("n_next"), F.col("n"), F.lit(total)) >= STARTER).where(F.col("n") / F.col("n_next") > F.lit(breaks) / F.lit(total or 1))
+    capitals = held.where("n_capital > 0 and n_low > 0 and inner_capital = 0")
+    return Tables(short, tied.select("type", "next"), starts.select("next"), capitals.select("next").distinct(), (known, follow))
+
+
 def fit(docs: DataFrame) -> Model:
-    """The model of ``docs`` (text)."""
-    known = types(docs).cache()
-    follow = pairs(docs).cache()
+    """The model of ``docs`` (text) as lists, for expressions; a larger one stays in ``tables``."""
+    made = tables(docs)
     try:
-        total = known.agg(F.sum("n")).first()[0] or 0
-        short = known.where(F.col("score") >= ABBREVIATION).select("type")
-        open_ = (F.col("type") == NUMBER) | F.col("type").rlike(r"^\p{L}$")
-        of = follow.join(short.withColumn("short", F.lit(True)), "type", "left").withColumn("open", open_ | F.col("short").isNotNull())
-        firsts = known.select(F.col("type"), F.col("n").alias("n_type"))
-        nexts = known.select(F.col("type").alias("next"), F.col("n").alias("n_next"), "n_low", F.col("n_capital").alias("inner_capital"))
-        held = of.where("open").join(firsts, "type").join(nexts, "next")
-        tied = held.where(likelihood(F.col("n_type"), F.col("n_next"), F.col("n"), F.lit(total)) >= COLLOCATION).where(F.lit(total) / F.col("n_type") > F.col("n_next") / F.col("n"))
-        ends = of.where("not open")
-        breaks = ends.agg(F.sum("n")).first()[0] or 0
-        after = ends.groupBy("next").agg(F.sum("n").alias("n")).join(nexts, "next")
-        starts = after.where(likelihood(F.lit(breaks), F.col("n_next"), F.col("n"), F.lit(total)) >= STARTER).where(F.col("n") / F.col("n_next") > F.lit(breaks) / F.lit(total or 1))
-        capitals = held.where("n_capital > 0 and n_low > 0 and inner_capital = 0")
-        return Model(_list(short, "type"), _list(tied, "type", "next"), _list(starts, "next"), _list(capitals, "next"))
+        return Model(_list(made.abbreviations, "type"), _list(made.collocations, "type", "next"), _list(made.starters, "next"), _list(made.capitals, "next"))
     finally:
-        known.unpersist()
-        follow.unpersist()
+        for x in made.held:
+            x.unpersist()
+
+
+def _units(text: Column) -> Column:
+    """Words with the white space behind them; what comes before the first word belongs to it."""
+    return F.regexp_extract_all(text, F.lit(f"^{BLANKS}*{WORD}{BLANKS}*|{WORD}{BLANKS}*"), F.lit(0))
+
+
+def _strip(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
+def _places(units: Column, cut: Callable[[Column, Column], Column]) -> Column:
+    """Numbers of the units, from 1, behind which a sentence ends: the last, and those with a mark for which ``cut`` of the word and the next one holds."""
+    marked = f"[.?!…][{CLOSING}]*{BLANKS}*$"
+    return F.filter(F.transform(units, lambda x, i: F.when((i == F.size(units) - 1) | (x.rlike(marked) & cut(_strip(x), _strip(F.get(units, i + 1)))), i + 1)), lambda e: e.isNotNull())
+
+
+def _between(units: Column, places: Column) -> Column:
+    """The units joined up to each of the places."""
+    made = let(places, lambda at: F.transform(at, lambda e, k: _strip(F.array_join(F.slice(units, F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, e - F.coalesce(F.get(at, k - 1), F.lit(0))), ""))))
+    return F.filter(made, lambda s: s != "")
+
+
+def marked(docs: DataFrame, model: Tables) -> DataFrame:
+    """``docs`` (with a column text) with ``inside``: the numbers of the units whose period ends no sentence, as ``model`` has it. A decision is a join for each
+    abbreviation, initial and number with a period; texts meet theirs by a digest, so equal texts share them."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.sha2("text", 256))
+
+    def asked(x: Column, i: Column, units: Column) -> Column:
+        # The last word ends the text, whatever it is.
+        ready = (i < F.size(units) - 1) & x.rlike(rf"\.[{CLOSING}]*{BLANKS}*$")
+        return F.when(ready, let(F.struct(core(_strip(x)).alias("c"), core(_strip(F.get(units, i + 1))).alias("n")), lambda v: F.struct((i + 1).alias("place"), v["c"].alias("c"), v["n"].alias("n"))))
+
+    each = rows.select("digest", F.inline(let(_units(F.col("text")), lambda u: F.filter(F.transform(u, lambda x, i: asked(x, i, u)), lambda x: x.isNotNull()))))
+    each = each.where(_dotted(F.col("c"))).select("digest", "place", type_of(F.col("c")).alias("type"), type_of(F.col("n")).alias("next"), F.col("n").rlike(r"^\p{Lu}").alias("capital"), F.col("n").rlike(r"^\p{Ll}").alias("low"))
+    number, initial = F.col("type") == NUMBER, F.col("type").rlike(r"^\p{L}$")
+    for given, keys, name in ((model.abbreviations, ["type"], "short"), (model.collocations, ["type", "next"], "tied"), (model.starters, ["next"], "starts"), (model.capitals, ["next"], "raised")):
+        each = each.join(given.withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.col(name).isNotNull())
+        each = each.where(number | initial | F.col("short"))  # nothing else is ever inside
+    inside = F.when(F.col("tied"), True).when(number, F.col("low")).when(initial, ~(F.col("capital") & F.col("starts"))).otherwise(~(F.col("capital") & (F.col("starts") | F.col("raised"))))
+    found = each.where(inside).groupBy("digest").agg(F.collect_set("place").alias("inside"))
+    return rows.join(found, "digest", "left").withColumn("inside", F.coalesce("inside", F.array().cast("array<int>"))).drop("digest")
+
+
+def marked_sentences(text: Column) -> Column:
+    """The sentences of a row of ``marked``."""
+    inside = F.col("inside")
+    return let(_units(text), lambda u: _between(u, F.array_except(_places(u, lambda *_: F.lit(True)), inside)))
 
 
 def _in(value: Column, values: tuple[str, ...]) -> Column:
@@ -155,18 +225,7 @@ def sentences(model: Model) -> Callable[[Column], Column]:
         inside = inside.when(initial, ~(capital & _in(then, model.starters))).when(short, ~(capital & (_in(then, model.starters) | _in(then, model.capitals)))).otherwise(False)
         return word.rlike(END) & ~(_dotted(c) & inside)
 
-    def split(text: Column) -> Column:
-        # Words with the white space behind them; what comes before the first word belongs to it.
-        units = F.regexp_extract_all(text, F.lit(f"^{BLANKS}*{WORD}{BLANKS}*|{WORD}{BLANKS}*"), F.lit(0))
-        strip = lambda x: F.regexp_replace(x, f"^{BLANKS}+|{BLANKS}+$", "")
-
-        def grouped(u: Column) -> Column:
-            ends = F.filter(F.transform(u, lambda x, i: F.when((i == F.size(u) - 1) | let(strip(x), lambda w: w.rlike(END) & cut(w, strip(F.get(u, i + 1)))), i + 1)), lambda e: e.isNotNull())
-            return let(ends, lambda at: F.transform(at, lambda e, k: strip(F.array_join(F.slice(u, F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, e - F.coalesce(F.get(at, k - 1), F.lit(0))), ""))))
-
-        return F.filter(let(units, grouped), lambda s: s != "")
-
-    return split
+    return lambda text: let(_units(text), lambda u: _between(u, _places(u, cut)))
 
 
 def splitter(given: Model | dict | Callable[[Column], Column] | None, default: Callable[[Column], Column]) -> Callable[[Column], Column]:

@@ -117,7 +117,8 @@ def documents(table: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Other columns stay, for expressions that use them."""
+    return docs.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def made(docs: DataFrame, by: C.Chunker) -> DataFrame:
