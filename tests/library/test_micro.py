@@ -281,3 +281,17 @@ def test_metrics_keep_empty_documents(spark):
     record = made.orderBy("chunk_id").first()
     line = json.dumps({"text": record.text, "metadata": 0, "chunk_id": record.chunk_id, "doc_id": record.doc_id}) + "\n"
     assert made.orderBy("chunk_id").select(metrics.record_size(made)).first()[0] == len(line) - 1 + len(record.metadata)
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    # 0.2600975 lies just below the half of the seventh digit, although its shortest decimal ends in 5.
+    similar = lambda s: F.array(F.lit(0.9), F.lit(0.2600975))
+    (rows,) = run(spark, C.semantic_variance(0.2, similar=similar), "One is. Two is. Three is.")
+    assert meta(rows, "split_score") == [0.260097, None]
+    assert S.rounded(np.array([0.0009765625, -0.0009765625, 0.25]), 9).tolist() == [0.000976563, -0.000976563, 0.25]
+
+
+def test_small_scores_have_no_exponent(spark):
+    for score, written in ((0.000735, "0.000735"), (0.00005, "0.00005"), (0.000001, "0.000001"), (0.25, "0.25"), (0.0, "0.0")):
+        (rows,) = run(spark, C.semantic_variance(0.2, similar=lambda s, x=score: F.array(F.lit(0.9), F.lit(x))), "One is. Two is. Three is.")
+        assert rows[0].metadata == f'{{"chunker":"semantic_variance_adaptive_chunking","split_score":{written}}}' and "split_score" not in rows[1].metadata

@@ -63,7 +63,7 @@ def adjacent(factory: Factory, reach: int) -> Callable[[pa.Array], pa.Array]:
         text = np.repeat(np.arange(len(sizes)), sizes)
         inside = text[:-1] == text[1:]
         offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 0))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.round(cosine[inside], 9)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(splitting.rounded(cosine[inside], 9)))
 
     return run
 

@@ -30,6 +30,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded half away from zero as a product with a power of ten, as SQL does it. ``F.round`` goes by the shortest decimal, which is another
+    number where a value lies within an ulp of a half."""
+    return F.round(value * 10.0**digits, 0) / 10.0**digits
+
+
 def now() -> Column:
     """An executor's clock in nanoseconds, read when this part of an expression is computed."""
     return F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")

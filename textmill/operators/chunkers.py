@@ -7,6 +7,7 @@ a model of sentence ends (``punkt``), as such or as a dictionary, or an expressi
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,12 +20,26 @@ from textmill.functions.tokenizing import Tokens, tokens
 from textmill.operators import punkt
 from textmill.operators.chunker import CHUNKS, Chunker, Given, Hybrid
 from textmill.operators.chunker import let as _let
+from textmill.operators.chunker import rounded
+
+
+class Plain(NamedTuple):
+    """A number of at most six decimals, to be written without an exponent, which Spark takes below a thousandth and SQL does not."""
+
+    value: Column
+
+    def text(self) -> Column:
+        return F.regexp_replace(self.value.cast("decimal(20,6)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
 
 
 def _chunk(text: Column, metadata: dict, suffix: Column) -> Column:
-    """Metadata values are columns or constants; null values are left out."""
-    values = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in metadata.items()]
-    return F.struct(text.alias("text"), F.to_json(F.struct(*values)).alias("metadata"), F.lit("").alias("doc_suffix"), suffix.alias("id_suffix"))
+    """Metadata values are columns, ``Plain`` or constants; null values are left out."""
+    column = lambda v: v.text() if isinstance(v, Plain) else v if isinstance(v, Column) else F.lit(v)
+    json = F.to_json(F.struct(*(column(v).alias(k) for k, v in metadata.items())))
+    for k, v in metadata.items():
+        if isinstance(v, Plain):
+            json = F.regexp_replace(json, f'"{k}":"([^"]*)"', f'"{k}":$1')
+    return F.struct(text.alias("text"), json.alias("metadata"), F.lit("").alias("doc_suffix"), suffix.alias("id_suffix"))
 
 
 def _numbered(i: Column, kind: str = "chunk") -> Column:
@@ -192,7 +207,7 @@ def content_density(base_chunk_size: int, sentences: Sentences = None, words: st
     def of(v: Column) -> Column:
         s, factors = v["s"], v["f"]
         starts = _greedy_starts(F.transform(s, lambda x: F.length(x)), F.transform(factors, lambda f: f * base_chunk_size))
-        return _let(starts, lambda at: _pieces(s, at, lambda i, t, _: {"chunker": "content_density_adaptive_chunking", "density_factor": F.round(F.get(factors, F.get(at, i + 1)), 6)}))
+        return _let(starts, lambda at: _pieces(s, at, lambda i, t, _: {"chunker": "content_density_adaptive_chunking", "density_factor": rounded(F.get(factors, F.get(at, i + 1)), 6)}))
 
     factor = lambda x: _let(WORDS[words](x), lambda w: 1.5 - F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
 
@@ -272,9 +287,9 @@ def semantic_variance(sensitivity: float, similar: Similarity | None = None, enc
     def of(text: Column, s: Column, sims: Column) -> Column:
         recent = lambda i: F.slice(sims, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
         mean = lambda i: F.aggregate(recent(i), F.lit(0.0), lambda a, x: a + x) / F.least(i, F.lit(3))
-        cut = lambda x, i: F.when(i > 0, F.round(x - mean(i) + sensitivity, 9) < 0)
+        cut = lambda x, i: F.when(i > 0, rounded(x - mean(i) + sensitivity, 9) < 0)
         whole = F.array(_chunk(text, {"chunker": "semantic_variance_adaptive_chunking"}, F.lit("_chunk_0000")))
-        meta = lambda at: lambda i, t, _: {"chunker": "semantic_variance_adaptive_chunking", "split_score": F.round(F.get(sims, F.get(at, i + 1) - 1), 6)}
+        meta = lambda at: lambda i, t, _: {"chunker": "semantic_variance_adaptive_chunking", "split_score": Plain(rounded(F.get(sims, F.get(at, i + 1) - 1), 6))}
         return F.when(F.size(s) == 1, whole).otherwise(_let(_cuts(sims, cut), lambda at: _pieces(s, at, meta(at))))
 
     return _compared(of, _sentences(sentences), 0, similar, encoder)
@@ -294,13 +309,13 @@ def semantic_breakpoints(name: str, gradient: bool = False, q: float = 0.95, sim
     gradient, is above the document's percentile."""
 
     def of(_: Column, s: Column, sims: Column) -> Column:
-        return _let(F.transform(sims, lambda x: F.round(1 - x, 9)), lambda d: steps(s, d))
+        return _let(F.transform(sims, lambda x: rounded(1 - x, 9)), lambda d: steps(s, d))
 
     def steps(s: Column, d: Column) -> Column:
         n, at = F.size(d), lambda i: F.get(d, i)
         slope = lambda i: F.when(i == 0, at(i + 1) - at(i)).when(i == n - 1, at(i) - at(i - 1)).otherwise((at(i + 1) - at(i - 1)) / 2)
-        values = F.transform(d, lambda x, i: F.round(slope(i), 9)) if gradient else d
-        return _let(values, lambda v: _let(F.round(percentile(v, q), 9), lambda top: pieces(s, v, top)))
+        values = F.transform(d, lambda x, i: rounded(slope(i), 9)) if gradient else d
+        return _let(values, lambda v: _let(rounded(percentile(v, q), 9), lambda top: pieces(s, v, top)))
 
     def pieces(s: Column, values: Column, top: Column) -> Column:
         starts = F.when(F.size(s) > (2 if gradient else 1), _cuts(values, lambda x, i: x > top)).otherwise(F.array(F.lit(0)))
