@@ -8,6 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from textmill.functions import lifted
 from textmill.functions import splitting as S
 from textmill.functions.text import TOKENS, json_size, paragraphs, sentences, tokens
 from textmill.operators import chunkers as C
@@ -295,3 +296,16 @@ def test_small_scores_have_no_exponent(spark):
     for score, written in ((0.000735, "0.000735"), (0.00005, "0.00005"), (0.000001, "0.000001"), (0.25, "0.25"), (0.0, "0.0")):
         (rows,) = run(spark, C.semantic_variance(0.2, similar=lambda s, x=score: F.array(F.lit(0.9), F.lit(x))), "One is. Two is. Three is.")
         assert rows[0].metadata == f'{{"chunker":"semantic_variance_adaptive_chunking","split_score":{written}}}' and "split_score" not in rows[1].metadata
+
+
+def test_a_large_batch_is_given_in_slices():
+    words = lambda k: [["a", "b", f"w{k % 7}"], ["b", "c"] * (k % 5), ["c"]][: k % 4]
+    batch = pa.array([words(k) for k in range(60_000)] + [None, []], pa.list_(pa.list_(pa.string())))
+    most = []
+
+    def seen(values):
+        most.append(int(lifted.sizes_of(values).sum()))
+        return S.adjacent_similarities(values)
+
+    assert lifted.sliced(batch, seen).equals(S.adjacent_similarities(batch))
+    assert len(most) > 1 and max(most) <= 1 << 21
