@@ -135,7 +135,7 @@ _ENCODERS: dict[tuple[str, int, bool], PieceEncoder] = {}
 
 
 def encoder(path: str, max_pieces: int = 700_000, as_text: bool = False) -> PieceEncoder:
-    """This worker's encoder for a vocabulary file; kept from task to task, which clear it when they end, so
+    """This worker's encoder for a vocabulary file; kept from task to task. Those of a longer chain clear it when they end, so
     that a worker does not hold its pieces while it does other work."""
     key = (path, max_pieces, as_text)
     if key not in _ENCODERS:

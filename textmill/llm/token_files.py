@@ -148,7 +148,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
             ends = ends + np.arange(1, len(ends) + 1)
             for doc_id, a, b in zip(batch.column(0).to_pylist(), (ends - n - 1).tolist(), ends.tolist()):
                 writer.add(doc_id, ids[a:b])
-        coder.clear()
+        # The pieces stay known for the worker's next task, which holds most of them again; their number is bounded.
+        pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             sink.close()
