@@ -47,6 +47,15 @@ def test_added_tokens():
     assert n.tolist() == [1, 4] and ids.tolist() == [50256, 31373, 220, 50256, 2124][: len(ids)]
 
 
+def test_packing_keeps_few_pieces_in_a_worker():
+    coder = PieceEncoder(public_path(), packing.KEPT)
+    for k in range(0, 360_000, 60_000):
+        text = "the " + " ".join(f"w{i}" for i in range(k, k + 60_000))
+        ids, n = coder.encode(pa.array([text], pa.large_string()))
+        assert len(coder.known) <= 300_000 and n.tolist() == [len(ids)]
+        assert k not in (0, 300_000) or ids.tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, want):
     sequences, got = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -32,6 +32,8 @@ from textmill.llm.subwords import encoder, in_slices, public_path
 
 CAPACITY = 1024
 END_ID = 2
+SLICE = 1 << 20
+KEPT = 300_000  # pieces that a worker knows at a time; the results do not depend on it
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 
 
@@ -63,8 +65,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        coder = encoder(tokenizer_path)
-        for batch, texts in in_slices(batches, "text"):
+        coder = encoder(tokenizer_path, KEPT)
+        for batch, texts in in_slices(batches, "text", SLICE):
             ids, n = coder.encode(texts)
             ends = np.cumsum(n)
             full = np.insert(ids, ends, end_id).astype("<u4")
