@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 from textmill.llm import lm_scoring, queries
 from textmill.llm.subwords import public_path
@@ -89,3 +90,16 @@ def test_windows_grow_with_the_text():
     inside = got[2:]
     at = np.flatnonzero((inside >= 0).all(axis=1))
     assert len(at) > 10 and all((np.diff(inside[i].astype(int)) % 900 == 1).all() for i in at if inside[i][0] != lm_scoring.END)
+
+
+def test_every_id_is_fitted_once():
+    rng = np.random.default_rng(0)
+    sizes = np.array([1, 32, 33, 40, 7000])
+    ends = np.cumsum(sizes)
+    ids = rng.integers(0, 1023, ends[-1]).astype(np.uint16)
+    whole = lm_scoring.fit_windows(ids, ends - sizes, ends)
+    runs = lm_scoring.fit_runs(ids, ends - sizes, ends)
+    mixed = lm_scoring.mixed_windows([zstandard.compress(r.tobytes()) for r in runs])
+    want = collections.Counter((lm_scoring.END if k in (ends - sizes) else int(ids[k - 1]), int(ids[k])) for k in range(len(ids)))
+    for got in (whole, mixed):
+        assert collections.Counter((int(a), int(b)) for w in got for a, b in zip(w, w[1:]) if b >= 0) == want

@@ -103,6 +103,15 @@ def _softmax(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def _shares(logits: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Softmax of ``logits`` on top of the shares of a prior."""
+    logits -= logits.max(axis=-1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= prior
+    logits /= logits.sum(axis=-1, keepdims=True)
+    return logits
+
+
 class Scorer:
     """Log probabilities of ids in windows, from tables made once of the weights: for each place and
     id its key, value and a one (which sums the attention), and its query and embedding."""
@@ -197,25 +206,29 @@ def loss_and_gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, prior: Pri
     mixed = a @ v
     h = (e + mixed @ w["o"]).reshape(-1, WIDTH)
     keep = np.flatnonzero(y.ravel() >= 0)
+    keep = keep[np.argsort(y.ravel()[keep] // SIDE, kind="stable")]  # by class, whose members then are one matrix
     pair = pair_of(x, np.concatenate([np.full((len(x), 1), END), x[:, :-1]], axis=1), prior.begins_word)
     hk, lk, zk, yk = h[keep], x.ravel()[keep].astype(np.int64), pair.ravel()[keep], y.ravel()[keep].astype(np.int64)
     c, m, rows = yk // SIDE, yk % SIDE, np.arange(len(keep))
-    pc = _softmax(hk @ w["classes"].T + np.log(prior.classes(lk, zk)))
-    members = w["members"].reshape(SIDE, SIDE, WIDTH)
-    pm = _softmax(np.einsum("nd,nmd->nm", hk, members[c]) + np.log(prior.members(lk, zk, c)))
+    pc = _shares(hk @ w["classes"].T, prior.classes(lk, zk))
+    bounds = np.searchsorted(c, np.arange(SIDE + 1))
+    spans = [(slice(a_, b_), slice(i * SIDE, (i + 1) * SIDE)) for i, (a_, b_) in enumerate(zip(bounds, bounds[1:])) if a_ < b_]
+    logits = np.empty((len(keep), SIDE), dtype=flat.dtype)
+    for some, own in spans:
+        np.matmul(hk[some], w["members"][own].T, out=logits[some])
+    pm = _shares(logits, prior.members(lk, zk, c))
     loss = -np.mean(np.log(np.maximum(pc[rows, c], 1e-30)) + np.log(np.maximum(pm[rows, m], 1e-30)))
     pc[rows, c] -= 1
     pm[rows, m] -= 1
     pc /= len(keep)
     pm /= len(keep)
     g["classes"][:] = pc.T @ hk
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(SIDE + 1))
-    pm_by, h_by = pm[order], hk[order]
-    for i in range(SIDE):
-        g["members"][i * SIDE : (i + 1) * SIDE] = pm_by[bounds[i] : bounds[i + 1]].T @ h_by[bounds[i] : bounds[i + 1]]
+    dhk = pc @ w["classes"]
+    for some, own in spans:
+        g["members"][own] = pm[some].T @ hk[some]
+        dhk[some] += pm[some] @ w["members"][own]
     dh = np.zeros_like(h)
-    dh[keep] = pc @ w["classes"] + np.einsum("nm,nmd->nd", pm, members[c])
+    dh[keep] = dhk
     dh = dh.reshape(e.shape)
     flat2 = lambda z: z.reshape(-1, WIDTH)
     g["o"][:] = flat2(mixed).T @ flat2(dh)

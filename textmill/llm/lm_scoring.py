@@ -8,11 +8,11 @@ the single bytes, so every word has a coding), and the text ends with an id of i
 are scored in overlapping windows, each id once.
 
 What is learnt, from texts that are not held out: counts of all words; counts of all ids after the
-one or two ids before them, which give the prior of the output; and the attention weights, fitted to
-windows of ``WINDOW`` ids at every ``FIT_STRIDE`` ids of every text (from a place drawn by its hash; one at
-least). Windows are dealt to shards by a hash of their ids, and are taken in its order: half of them
-in each of ``ROUNDS`` rounds, in which each shard fits its windows from the same weights, which are then
-averaged. So the weights depend on the texts alone, not on how the input is partitioned.
+one or two ids before them, which give the prior of the output; and the attention weights, fitted to every
+id of every text once, in windows of ``WINDOW`` ids. Texts are dealt to shards in runs of at most ``RUN`` ids, by a
+hash of their ids, and are taken in its order: half of them in each of ``ROUNDS`` rounds, in which each shard
+fits its windows from the same weights, which are then averaged. So the weights depend on the texts alone, not on how
+the input is partitioned.
 
 Scale: texts are read once and become blocks of at most ``BLOCK_WORDS`` words, each with a
 dictionary of its distinct words. Word counts are summed over dictionaries, so a frequent word
@@ -42,11 +42,13 @@ from textmill.llm import attention
 from textmill.llm.attention import END, SIZE, WINDOW
 from textmill.llm.storage import materialize
 from textmill.llm.subwords import in_slices, public_path
-from textmill.llm.vectext import mix, word_hashes, words_of
+from textmill.llm.vectext import word_hashes, words_of
 
 BLOCK_WORDS = 3_000_000
-FIT_STRIDE = 256
-SHARD, MOST_SHARDS = 20_000, 4096
+FIT_STRIDE = WINDOW
+RUN, MIXED = 64 * WINDOW, 256  # ids of a run; runs whose windows are mixed
+SHARD, MOST_SHARDS = 80_000, 4096
+STEPS, LEAST_BATCH, BATCH = 1250, 16, 64
 ROUNDS = 2
 RATES = (0.02, 0.01)
 SLICES = 8
@@ -190,8 +192,8 @@ def text_ids(numbers: np.ndarray, each: np.ndarray, coded: np.ndarray, n: np.nda
 
 def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Rows of five kinds, in ``CODED``. 0: a text, its words as numbers in its block's dictionary.
-    1: a word of a block, with its count in training texts. 2: a count of an id in a context. 3: a window
-    of a training text. 4: the number of ids and the ids of all words of a block, compressed."""
+    1: a word of a block, with its count in training texts. 2: a count of an id in a context. 3: a run of ids
+    of a training text, compressed, led by the id before, with its number of windows. 4: the number of ids and the ids of all words of a block, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -212,7 +214,7 @@ def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             yield rows(1, len(hashes), block=own[: len(hashes)], place=np.arange(len(hashes)), hash=hashes, count=counts)
             yield rows(4, 1, block=own[:1], n=[len(hashes)], data=[press.compress(n.astype(np.int32).tobytes() + coded.tobytes())])
             learn = np.flatnonzero(~np.array(block.held, dtype=bool))
-            windows, cells = [], (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+            cells = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
             for some in np.array_split(learn, max(1, block.n_words // CHUNK_WORDS)):
                 if not len(some):
                     continue
@@ -225,10 +227,8 @@ def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 before = np.concatenate([[np.uint16(END)], last[:-1]])
                 before[begins] = END
                 cells = added(cells, np.unique(attention.cells_of(last, before, ids, block.cutter.begins_word), return_counts=True))
-                windows.append(fit_windows(ids, begins, ends))
-            if windows:
-                windows = np.concatenate(windows)
-                yield rows(3, len(windows), hash=window_keys(windows), data=[w.tobytes() for w in windows])
+                runs = fit_runs(ids, begins, ends)
+                yield rows(3, len(runs), n=[-(-(len(r) - 1) // WINDOW) for r in runs], data=[press.compress(r.tobytes()) for r in runs])
             yield rows(2, len(cells[0]), place=cells[0], count=cells[1])
 
         block = Block(pieces(tokenizer_path))
@@ -243,35 +243,40 @@ def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, CODED)
 
 
-def before_text(ids: np.ndarray, place: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Windows at ``place`` as int16: END before a text's first id, -1 after its last."""
-    out = ids[np.clip(place, 0, max(len(ids) - 1, 0))].astype(np.int16)
-    out[place < begins[:, None]] = END
-    out[place >= ends[:, None]] = -1
-    return out
-
-
 def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The sum of two tables of (cells, counts)."""
     some, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
     return some, np.bincount(where, weights=np.concatenate([a[1], b[1]])).astype(np.int64)
 
 
-def fit_windows(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The windows of texts to fit: (n, WINDOW + 1) int16, the first id of each being the one before it."""
-    sizes = ends - begins
-    draw = mix(ids.astype(np.uint64)[begins] * np.uint64(1_000_003) + sizes.astype(np.uint64))
-    first = (draw % np.clip(sizes - WINDOW, 1, FIT_STRIDE).astype(np.uint64)).astype(np.int64)
-    per_text = -(-(sizes - first) // FIT_STRIDE)
-    start = np.repeat(begins + first - (np.cumsum(per_text) - per_text) * FIT_STRIDE, per_text) + np.arange(per_text.sum()) * FIT_STRIDE
-    return before_text(ids, start[:, None] + np.arange(-1, WINDOW), np.repeat(begins, per_text), np.repeat(ends, per_text))
+def fit_runs(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """All ids of texts in runs of at most ``RUN``, as int16, each led by the id before it: END before a text's first."""
+    led = np.insert(ids, begins, END).astype(np.int16)
+    begins, sizes = begins + np.arange(len(begins)), ends - begins
+    return [led[a + k : a + min(k + RUN, n) + 1] for a, n in zip(begins.tolist(), sizes.tolist()) for k in range(0, n, RUN)]
+
+
+def fit_windows(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, led: bool = False) -> np.ndarray:
+    """Windows that hold each id of texts once: (n, WINDOW + 1) int16, the first id of each being the one before it, and -1 after a
+    text's last. The first windows of all texts come first, then the second ones. ``led``: runs that begin with the id before."""
+    if not led:
+        ids, begins, ends = np.insert(ids, begins, END), begins + np.arange(len(begins)), ends + np.arange(1, len(ends) + 1)
+    per_text = -(-(ends - begins - 1) // FIT_STRIDE)
+    number = np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    order = np.argsort(number, kind="stable")
+    place = (np.repeat(begins, per_text) + number * FIT_STRIDE)[order, None] + np.arange(WINDOW + 1)
+    out = ids[np.minimum(place, max(len(ids) - 1, 0))].astype(np.int16)
+    out[place >= np.repeat(ends, per_text)[order, None]] = -1
+    return out
 
 
-def window_keys(windows: np.ndarray) -> np.ndarray:
-    """A hash of the ids of each window."""
-    with np.errstate(over="ignore"):
-        factors = mix(np.arange(1, WINDOW + 2).astype(np.uint64))
-        return mix(((windows.astype(np.int64) + 2).astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)).view(np.int64)
+def mixed_windows(runs: list[bytes]) -> np.ndarray:
+    """The windows of compressed runs in an order that parts those of one text."""
+    open_ = zstandard.ZstdDecompressor()
+    ids = [np.frombuffer(open_.decompress(r), dtype=np.int16) for r in runs]
+    ends = np.cumsum([len(x) for x in ids])
+    windows = fit_windows(np.concatenate(ids), ends - [len(x) for x in ids], ends, led=True)
+    return windows[np.random.default_rng(len(windows)).permutation(len(windows))]
 
 
 def shards_of(n_windows: int) -> int:
@@ -279,6 +284,11 @@ def shards_of(n_windows: int) -> int:
     return min(max(1, -(-n_windows // (ROUNDS * SHARD))), MOST_SHARDS)
 
 
+def batch_of(n_windows: int) -> int:
+    """How many windows make a step: so many that a shard takes about ``STEPS``, within bounds."""
+    return min(max(n_windows // (ROUNDS * shards_of(n_windows) * STEPS), LEAST_BATCH), BATCH)
+
+
 def prior_of(given) -> attention.Prior:
     """The tables of a broadcast of counts."""
     cells, counts, path = given.value
@@ -286,21 +296,25 @@ def prior_of(given) -> attention.Prior:
 
 
 def fit_weights(windows: DataFrame, n_windows: int, given) -> np.ndarray:
-    """``windows`` (hash, data) -> attention weights, averaged over shards in each round; ``given``: a broadcast of
+    """``windows`` (data: compressed runs) -> attention weights, averaged over shards in each round; ``given``: a broadcast of
     the prior's counts."""
     flat = attention.fresh()
     bounds = np.linspace(0, attention.N_WEIGHTS, SLICES + 1).astype(int)
-    shards = shards_of(n_windows)
-    # Other bits of the hash than those that order the windows.
-    spread_ = F.xxhash64("hash")
-    dealt = windows.select(F.pmod(spread_, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright(spread_, 20), F.lit(ROUNDS)).alias("round"), "hash", "data")
+    shards, step = shards_of(n_windows), batch_of(n_windows)
+    # Other bits than those that order the runs.
+    key = F.xxhash64("data")
+    spread_ = F.xxhash64(key)
+    dealt = windows.select(F.pmod(spread_, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright(spread_, 20), F.lit(ROUNDS)).alias("round"), key.alias("hash"), "data")
     for r in range(ROUNDS):
         start = flat
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            at, fitter, prior = None, None, prior_of(given)
+            at, fitter, prior, waiting = None, None, prior_of(given), []
 
             def done() -> pa.RecordBatch:
+                if waiting:
+                    fitter.add(mixed_windows(waiting))
+                    waiting.clear()
                 fitter.add(fitter.waiting[:0], last=True)
                 return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([at] * SLICES, pa.int32()), pa.array([float(fitter.seen)] * SLICES), pa.array([fitter.flat[a:b].astype(np.float64).tobytes() for a, b in zip(bounds, bounds[1:])])], ["slice", "shard", "weight", "data"])
 
@@ -311,8 +325,12 @@ def fit_weights(windows: DataFrame, n_windows: int, given) -> np.ndarray:
                     if shard[a] != at:
                         if fitter is not None:
                             yield done()
-                        at, fitter = int(shard[a]), attention.Fitter(start, prior, RATES[r])
-                    fitter.add(np.frombuffer(b"".join(batch.column(1).slice(a, b - a).to_pylist()), dtype=np.int16).reshape(-1, WINDOW + 1))
+                        at, fitter = int(shard[a]), attention.Fitter(start, prior, RATES[r], step)
+                    for run_ in batch.column(1).slice(a, b - a).to_pylist():
+                        waiting.append(run_)
+                        if len(waiting) == MIXED:
+                            fitter.add(mixed_windows(waiting))
+                            waiting.clear()
             if fitter is not None:
                 yield done()
 
@@ -351,8 +369,9 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
     # Compressed, since most cells are empty; each task makes its tables and lets go of them.
     given = spark.sparkContext.broadcast((zstandard.compress(cells["place"].to_numpy(dtype="<i4").tobytes(), 1), zstandard.compress(cells["n"].to_numpy(dtype="<f4").tobytes(), 1), path))
     del cells
-    windows = coded.where("kind = 3").select("hash", "data")
-    flat = fit_weights(windows, windows.count(), given)
+    runs = coded.where("kind = 3")
+    n_windows = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
+    flat = fit_weights(runs.select("data"), n_windows, given)
     scale = np.log10(n_train + distinct + 1)
     names = [c.split()[0] for c in RESULT.split(", ")]
 
