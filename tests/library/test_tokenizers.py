@@ -224,3 +224,9 @@ TREEBANK = {
 def test_treebank_words(spark):
     rows = spark.createDataFrame([(t,) for t in TREEBANK], "t string").select("t", T.treebank_words(F.col("t")).alias("w")).collect()
     assert {r.t: r.w for r in rows} == TREEBANK
+
+
+def test_a_part_is_measured_once():
+    asked = []
+    found = splitting.recursive_split("ab cd ef", 20, 0, lambda t: asked.append(t) or len(t))
+    assert found == ["ab cd ef"] and asked == ["ab", " cd", " ef"]
