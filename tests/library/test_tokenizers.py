@@ -226,6 +226,31 @@ def test_treebank_words(spark):
     assert {r.t: r.w for r in rows} == TREEBANK
 
 
+def test_far_sentences_are_not_compared_again(monkeypatch):
+    asked = []
+    plain = splitting.Matrix.to
+    monkeypatch.setattr(splitting.Matrix, "to", lambda self, a: asked.append(a) or plain(self, a))
+    words = pa.array([[f"a{i}", f"b{i}"] for i in range(100)] + [["a0", "b0", "c"], ["a1", "b1", "c"]])
+    assert splitting.topic_labels(words, 0.4) == [*range(100), 0, 1]
+    assert len(asked) < 20
+    assert splitting.topic_labels(words[:0], 0.4) == [] and splitting.topic_labels(words[:1], 0.4) == [0]
+
+
+def test_equally_near_sentences_keep_the_order_of_the_chain():
+    rng = np.random.default_rng(5)
+    none = 0
+    for _ in range(200):
+        n = int(rng.integers(2, 25))
+        words = pa.array([[str(x) for x in rng.integers(0, 5, size=rng.integers(1, 4))] for _ in range(n)])
+        sentence, word, count, n_words = splitting._counts(words)
+        unit = count / np.sqrt(np.bincount(sentence, weights=count * count, minlength=n))[sentence]
+        bags = [splitting.Bags(sentence, word, unit, n, n_words) for _ in range(2)]
+        want, got = splitting.linked(bags[0], 0.4), splitting.linked_below(bags[1], 0.4)
+        none += got is None
+        assert got in (None, want) and splitting.topic_labels(words, 0.4) == want
+    assert 0 < none < 200
+
+
 def test_a_part_is_measured_once():
     asked = []
     found = splitting.recursive_split("ab cd ef", 20, 0, lambda t: asked.append(t) or len(t))
