@@ -103,3 +103,24 @@ def test_every_id_is_fitted_once():
     want = collections.Counter((lm_scoring.END if k in (ends - sizes) else int(ids[k - 1]), int(ids[k])) for k in range(len(ids)))
     for got in (whole, mixed):
         assert collections.Counter((int(a), int(b)) for w in got for a, b in zip(w, w[1:]) if b >= 0) == want
+
+
+def test_words_of_a_block_are_few_rows_with_right_totals(spark):
+    some = [f"w{k} w{k} x{k % 7}" for k in range(20_000)]
+    docs = spark.createDataFrame([(k // 5, t) for k, t in enumerate(some)], "doc_id long, text string").repartition(3)
+    coded = lm_scoring.code(docs, public_path()).cache()
+    rows = coded.where("kind = 1").collect()
+    held = lambda k: zlib.crc32(str(k // 5).encode()) % 7 == 2
+    want = collections.Counter(w for k, t in enumerate(some) if not held(k) for w in t.split())
+    assert len(rows) <= 3 * lm_scoring.BUCKETS < sum(r.n for r in rows)  # a row for each word before
+    totals = lm_scoring.word_totals(coded).collect()
+    assert (sum(t.known for t in totals), sum(t.seen for t in totals)) == (len(want), sum(want.values()))
+    given, found = {(r.block, r.place): r for r in rows}, collections.defaultdict(set)
+    for t in totals:
+        r = given.pop((t.block, t.place))
+        hashes = np.frombuffer(zstandard.decompress(r.data), dtype=np.int64, count=r.n)
+        for h, n in zip(hashes.tolist(), np.frombuffer(zstandard.decompress(t.data), dtype=np.int64).tolist(), strict=True):
+            found[h].add(n)
+    assert not given and all(len(n) == 1 for n in found.values())
+    every = collections.Counter(want[w] for w in {w for t in some for w in t.split()})
+    assert collections.Counter(n for (n,) in found.values()) == every

@@ -15,8 +15,10 @@ fits its windows from the same weights, which are then averaged. So the weights
 the input is partitioned.
 
 Scale: texts are read once and become blocks of at most ``BLOCK_WORDS`` words, each with a
-dictionary of its distinct words. Word counts are summed over dictionaries, so a frequent word
-costs one row a block, and total counts go back to the blocks that hold the word. Only the id
+dictionary of its distinct words. Word counts are summed over dictionaries: a block's words, ascending by hash, are cut
+at the same ``BUCKETS`` ranges of hashes in all blocks, each a row; the rows of a range meet, and its total counts go back
+to the blocks, a row for each. So words cross one shuffle, as 8 bytes and a little for the count, and a range holds
+1 / ``BUCKETS`` of all dictionaries. Shuffles that nothing reads any more are let go of. Only the id
 counts (at most ``(PAIRS + SIZE) * SIZE`` cells, whatever the input) and averaged weights reach the
 driver; the cells of the prior, of bounded number, go to the tasks.
 
@@ -40,11 +42,13 @@ from pyspark.sql import functions as F
 
 from textmill.llm import attention
 from textmill.llm.attention import END, SIZE, WINDOW
-from textmill.llm.storage import materialize
+from textmill.llm.runs import sorted_runs
+from textmill.llm.storage import materialize, release
 from textmill.llm.subwords import in_slices, public_path
 from textmill.llm.vectext import word_hashes, words_of
 
 BLOCK_WORDS = 3_000_000
+BUCKETS = 4096  # ranges of word hashes, a power of two
 FIT_STRIDE = WINDOW
 RUN, MIXED = 64 * WINDOW, 256  # ids of a run; runs whose windows are mixed
 SHARD, MOST_SHARDS = 80_000, 4096
@@ -56,7 +60,8 @@ LONGEST = 8
 CHUNK_WORDS = 200_000
 SLICE = 1 << 21
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-CODED = "kind int, block long, doc_id long, held_out boolean, n long, place long, data binary, hash long, count long"
+CODED = "kind int, block long, doc_id long, held_out boolean, n long, place long, data binary, count long"
+TOTALS = "place long, block long, known long, seen long, data binary"
 
 
 def held_out(doc_id: Column, of: int = 7, remainder: int = 2) -> Column:
@@ -192,14 +197,14 @@ def text_ids(numbers: np.ndarray, each: np.ndarray, coded: np.ndarray, n: np.nda
 
 def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Rows of five kinds, in ``CODED``. 0: a text, its words as numbers in its block's dictionary.
-    1: a word of a block, with its count in training texts. 2: a count of an id in a context. 3: a run of ids
+    1: the words of a block in a range of hashes (``place``), as hashes and counts in training texts, compressed. 2: a count of an id in a context. 3: a run of ids
     of a training text, compressed, led by the id before, with its number of windows. 4: the number of ids and the ids of all words of a block, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=1)
         names = [c.split()[0] for c in CODED.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
         def rows(kind: int, size: int, **columns) -> pa.RecordBatch:
             columns["kind"] = np.full(size, kind, dtype=np.int32)
@@ -207,11 +212,14 @@ def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         def finish(block: Block, number: int) -> Iterator[pa.RecordBatch]:
             hashes, counts, coded, n, numbers, each = block.close()
-            own = np.full(max(len(each), len(hashes)), number)
+            own = np.full(len(each), number)
             upto = np.cumsum(each)
             small = [press.compress(numbers[b - m : b].tobytes()) for b, m in zip(upto, each)]
-            yield rows(0, len(each), block=own[: len(each)], doc_id=block.ids, held_out=block.held, n=each, data=small)
-            yield rows(1, len(hashes), block=own[: len(hashes)], place=np.arange(len(hashes)), hash=hashes, count=counts)
+            yield rows(0, len(each), block=own, doc_id=block.ids, held_out=block.held, n=each, data=small)
+            ranges, cuts = word_ranges(hashes)
+            spans = list(zip(cuts.tolist(), cuts[1:].tolist()))
+            raw, many = memoryview(hashes).cast("B"), memoryview(counts.astype(np.int32)).cast("B")
+            yield rows(1, len(ranges), block=own[:1].repeat(len(ranges)), place=ranges, n=np.diff(cuts), data=[press.compress(b"".join((raw[8 * a : 8 * b], many[4 * a : 4 * b]))) for a, b in spans])
             yield rows(4, 1, block=own[:1], n=[len(hashes)], data=[press.compress(n.astype(np.int32).tobytes() + coded.tobytes())])
             learn = np.flatnonzero(~np.array(block.held, dtype=bool))
             cells = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
@@ -243,6 +251,35 @@ def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, CODED)
 
 
+def word_ranges(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ranges of ascending hashes, and where each begins (and the end)."""
+    of = hashes >> (64 - (BUCKETS.bit_length() - 1))
+    begins = np.flatnonzero(np.diff(of, prepend=np.iinfo(np.int64).min))
+    return of[begins], np.append(begins, len(of))
+
+
+def word_totals(coded: DataFrame) -> DataFrame:
+    """Total counts of the words of each block's ranges, in ``TOTALS``, in the order of hashes, compressed; on one row of each
+    range also how many of its words were seen in training (``known``) and how often (``seen``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for table, begins in sorted_runs(batches, 1):
+            sizes, blobs = table.column("n").to_numpy(), table.column("data").to_pylist()
+            known, seen, data = np.zeros(len(blobs), dtype=np.int64), np.zeros(len(blobs), dtype=np.int64), []
+            for a, b in zip(begins.tolist(), begins[1:].tolist()):
+                plain = [open_.decompress(x) for x in blobs[a:b]]
+                hashes = np.concatenate([np.frombuffer(x, dtype=np.int64, count=m) for x, m in zip(plain, sizes[a:b])])
+                counts = np.concatenate([np.frombuffer(x, dtype=np.int32, offset=8 * m) for x, m in zip(plain, sizes[a:b])])
+                every, where = np.unique(hashes, return_inverse=True)
+                total = np.bincount(where, weights=counts, minlength=len(every)).astype(np.int64)
+                known[a], seen[a] = (total > 0).sum(), total.sum()
+                data += [press.compress(x.tobytes()) for x in np.split(total[where], np.cumsum(sizes[a : b - 1]))]
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("place", "block")), pa.array(known), pa.array(seen), pa.array(data, pa.binary())], ["place", "block", "known", "seen", "data"])
+
+    return coded.where("kind = 1").select("place", "block", "n", "data").repartition("place").sortWithinPartitions("place", "block").mapInArrow(run, TOTALS)
+
+
 def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The sum of two tables of (cells, counts)."""
     some, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
@@ -359,12 +396,12 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
     spark = docs.sparkSession
     path = tokenizer_path or public_path()
     coded = materialize(code(docs, path), "lm-coded")
-    words = coded.where("kind = 1")
-    totals = words.where("count > 0").groupBy("hash").agg(F.sum("count").alias("total"))
-    sums = totals.agg(F.count("*").alias("v"), F.sum("total").alias("n")).first()
+    totals = materialize(word_totals(coded), "lm-totals")
+    sums = totals.agg(F.sum("known").alias("v"), F.sum("seen").alias("n")).first()
+    release(spark)
     texts = coded.where("kind = 0").agg(F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     n_ends = texts["ends"]
-    n_train, distinct = (sums["n"] or 0) + n_ends, sums["v"] + (n_ends > 0)
+    n_train, distinct = (sums["n"] or 0) + n_ends, (sums["v"] or 0) + (n_ends > 0)
     cells = coded.where("kind = 2").groupBy("place").agg(F.sum("count").alias("n")).select(F.col("place").cast("int").alias("place"), F.col("n").cast("float").alias("n")).toPandas().sort_values("place")
     # Compressed, since most cells are empty; each task makes its tables and lets go of them.
     given = spark.sparkContext.broadcast((zstandard.compress(cells["place"].to_numpy(dtype="<i4").tobytes(), 1), zstandard.compress(cells["n"].to_numpy(dtype="<f4").tobytes(), 1), path))
@@ -372,6 +409,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
     runs = coded.where("kind = 3")
     n_windows = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
     flat = fit_weights(runs.select("data"), n_windows, given)
+    release(spark)
     scale = np.log10(n_train + distinct + 1)
     names = [c.split()[0] for c in RESULT.split(", ")]
 
@@ -379,14 +417,13 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
         scorer = attention.Scorer(flat, prior_of(given))
         right = right.combine_chunks()
         open_ = zstandard.ZstdDecompressor()
-        is_word = right.column("data").is_null()
-        dictionary, right = right.filter(pc.invert(is_word)), right.filter(is_word)
-        size = dictionary.column("place")[0].as_py() if len(dictionary) else 0
+        is_word = right.column("size").is_null()
+        dictionary, right = right.filter(pc.invert(is_word)), right.filter(is_word).sort_by("place")
+        size = dictionary.column("size")[0].as_py() if len(dictionary) else 0
         plain = open_.decompress(dictionary.column("data")[0].as_py()) if size else b""
         n = np.frombuffer(plain, dtype=np.int32, count=size).astype(np.int64)
         pieces_ = np.frombuffer(plain, dtype=np.uint16, offset=4 * size)
-        known = np.zeros(size)
-        known[right.column("place").to_numpy()] = right.column("total").to_numpy()
+        known = np.concatenate([np.empty(0, dtype=np.int64), *(np.frombuffer(open_.decompress(x), dtype=np.int64) for x in right.column("data").to_pylist())])
         logs = np.log10(known + 1)
         each = left.column("n").to_numpy()
         raw = left.column("words").to_pylist()
@@ -406,8 +443,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
         n_known += n_ends > 0
         return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(each + 1), pa.array(n_known), pa.array(np.full(len(each), n_train)), pa.array(base), pa.array(score)], names)
 
-    counted = words.select("hash", "block", "place").join(totals, "hash").select("block", "place", "total", F.lit(None).cast("binary").alias("data"))
-    dictionaries = coded.where("kind = 4").select("block", F.col("n").alias("place"), F.lit(0).cast("long").alias("total"), "data")
-    counted = counted.unionByName(dictionaries)
+    dictionaries = coded.where("kind = 4").select("block", F.lit(None).cast("long").alias("place"), F.col("n").alias("size"), "data")
+    counted = totals.select("block", "place", F.lit(None).cast("long").alias("size"), "data").unionByName(dictionaries)
     rows = coded.where("kind = 0").select(F.col("block").alias("of"), "doc_id", "held_out", "n", F.col("data").alias("words"))
     return rows.groupBy("of").cogroup(counted.groupBy("block")).applyInArrow(run, RESULT)
