@@ -56,6 +56,16 @@ def test_packing_keeps_few_pieces_in_a_worker():
         assert k not in (0, 300_000) or ids.tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_alone_keeps_pieces_from_task_to_task(spark, sf):
+    def known(batches):
+        from textmill.llm.subwords import encoder
+
+        yield from (pa.RecordBatch.from_pydict({"n": [len(encoder(public_path(), packing.ALONE).known)]}) for _ in batches)
+
+    packing.pieces(spark.read.parquet(f"{sf}/documents.parquet").repartition(16), public_path(), alone=True).count()
+    assert max(r.n for r in spark.range(64).repartition(16).mapInArrow(known, "n long").collect()) > 0
+
+
 def check_packing(rows, want):
     sequences, got = defaultdict(list), defaultdict(list)
     for r in rows:

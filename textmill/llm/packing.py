@@ -33,7 +33,7 @@ from textmill.llm.subwords import encoder, in_slices, public_path
 CAPACITY = 1024
 END_ID = 2
 SLICE = 1 << 20
-KEPT = 300_000  # pieces that a worker knows at a time; the results do not depend on it
+KEPT, ALONE = 300_000, 700_000  # pieces that a worker knows at a time, the second where packing runs alone; the results do not depend on it
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 
 
@@ -59,13 +59,14 @@ def ranks_in(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return rank
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece of each document, with the writing task and the rank inside it."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, alone: bool = False) -> DataFrame:
+    """One row per piece of each document, with the writing task and the rank inside it. ``alone``: a worker does nothing
+    else, so it keeps more pieces, from task to task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        coder = encoder(tokenizer_path, KEPT)
+        coder = encoder(tokenizer_path, ALONE if alone else KEPT)
         for batch, texts in in_slices(batches, "text", SLICE):
             ids, n = coder.encode(texts)
             ends = np.cumsum(n)
@@ -80,7 +81,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(ranks_in(length, seen), pa.int64())],
                 [x.split()[0] for x in PIECES.split(", ")],
             )
-        coder.clear()
+        if not alone:
+            coder.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
@@ -155,10 +157,10 @@ def places(bins: list[tuple[int, list[int]]], capacity: int) -> tuple[np.ndarray
     return table[:, 0], table[:, 1], table[:, 2]
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pack ``docs`` (doc_id, text): one row per piece with its ``sequence_id`` and ``offset``."""
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, alone: bool = False) -> DataFrame:
+    """Pack ``docs`` (doc_id, text): one row per piece with its ``sequence_id`` and ``offset``; ``alone`` as in ``pieces``."""
     with batches_of(docs.sparkSession, 2000):  # whole texts: fewer at a time, for memory
-        cut = materialize(pieces(docs, tokenizer_path or public_path(), capacity, end_id), "pieces")
+        cut = materialize(pieces(docs, tokenizer_path or public_path(), capacity, end_id, alone), "pieces")
     per_task = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows

@@ -13,7 +13,7 @@ from textmill.session import table
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), alone=True)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
