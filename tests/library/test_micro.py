@@ -309,3 +309,16 @@ def test_a_large_batch_is_given_in_slices():
 
     assert lifted.sliced(batch, seen).equals(S.adjacent_similarities(batch))
     assert len(most) > 1 and max(most) <= 1 << 21
+
+
+def test_tfidf_shuffles_texts_not_their_counts(spark):
+    import re
+
+    from textmill.operators import lexical
+
+    rows = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, "aa dd"), (3, None)], "chunk_id long, text string")
+    made = lexical.vectors(rows, lexical.vocabulary(rows))
+    found = set(re.findall(r"hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", made._jdf.queryExecution().executedPlan().toString())))
+    assert found == {"chunk_id", "term"}
+    got = {(r.chunk_id, r.term_id): r.weight for r in made.collect()}
+    assert got.keys() == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 3)} and got[1, 0] > got[1, 2] > 0

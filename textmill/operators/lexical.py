@@ -11,9 +11,9 @@ from textmill.functions.text import TERMS
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """The same plan for the vocabulary and the vectors (a join would add the filter to one of them), so that
-    Spark counts once and reuses the shuffle."""
-    terms = rows.select("chunk_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0))).alias("term")).where("term is not null")
+    """Texts cross one shuffle, by chunk, which the vocabulary and the vectors share; counts by chunk and term, and the norms by
+    chunk, then need no other one, and a text is smaller than its counts."""
+    terms = rows.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0))).alias("term")).where("term is not null")
     return terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
