@@ -79,3 +79,12 @@ def test_fit_learns_what_pairs_do_not_tell():
     flat = a.fit(a.fit(flat, windows[200:], prior, 0.01), windows[200:], prior, 0.01)
     after, _ = a.loss_and_gradient(flat, windows[:200, :-1], windows[:200, 1:], prior)
     assert after < before - 0.2, (before, after)
+
+
+def test_gradient_of_large_logits():
+    flat, prior = model()
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, a.SIZE, (2, a.WINDOW)), rng.integers(0, a.SIZE, (2, a.WINDOW))
+    for factor in (1, 12):  # the second leaves the range of float32 unless the largest are taken off
+        (low, g), (high, exact) = (a.loss_and_gradient((flat * factor).astype(kind), x, y, prior) for kind in (np.float32, np.float64))
+        assert np.isfinite(g).all() and abs(low - high) < 1e-3 * high and np.abs(g - exact).max() < 2e-3 * np.abs(exact).max()

@@ -1,12 +1,13 @@
 import collections
 import math
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
-from textmill.llm import lm_scoring, queries
+from textmill.llm import lm_scoring, queries, storage
 from textmill.llm.subwords import public_path
 from textmill.llm.vectext import words_of
 
@@ -124,3 +125,12 @@ def test_words_of_a_block_are_few_rows_with_right_totals(spark):
     assert not given and all(len(n) == 1 for n in found.values())
     every = collections.Counter(want[w] for w in {w for t in some for w in t.split()})
     assert collections.Counter(n for (n,) in found.values()) == every
+
+
+def test_rows_that_are_done_with_take_no_disk(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(storage, "new_path", lambda session, name, f=storage.new_path: paths.append(f(session, name)) or paths[-1])
+    scored = lm_scoring.score_texts(spark.read.parquet(f"{SF}/documents.parquet"))
+    (coded,) = [p.removeprefix("file://") for p in paths if "lm-coded" in p]
+    assert {d for d in os.listdir(coded) if d.startswith("kind=")} == {"kind=0", "kind=4"}  # all kinds stayed before
+    assert scored.count() == spark.read.parquet(f"{SF}/documents.parquet").count()

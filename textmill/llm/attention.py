@@ -96,20 +96,11 @@ class Prior:
         return out
 
 
-def _softmax(a: np.ndarray) -> np.ndarray:
-    a -= a.max(axis=-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=-1, keepdims=True)
-    return a
-
-
-def _shares(logits: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Softmax of ``logits`` on top of the shares of a prior."""
-    logits -= logits.max(axis=-1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits *= prior
-    logits /= logits.sum(axis=-1, keepdims=True)
-    return logits
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """In place; where exponents could leave the range, the largest of each row becomes 0."""
+    if logits.max(initial=0) > 30 or logits.min(initial=0) < -40:
+        logits -= logits.max(axis=-1, keepdims=True)
+    return np.exp(logits, out=logits)
 
 
 class Scorer:
@@ -196,54 +187,68 @@ class Scorer:
 
 def loss_and_gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, prior: Prior) -> tuple[float, np.ndarray]:
     """Mean negative log probability of ``y`` (n, WINDOW), where negative ids are left out, after
-    ``x`` (n, WINDOW), and its gradient."""
-    w = unpack(flat)
-    g = unpack(np.zeros_like(flat))
-    scale = flat.dtype.type(WIDTH**-0.5)
-    e = w["ids"][x] + w["places"]
-    q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
-    a = _softmax(q @ k.transpose(0, 2, 1) * scale + FUTURE.astype(flat.dtype))
-    mixed = a @ v
-    h = (e + mixed @ w["o"]).reshape(-1, WIDTH)
+    ``x`` (n, WINDOW), and its gradient. Softmaxes stay undivided, so that few passes go over their weights: the sums divide what is multiplied with them."""
+    w, grad = unpack(flat), np.zeros_like(flat)
+    g, n, kind = unpack(grad), len(x), flat.dtype.type
+    scale = kind(WIDTH**-0.5)
+    e = (np.take(w["ids"], x, axis=0) + w["places"]).reshape(-1, WIDTH)
+    into = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
+    q, k, v = np.split((e @ into).reshape(n, WINDOW, -1), 3, axis=2)
+    v1 = np.concatenate([v, np.ones((n, WINDOW, 1), dtype=flat.dtype)], axis=2)
+    a = q @ k.transpose(0, 2, 1)
+    wide = max(a.max(initial=0), -a.min(initial=0)) > 40
+    a += FUTURE.astype(flat.dtype, copy=False)
+    if wide:
+        a -= a.max(axis=-1, keepdims=True)
+    np.exp(a, out=a)
+    mixed = a @ v1
+    total = mixed[:, :, WIDTH:]
+    mixed = (mixed[:, :, :WIDTH] / total).reshape(-1, WIDTH)
+    h = e + mixed @ w["o"]
     keep = np.flatnonzero(y.ravel() >= 0)
-    keep = keep[np.argsort(y.ravel()[keep] // SIDE, kind="stable")]  # by class, whose members then are one matrix
-    pair = pair_of(x, np.concatenate([np.full((len(x), 1), END), x[:, :-1]], axis=1), prior.begins_word)
-    hk, lk, zk, yk = h[keep], x.ravel()[keep].astype(np.int64), pair.ravel()[keep], y.ravel()[keep].astype(np.int64)
-    c, m, rows = yk // SIDE, yk % SIDE, np.arange(len(keep))
-    pc = _shares(hk @ w["classes"].T, prior.classes(lk, zk))
-    bounds = np.searchsorted(c, np.arange(SIDE + 1))
+    keep = keep[np.argsort((y.ravel()[keep] // SIDE).astype(np.uint8), kind="stable")]  # by class, whose members then are one matrix
+    pair = pair_of(x, np.concatenate([np.full((n, 1), END), x[:, :-1]], axis=1), prior.begins_word)
+    hk, lk, zk, yk = np.take(h, keep, axis=0), x.ravel()[keep].astype(np.int64), pair.ravel()[keep], y.ravel()[keep].astype(np.int64)
+    c = yk // SIDE
+    bounds = np.searchsorted(c, np.arange(SIDE + 1)).tolist()
     spans = [(slice(a_, b_), slice(i * SIDE, (i + 1) * SIDE)) for i, (a_, b_) in enumerate(zip(bounds, bounds[1:])) if a_ < b_]
-    logits = np.empty((len(keep), SIDE), dtype=flat.dtype)
+    pc = _exp(hk @ w["classes"].T)
+    pc *= prior.classes(lk, zk)
+    pm = np.empty((len(keep), SIDE), dtype=flat.dtype)
     for some, own in spans:
-        np.matmul(hk[some], w["members"][own].T, out=logits[some])
-    pm = _shares(logits, prior.members(lk, zk, c))
-    loss = -np.mean(np.log(np.maximum(pc[rows, c], 1e-30)) + np.log(np.maximum(pm[rows, m], 1e-30)))
-    pc[rows, c] -= 1
-    pm[rows, m] -= 1
-    pc /= len(keep)
-    pm /= len(keep)
+        np.matmul(hk[some], w["members"][own].T, out=pm[some])
+    pm = _exp(pm)
+    pm *= prior.members(lk, zk, c)
+    loss, at, one = 0.0, np.arange(len(keep)) * SIDE, np.ones(SIDE, dtype=flat.dtype)
+    for p, own in ((pc, c), (pm, yk % SIDE)):
+        sums = p @ one
+        loss -= np.mean(np.log(np.maximum(np.take(p.ravel(), at + own) / sums, 1e-30)))
+        p *= (1 / (sums * kind(len(keep))))[:, None]
+        p.ravel()[at + own] -= kind(1 / len(keep))
     g["classes"][:] = pc.T @ hk
     dhk = pc @ w["classes"]
     for some, own in spans:
-        g["members"][own] = pm[some].T @ hk[some]
+        np.matmul(pm[some].T, hk[some], out=g["members"][own])
         dhk[some] += pm[some] @ w["members"][own]
     dh = np.zeros_like(h)
     dh[keep] = dhk
-    dh = dh.reshape(e.shape)
-    flat2 = lambda z: z.reshape(-1, WIDTH)
-    g["o"][:] = flat2(mixed).T @ flat2(dh)
+    np.matmul(mixed.T, dh, out=g["o"])
+    # The gradient of a logit is a / total * (dmixed . v - dmixed . mixed): one product of rows with a place more.
     dmixed = dh @ w["o"].T
-    da = dmixed @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dmixed
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    de = dh.copy()
-    for name, dz in (("q", dq), ("k", dk), ("v", dv)):
-        g[name][:] = flat2(e).T @ flat2(dz)
-        de += dz @ w[name].T
-    g["ids"][:] = np.stack([np.bincount(x.ravel(), weights=z, minlength=SIZE) for z in flat2(de).T], axis=1)
-    g["places"][:] = de.sum(axis=0)
-    return float(loss), np.concatenate([g[n].ravel() for n in SHAPES])
+    d1 = np.concatenate([dmixed, -(dmixed * mixed).sum(axis=1, keepdims=True)], axis=1).reshape(n, WINDOW, -1) / total
+    dinto = np.empty((n, WINDOW, 3 * WIDTH), dtype=flat.dtype)
+    np.matmul(a.transpose(0, 2, 1), d1[:, :, :WIDTH], out=dinto[:, :, 2 * WIDTH :])
+    a *= d1 @ v1.transpose(0, 2, 1)
+    np.matmul(a, k, out=dinto[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), q, out=dinto[:, :, WIDTH : 2 * WIDTH])
+    dinto = dinto.reshape(-1, 3 * WIDTH)
+    g["q"][:], g["k"][:], g["v"][:] = np.split(e.T @ dinto, 3, axis=1)
+    g["q"][:] *= scale
+    de = dh
+    de += dinto @ into.T
+    g["ids"].ravel()[:] = np.bincount((x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), weights=de.ravel(), minlength=SIZE * WIDTH)
+    g["places"][:] = de.reshape(n, WINDOW, WIDTH).sum(axis=0)
+    return float(loss), grad
 
 
 class Fitter:
@@ -269,7 +274,10 @@ class Fitter:
         self.t += 1
         _, g = loss_and_gradient(self.flat, np.maximum(rows[:, :-1], 0), rows[:, 1:], self.prior)
         self.m += (g - self.m) * np.float32(0.1)
-        self.s += (g * g - self.s) * np.float32(0.02)
+        g *= g
+        g -= self.s
+        g *= np.float32(0.02)
+        self.s += g
         self.flat -= self.rate * (self.m / (1 - 0.9**self.t)).astype(np.float32) / (np.sqrt(self.s / (1 - 0.98**self.t)).astype(np.float32) + np.float32(1e-8))
 
 

@@ -18,7 +18,7 @@ Scale: texts are read once and become blocks of at most ``BLOCK_WORDS`` words, e
 dictionary of its distinct words. Word counts are summed over dictionaries: a block's words, ascending by hash, are cut
 at the same ``BUCKETS`` ranges of hashes in all blocks, each a row; the rows of a range meet, and its total counts go back
 to the blocks, a row for each. So words cross one shuffle, as 8 bytes and a little for the count, and a range holds
-1 / ``BUCKETS`` of all dictionaries. Shuffles that nothing reads any more are let go of. Only the id
+1 / ``BUCKETS`` of all dictionaries. Shuffles and kinds of rows that nothing reads any more are let go of. Only the id
 counts (at most ``(PAIRS + SIZE) * SIZE`` cells, whatever the input) and averaged weights reach the
 driver; the cells of the prior, of bounded number, go to the tasks.
 
@@ -43,11 +43,11 @@ from pyspark.sql import functions as F
 from textmill.llm import attention
 from textmill.llm.attention import END, SIZE, WINDOW
 from textmill.llm.runs import sorted_runs
-from textmill.llm.storage import materialize, release
-from textmill.llm.subwords import in_slices, public_path
+from textmill.llm.storage import discard, materialize, release
+from textmill.llm.subwords import give_back, in_slices, public_path
 from textmill.llm.vectext import word_hashes, words_of
 
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_200_000
 BUCKETS = 4096  # ranges of word hashes, a power of two
 FIT_STRIDE = WINDOW
 RUN, MIXED = 64 * WINDOW, 256  # ids of a run; runs whose windows are mixed
@@ -78,6 +78,8 @@ class Pieces:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.tables = {}
+        # By the next two bytes: the ids of the first and of both (-1 if none), and the size of the longest piece that begins so.
+        self.one, self.two, self.longest = np.zeros(1 << 16, dtype=np.uint16), np.full(1 << 16, -1, dtype=np.int32), np.ones(1 << 16, dtype=np.uint8)
         self.begins_word = np.zeros(SIZE, dtype=bool)
         self.begins_word[END] = True
         for size in range(1, LONGEST + 1):
@@ -85,6 +87,12 @@ class Pieces:
             if rows:
                 keys, ids = np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.uint16)
                 self.tables[size] = keys, ids
+                if size == 1:
+                    self.one.reshape(256, 256)[:, keys.astype(np.int64)] = ids
+                else:
+                    self.longest[(keys & np.uint64(0xFFFF)).astype(np.int64)] = size
+                if size == 2:
+                    self.two[keys.astype(np.int64)] = ids
                 self.begins_word[ids[keys & np.uint64(0xFF) == 0x20]] = True
 
     def cut(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +102,18 @@ class Pieces:
         while len(left):
             here = w8[at]
             room = ends[left] - at
-            ids, took = np.zeros(len(left), dtype=np.uint16), np.zeros(len(left), dtype=np.int64)
-            open_ = np.arange(len(left))
-            for size in sorted(self.tables, reverse=True):
-                keys, values = self.tables[size]
-                code = here[open_] & np.uint64((1 << 8 * size) - 1)
-                k = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-                ok = (keys[k] == code) & (room[open_] >= size)
-                ids[open_[ok]], took[open_[ok]] = values[k[ok]], size
-                open_ = open_[~ok]
+            next_ = (here & np.uint64(0xFFFF)).astype(np.int64)
+            ids, two, most = self.one[next_], self.two[next_], np.minimum(self.longest[next_], room)
+            both = (two >= 0) & (room > 1)
+            ids[both] = two[both]
+            took = both + np.int64(1)
+            for size, (keys, values) in self.tables.items():  # a longer piece takes the place of a shorter one
+                if size > 2:
+                    open_ = np.flatnonzero(most >= size)
+                    code = here[open_] & np.uint64((1 << 8 * size) - 1)
+                    k = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+                    ok = keys[k] == code
+                    ids[open_[ok]], took[open_[ok]] = values[k[ok]], size
             rounds.append((left, ids))
             at = at + took
             more = at < ends[left]
@@ -174,9 +185,11 @@ class Block:
     def close(self) -> tuple[np.ndarray, ...]:
         """Per distinct word: hash, count in training texts, ids and number of ids; then for all texts
         the words' numbers, how many words each text has, and whether each word is for training."""
-        every, first, where = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
         begins = np.cumsum([0, *(len(h) for h in self.hashes)])
-        numbers = np.concatenate([where[b + i] for b, i in zip(begins, self.inverse)]).astype(np.int32)
+        every, first, where = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        where = where.astype(np.int32)
+        numbers = np.concatenate([where[b:][i] for b, i in zip(begins.tolist(), self.inverse)])
+        self.hashes, self.inverse = [], []
         n = np.concatenate(self.lengths)
         at = np.cumsum(n) - n
         coded = np.concatenate(self.coded)[spread(at[first], n[first])]
@@ -245,8 +258,11 @@ def code(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             if block.n_words >= BLOCK_WORDS:
                 yield from finish(block, (part << 20) + k)
                 block, k = Block(pieces(tokenizer_path)), k + 1
+                give_back()
         if block.ids:
             yield from finish(block, (part << 20) + k)
+        del block
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, CODED)
 
@@ -370,6 +386,8 @@ def fit_weights(windows: DataFrame, n_windows: int, given) -> np.ndarray:
                             waiting.clear()
             if fitter is not None:
                 yield done()
+            del fitter, prior
+            give_back()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -388,6 +406,8 @@ def fit_weights(windows: DataFrame, n_windows: int, given) -> np.ndarray:
         averaged = fitted.repartition(SLICES, "slice").sortWithinPartitions("slice", "shard").mapInArrow(add, "slice int, data binary").collect()
         if averaged:
             flat = np.concatenate([np.frombuffer(x["data"]) for x in sorted(averaged, key=lambda x: x["slice"])]).astype(np.float32)
+        del own, fitted, averaged
+        release(windows.sparkSession)
     return flat
 
 
@@ -395,9 +415,10 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
     """Scores of every row of ``docs`` (doc_id, text), in ``RESULT``."""
     spark = docs.sparkSession
     path = tokenizer_path or public_path()
-    coded = materialize(code(docs, path), "lm-coded")
+    coded = materialize(code(docs, path), "lm-coded", by="kind")
     totals = materialize(word_totals(coded), "lm-totals")
     sums = totals.agg(F.sum("known").alias("v"), F.sum("seen").alias("n")).first()
+    discard(coded, part="kind=1")
     release(spark)
     texts = coded.where("kind = 0").agg(F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     n_ends = texts["ends"]
@@ -409,7 +430,8 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
     runs = coded.where("kind = 3")
     n_windows = runs.agg(F.sum("n").alias("n")).first()["n"] or 0
     flat = fit_weights(runs.select("data"), n_windows, given)
-    release(spark)
+    for done in (2, 3):
+        discard(coded, part=f"kind={done}")
     scale = np.log10(n_train + distinct + 1)
     names = [c.split()[0] for c in RESULT.split(", ")]
 
@@ -439,6 +461,8 @@ def score_texts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
                 out[a:b] = np.diff(reached)
             ids, stops = text_ids(numbers, each[a:b], pieces_, n)
             score[a:b] = np.add.reduceat(scorer.ids(ids, stops), np.concatenate([[0], stops[:-1]]), dtype=np.float64) / np.log(10)
+        del scorer
+        give_back()
         base += np.log10(n_ends + 1) - (each + 1) * scale
         n_known += n_ends > 0
         return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(each + 1), pa.array(n_known), pa.array(np.full(len(each), n_train)), pa.array(base), pa.array(score)], names)

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +33,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``materialize`` that nothing reads any more. A failure to delete is no error."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more, or of them the rows of one value (``part``: "column=value") of the
+    column that they were written ``by``. A failure to delete is no error."""
     for table in tables:
         spark = table.sparkSession
         for uri in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if uri.endswith(f"/{part}" if part else ""):
+                path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,20 +52,25 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it is open, Python gets ``rows`` rows at a time: for rows that may be large each."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """While it is open, the session's setting has that value."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def batches_of(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """While it is open, Python gets ``rows`` rows at a time: for rows that may be large each."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def materialize(df: DataFrame, name: str, by: str = "") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs no recomputation of what came before."""
+    so a lost executor costs no recomputation of what came before. ``by``: a column of few values, each with files of its own."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "8"):  # else rows are sorted by the column first
+        df.write.partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
