@@ -226,6 +226,21 @@ def test_treebank_words(spark):
     assert {r.t: r.w for r in rows} == TREEBANK
 
 
+def test_treebank_rules_that_cannot_match_are_left_out(spark, monkeypatch):
+    plain = spark.createDataFrame([("Some words, and more. Ein Mann kommt (bitte) immer.",), ("a",), (".",), ("",), (None,)], "t string")
+    rows = spark.createDataFrame([(t + end,) for t in (*TREEBANK, "x", "I'll", "CANNOT", "a -- b", "gimme", "``q``", "wanna") for end in ("", ".", "..", ". ", ",", "'", '"', "\n", ".)")], "t string")
+    # All rules, one after another, as they were applied to each sentence before.
+    every = F.filter(F.split(T._ruled(F.col("t"), slice(0, None)), r"[ \t-\r]+"), lambda w: w != "")
+    for r in rows.union(plain).select("t", T.treebank_words(F.col("t")).alias("got"), every.alias("want")).collect():
+        assert r.got == r.want, r.t
+    search, needless = F.regexp_replace, {p for p, _ in (*T.TREEBANK[:4], *T.TREEBANK[7:])}
+    monkeypatch.setattr(F, "regexp_replace", lambda text, p, put: F.concat(text, F.lit(" searched")) if p in needless else search(text, p, put))
+    got = plain.where("t is null or not contains(t, '. ')").select(T.treebank_words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [["a"], ["."], [], None]
+    got = spark.createDataFrame([("Ein Mann, bitte; immer (so).",)], "t string").select(T.treebank_words(F.col("t")).alias("w")).first()
+    assert got.w == ["Ein", "Mann", ",", "bitte", ";", "immer", "(", "so", ")", "."]
+
+
 def test_far_sentences_are_not_compared_again(monkeypatch):
     asked = []
     plain = splitting.Matrix.to
