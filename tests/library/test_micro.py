@@ -1,6 +1,7 @@
 """Hand-checked small cases."""
 
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -322,3 +323,21 @@ def test_tfidf_shuffles_texts_not_their_counts(spark):
     assert found == {"chunk_id", "term"}
     got = {(r.chunk_id, r.term_id): r.weight for r in made.collect()}
     assert got.keys() == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 3)} and got[1, 0] > got[1, 2] > 0
+
+
+def test_points_against_joined_vectors(spark):
+    """Both vectors of points, also of chunks that share an id, have no terms or hold letters whose lower case depends on their neighbours."""
+    from textmill.operators import lexical
+
+    texts = ["aa bb aa", "bb cc", "ΟΔΟΣ οδος İX ix", "", None, "a . b", "zz " * 30 + "aa"]
+    rows = spark.createDataFrame([("s", "c1" if i < 2 else f"c{i}", "d", t, "{}") for i, t in enumerate(texts)], "strategy string, chunk_id string, doc_id string, text string, metadata string")
+    keyed = rows.select(F.concat_ws("/", "strategy", "chunk_id").alias("chunk_id"), "text")
+    terms = lexical.vocabulary(keyed)
+    assert [tuple(r)[:4] for r in terms.orderBy("term_id").collect()] == [(0, "aa", 2, 3), (1, "bb", 1, 2), (2, "cc", 1, 1), (3, "ix", 1, 2), (4, "zz", 1, 30), (5, "οδος", 1, 1), (6, "οδοσ", 1, 1)]
+    assert {r.idf for r in terms.where("df = 2").collect()} == {round(math.log(8 / 3) + 1, 9)}
+    want = {r.chunk_id: (r.indices, r["values"]) for r in lexical.sparse(lexical.vectors(keyed, terms)).collect()}
+    made = embedding.points(rows, terms).collect()
+    assert len(made) == len(texts) and len(want) == 3
+    dense = {r.text: r.vector for r in embedding.embed(rows).collect()}
+    for r in made:
+        assert (r.indices, r["values"]) == want.get(f"s/{r.payload.original_chunk_id}", ([], [])) and r.vector == dense[r.payload.text]

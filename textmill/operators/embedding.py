@@ -12,41 +12,58 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from textmill.functions.text import TERMS
 from textmill.operators import lexical
 
 WIDTH = 64
 BATCH = 1000
+KNOWN = 400_000
 Encoder = Callable[[list[str]], np.ndarray]
-_TERMS = regex.compile(TERMS)
 
 
 class HashingEncoder:
     """Counts of lower-case terms at a place and with a sign by their MD5, brought to length one."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known: dict[str, int] = {}
 
-    def _feature(self, term: str) -> tuple[int, float]:
-        if term not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
+    def _feature(self, term: str) -> int:
+        """Twice the place of a term, and one more if its sign is minus. The first ``KNOWN`` terms are kept, among them those that come often."""
+        found = self.known.get(term)
+        if found is None:
             digest = hashlib.md5(term.encode()).digest()
-            self.known[term] = digest[0] % WIDTH, 1.0 if digest[1] < 128 else -1.0
-        return self.known[term]
+            found = 2 * (digest[0] % WIDTH) + (digest[1] >= 128)
+            if len(self.known) < KNOWN:
+                self.known[term] = found
+        return found
+
+    def of_terms(self, n: int, row: np.ndarray, code: np.ndarray, words: pa.Array) -> np.ndarray:
+        """The vectors of ``n`` texts with terms as given by ``lexical.found_terms``: each word is looked up once."""
+        feature = np.fromiter(map(self._feature, words.to_numpy(zero_copy_only=False).tolist()), dtype=np.int64, count=len(words))[code]
+        place = row * WIDTH + feature // 2
+        out = np.bincount(place, 1.0 - 2 * (feature % 2), minlength=n * WIDTH).astype(np.float64).reshape(-1, WIDTH)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm == 0, 1, norm)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), WIDTH))
-        for row, text in zip(out, texts):
-            for term in _TERMS.findall(text.lower()):
-                at, sign = self._feature(term)
-                row[at] += sign
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+        return self.of_terms(len(texts), *lexical.found_terms(pa.array(texts, pa.large_string())))
+
+
+def _with_vector(batch: pa.RecordBatch, found: np.ndarray) -> pa.RecordBatch:
+    found = np.asarray(found, dtype=np.float64)
+    offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+    return batch.append_column("vector", pa.ListArray.from_arrays(offsets, pa.array(found.ravel())))
+
+
+def _embedded(batch: pa.RecordBatch, text: str, encoder: Encoder) -> Iterator[pa.RecordBatch]:
+    for some in (batch.slice(i, BATCH) for i in range(0, batch.num_rows, BATCH)):
+        yield _with_vector(some, encoder([t or "" for t in some.column(some.schema.get_field_index(text)).to_pylist()]))
+
+
+VECTOR = StructField("vector", ArrayType(DoubleType()))
 
 
 def embed(rows: DataFrame, text: str = "text", factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
@@ -55,13 +72,10 @@ def embed(rows: DataFrame, text: str = "text", factory: Callable[[], Encoder] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            for some in (batch.slice(i, BATCH) for i in range(0, batch.num_rows, BATCH)):
-                encoder = encoder or factory()
-                found = np.asarray(encoder([t or "" for t in some.column(some.schema.get_field_index(text)).to_pylist()]), dtype=np.float64)
-                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
-                yield some.append_column("vector", pa.ListArray.from_arrays(offsets, pa.array(found.ravel())))
+            encoder = encoder or factory()
+            yield from _embedded(batch, text, encoder)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("vector", ArrayType(DoubleType()))]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, VECTOR]))
 
 
 def dimension(factory: Callable[[], Encoder] = HashingEncoder) -> int:
@@ -78,12 +92,21 @@ def points(chunks: DataFrame, terms: DataFrame, factory: Callable[[], Encoder] =
     """``chunks`` (strategy, chunk_id, doc_id, text, metadata), ``terms`` as given by ``lexical.vocabulary`` -> the rows of an index:
     strategy, point_id, vector, indices and values of the sparse vector, and payload."""
     key = F.concat_ws("/", "strategy", "chunk_id")
-    rows = chunks.select("strategy", "chunk_id", "doc_id", "text", "metadata", key.alias("key"))
-    sparse = lexical.sparse(lexical.vectors(rows.select(F.col("key").alias("chunk_id"), "text"), terms)).withColumnRenamed("chunk_id", "key")
-    none = F.array().cast("array<int>"), F.array().cast("array<double>")
-    made = embed(rows, "text", factory).join(sparse, "key", "left")
+    rows = lexical.together(chunks.select("strategy", "chunk_id", "doc_id", "text", "metadata", key.alias("key")), "key")
+    weigh = lexical.weigher(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch, found in weigh(batches):
+            encoder = encoder or factory()
+            # An encoder of terms takes those that the sparse vectors are made of.
+            yield from [_with_vector(batch, encoder.of_terms(batch.num_rows, *found))] if hasattr(encoder, "of_terms") else _embedded(batch, "text", encoder)
+
+    # Texts are shuffled, once; both vectors of a text are made beside each other, and nothing is joined.
+    more = [StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType())), VECTOR]
+    made = rows.mapInArrow(run, StructType([*rows.schema.fields, *more]))
     payload = F.struct(F.col("chunk_id").alias("original_chunk_id"), "doc_id", "text", "metadata")
-    return made.select("strategy", point_id(F.col("key")).alias("point_id"), "vector", F.coalesce("indices", none[0]).alias("indices"), F.coalesce("values", none[1]).alias("values"), payload.alias("payload"))
+    return made.select("strategy", point_id(F.col("key")).alias("point_id"), "vector", "indices", "values", payload.alias("payload"))
 
 
 def write_collections(made: DataFrame, path: str) -> None:
