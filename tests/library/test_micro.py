@@ -341,3 +341,29 @@ def test_points_against_joined_vectors(spark):
     dense = {r.text: r.vector for r in embedding.embed(rows).collect()}
     for r in made:
         assert (r.indices, r["values"]) == want.get(f"s/{r.payload.original_chunk_id}", ([], [])) and r.vector == dense[r.payload.text]
+
+
+def test_cells_where_terms_cancel(spark, tmp_path):
+    """What the SQL gives where it divides 0 by 0, in cells and in results; also for an item whose terms cancel, and texts without terms."""
+    import duckdb
+
+    from textmill import catalog
+
+    of = {}
+    for n in range(4000):
+        place, sign = divmod(embedding.HashingEncoder()._feature(f"w{n}"), 2)
+        of.setdefault(place, {}).setdefault(sign, []).append(f"w{n}")
+    a, b, c = (of[place] for place in (3, 5, 7))
+    pair = lambda x: f"{x[0][0]} {x[1][0]}"
+    more = [f"{a[0][i]} {b[0][i]} {b[0][-i - 1]} {c[0][i]} {'x' * i}." for i in range(1, 9)]
+    texts = [pair(a), pair(b), f"{pair(a)} {pair(b)}", ". !", None, *more]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [f"{a[0][1]} {c[0][1]}", f"{c[0][2]} {c[0][3]}", pair(b), "?", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("collection",):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({catalog.oracle_sql()[name]})").fetchall()
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want)) and "nan" in repr(want)

@@ -25,10 +25,12 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 class HashingEncoder:
-    """Counts of lower-case terms at a place and with a sign by their MD5, brought to length one."""
+    """Counts of lower-case terms at a place and with a sign by their MD5, brought to length one. Where all that a text has cancel, they can't be: the
+    places of its terms get ``cancelled`` (0, or what SQL gives for 0 / 0)."""
 
-    def __init__(self) -> None:
+    def __init__(self, cancelled: float = 0.0) -> None:
         self.known: dict[str, int] = {}
+        self.cancelled = cancelled
 
     def _feature(self, term: str) -> int:
         """Twice the place of a term, and one more if its sign is minus. The first ``KNOWN`` terms are kept, among them those that come often."""
@@ -46,6 +48,8 @@ class HashingEncoder:
         place = row * WIDTH + feature // 2
         out = np.bincount(place, 1.0 - 2 * (feature % 2), minlength=n * WIDTH).astype(np.float64).reshape(-1, WIDTH)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
+        if self.cancelled != 0:
+            out.ravel()[place[norm[row, 0] == 0]] = self.cancelled
         return out / np.where(norm == 0, 1, norm)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
