@@ -363,7 +363,7 @@ def test_cells_where_terms_cancel(spark, tmp_path):
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("collection",):
+    for name in ("collection", "retrieval_results"):
         got = catalog.queries()[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(got.columns)} from ({catalog.oracle_sql()[name]})").fetchall()
         assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want)) and "nan" in repr(want)

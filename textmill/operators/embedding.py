@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from textmill.functions.text import TERMS
 from textmill.operators import lexical
 
 WIDTH = 64
@@ -56,6 +57,12 @@ class HashingEncoder:
         return self.of_terms(len(texts), *lexical.found_terms(pa.array(texts, pa.large_string())))
 
 
+def places(text: Column) -> Column:
+    """Where the default encoder counts each term of a text."""
+    terms = F.regexp_extract_all(lexical.lower(text), F.lit(TERMS), F.lit(0))
+    return F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % WIDTH)
+
+
 def _with_vector(batch: pa.RecordBatch, found: np.ndarray) -> pa.RecordBatch:
     found = np.asarray(found, dtype=np.float64)
     offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
