@@ -367,3 +367,12 @@ def test_cells_where_terms_cancel(spark, tmp_path):
         got = catalog.queries()[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(got.columns)} from ({catalog.oracle_sql()[name]})").fetchall()
         assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want)) and "nan" in repr(want)
+
+
+def test_collection_shuffles_documents_not_chunks(spark, sf):
+    import re
+
+    from textmill import catalog
+
+    plan = re.sub(r"#\d+L?", "", catalog.collection(spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert re.findall(r"Exchange (.*?), \d+\)", plan) == ["hashpartitioning(doc_id"] and "Join" not in plan

@@ -99,11 +99,11 @@ def point_id(chunk_id: Column) -> Column:
     return F.conv(F.substring(F.md5(chunk_id), 1, 15), 16, 10).cast("long")
 
 
-def points(chunks: DataFrame, terms: DataFrame, factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
+def points(chunks: DataFrame, terms: DataFrame, factory: Callable[[], Encoder] = HashingEncoder, within: str | None = None) -> DataFrame:
     """``chunks`` (strategy, chunk_id, doc_id, text, metadata), ``terms`` as given by ``lexical.vocabulary`` -> the rows of an index:
-    strategy, point_id, vector, indices and values of the sparse vector, and payload."""
+    strategy, point_id, vector, indices and values of the sparse vector, and payload. ``within``: as for ``lexical.together``, a further column of ``chunks``."""
     key = F.concat_ws("/", "strategy", "chunk_id")
-    rows = lexical.together(chunks.select("strategy", "chunk_id", "doc_id", "text", "metadata", key.alias("key")), "key")
+    rows = lexical.together(chunks.select("strategy", "chunk_id", "doc_id", "text", "metadata", key.alias("key"), *([within] if within else [])), "key", within)
     weigh = lexical.weigher(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def points(chunks: DataFrame, terms: DataFrame, factory: Callable[[], Encoder] =
             # An encoder of terms takes those that the sparse vectors are made of.
             yield from [_with_vector(batch, encoder.of_terms(batch.num_rows, *found))] if hasattr(encoder, "of_terms") else _embedded(batch, "text", encoder)
 
-    # Texts are shuffled, once; both vectors of a text are made beside each other, and nothing is joined.
+    # Texts are shuffled once at most; both vectors of a text are made beside each other, and nothing is joined.
     more = [StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType())), VECTOR]
     made = rows.mapInArrow(run, StructType([*rows.schema.fields, *more]))
     payload = F.struct(F.col("chunk_id").alias("original_chunk_id"), "doc_id", "text", "metadata")

@@ -34,9 +34,11 @@ def found_terms(texts: pa.Array) -> Terms:
     return row[keep], code[keep], words.dictionary
 
 
-def together(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``rows`` of equal ``key`` one after another in one task, with ``begins``: whether a row is the first of its key."""
-    return rows.repartition(key).withColumn("begins", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))) == 1)
+def together(rows: DataFrame, key: str = "chunk_id", within: str | None = None) -> DataFrame:
+    """``rows`` of equal ``key`` one after another in one task, with ``begins``: whether a row is the first of its key. Texts are shuffled for it, unless rows of
+    a key share a value ``within`` by which they are dealt out already."""
+    rows, keys = (rows, (within, key)) if within else (rows.repartition(key), (key,))
+    return rows.withColumn("begins", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) == 1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -63,8 +65,8 @@ def _counts(rows: DataFrame) -> DataFrame:
     return terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(rows: DataFrame, max_features: int = 10_000) -> DataFrame:
-    """``rows`` (chunk_id, text) -> term_id, term, df, total, idf: at most ``max_features`` rows."""
+def vocabulary(rows: DataFrame, max_features: int = 10_000, within: str | None = None) -> DataFrame:
+    """``rows`` (chunk_id, text) -> term_id, term, df, total, idf: at most ``max_features`` rows. ``within``: as for ``together``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in _chunks(batches):
@@ -77,7 +79,7 @@ def vocabulary(rows: DataFrame, max_features: int = 10_000) -> DataFrame:
             # One more, without a term: the number of rows.
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.take(pa.array(used)), pa.nulls(1, words.type)]), pa.array(np.append(df[used], batch.num_rows)), pa.array(np.append(total[used], 0))], ["term", "df", "total"])
 
-    counted = together(rows.select("chunk_id", "text")).mapInArrow(run, "term string, df long, total long")
+    counted = together(rows.select("chunk_id", "text", *([within] if within else [])), within=within).mapInArrow(run, "term string, df long, total long")
     top = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).orderBy(F.col("term").isNotNull(), F.desc("total"), "term").limit(max_features + 1)
     n = F.max(F.when(F.col("term").isNull(), F.col("df"))).over(Window.partitionBy())
     numbered = top.select((F.row_number().over(Window.orderBy("term")) - 2).alias("term_id"), "term", "df", "total", F.round(F.log((1 + n) / (1 + F.col("df"))) + 1, 9).alias("idf"))
